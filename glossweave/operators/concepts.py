@@ -10,13 +10,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from glossweave.functions.text import concept_label
 from glossweave.functions.vectors import cosine, dot, unit
 from glossweave.operators.graph import components
 from glossweave.operators.skew import HEAVY_ROWS, spread_join
-from glossweave.operators.windows import first_n
+from glossweave.operators.windows import first_n, with_row_index
 from glossweave.session import fits_in_memory, materialize
 
 
@@ -108,9 +108,11 @@ def name_clusters(labelled: DataFrame, min_size: int) -> DataFrame:
     """Drops small clusters and names the rest concept_0000, ... by size."""
     sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     kept = sizes.filter(F.col("n") >= min_size)
-    # One row per surviving cluster: at most rows / min_size.
-    order = F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1
-    names = kept.select("cluster", F.concat(F.lit("concept_"), F.lpad(order.cast("string"), 4, "0")).alias("concept_id"))
+    ranked = with_row_index(kept.withColumn("_loss", -F.col("n")), ["_loss", "first"])
+    number = F.lpad(F.col("row_index").cast("string"), 4, "0")
+    long = F.length(F.col("row_index").cast("string")) > 4
+    number = F.when(long, F.col("row_index").cast("string")).otherwise(number)
+    names = ranked.select("cluster", F.concat(F.lit("concept_"), number).alias("concept_id"))
     return labelled.join(names, "cluster").select("id", "concept_id")
 
 
