@@ -36,3 +36,18 @@ def by_priority(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("priority").agg(
         F.count(F.lit(1)).alias("sources"), F.sum("entries_approx").alias("entries_approx")
     )
+
+# Dump file of each language; None where another source serves it.
+EXPECTED_FILES = {
+    "la": None, "es": "spanish", "pt": "portuguese", "fr": "french", "it": "italian", "ro": "romanian", "ca": "catalan",
+    "en": "english", "de": "german", "nl": "dutch", "sv": "swedish", "da": "danish", "no": "norwegian",
+    "is": "icelandic", "af": "afrikaans", "yi": "yiddish", "fo": "faroese",
+    "ru": "russian", "uk": "ukrainian", "be": "belarusian", "pl": "polish", "cs": "czech", "sk": "slovak",
+    "bg": "bulgarian", "mk": "macedonian", "sl": "slovene", "hr": "serbocroatian", "sr": "serbocroatian",
+    "sa": None, "hi": "hindi", "ur": "urdu", "bn": "bengali", "pa": "punjabi", "mr": None, "gu": None,
+    "fa": "persian", "ps": "pashto", "ku": "northern_kurdish", "tg": "tajik",
+    "ga": "irish", "gd": "scottish_gaelic", "cy": "welsh", "br": "breton", "gv": "manx",
+    "lt": "lithuanian", "lv": "latvian", "el": "greek", "grc": None, "sq": "albanian", "hy": "armenian",
+    "ta": "tamil", "te": "telugu", "kn": "kannada", "ml": "malayalam",
+    "fi": "finnish", "et": "estonian", "hu": "hungarian",
+}

@@ -116,9 +116,12 @@ def marker_records(chunks: DataFrame, opens: bool) -> DataFrame:
     return out.filter(not_blank(F.col("headword")))
 
 
-def json_entries(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of entries, or an object that holds the list as ``entries``."""
-    rows = spark.read.json(path, multiLine=True)
+def json_entries(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A JSON list of entries, or an object that holds the list as ``entries``.
+
+    Files with one object per line (``multi_line`` off) are read in parts.
+    """
+    rows = spark.read.json(path, multiLine=multi_line)
     if "entries" in rows.columns:
         rows = rows.select(F.explode("entries").alias("e")).select("e.*")
     return rows
