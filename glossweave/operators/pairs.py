@@ -8,6 +8,7 @@ from glossweave.functions import phonetic, scores
 from glossweave.functions.tree import add_tree_distance
 from glossweave.functions.vectors import cosine
 from glossweave.operators.skew import spread_join
+from glossweave.session import materialize
 
 _TOLERANCE = 1e-9
 
@@ -41,55 +42,70 @@ def similar_forms(
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity must lie in (0, 1]")
     share = 1.0 - min_similarity
+    col = F.col
     edits = lambda m: F.floor(F.lit(share) * m + _TOLERANCE).cast("int")
+    # Written once: both sides and the search for heavy keys read the distinct
+    # forms again, and the words behind them may be whole texts.
     forms = (
-        words.filter(F.col(form).isNotNull())
-        .select(*block, F.col(form).alias("form"))
+        words.filter(col(form).isNotNull())
+        .select(*block, col(form).alias("_form"))
         .distinct()
-        .withColumn("g", phonetic.graphemes(F.col("form")))
-        .withColumn("n", F.size("g"))
-        .filter("n > 0")
+        .withColumn("_parts", phonetic.graphemes(col("_form")))
+        .withColumn("_size", F.size("_parts"))
+        .withColumn("_plain", F.length("_form") == col("_size"))
+        .filter("_size > 0")
     )
-    start = lambda n, i, k: F.floor(n * i / k).cast("int")
-    piece = lambda begin, size: F.array_join(F.slice("g", begin + 1, size), "")
-
-    longest = F.floor(F.col("n") / min_similarity + _TOLERANCE).cast("int")
-    short = (
-        forms.withColumn("m", F.explode(F.sequence("n", longest)))
-        .withColumn("t", edits(F.col("m")))
-        .filter("m - n <= t")
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t"))))
-        .withColumn("p", start(F.col("n"), F.col("i"), F.col("t") + 1))
-        .withColumn("size", start(F.col("n"), F.col("i") + 1, F.col("t") + 1) - F.col("p"))
-        .select(*block, F.col("form").alias("short"), "n", "m", "i", piece(F.col("p"), F.col("size")).alias("piece"))
+    forms = materialize(forms, "forms")
+    begin = lambda i: F.floor(col("_n") * i / (col("_t") + 1)).cast("int")
+    piece = lambda at, size: F.array_join(F.slice("_parts", at + 1, size), "")
+    # _n and _m: lengths of the shorter and longer form; _t: edits they may
+    # differ by; _i: number of the piece; _p and _w: its place and width.
+    lengths = (
+        lambda df: df.withColumn("_t", edits(col("_m")))
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), col("_t"))))
+        .withColumn("_p", begin(col("_i")))
+        .withColumn("_w", begin(col("_i") + 1) - col("_p"))
     )
+    longest = F.floor(col("_size") / min_similarity + _TOLERANCE).cast("int")
+    short = lengths(
+        forms.withColumn("_n", col("_size"))
+        .withColumn("_m", F.explode(F.sequence("_size", longest)))
+        .filter(col("_m") - col("_n") <= edits(col("_m")))
+    ).select(
+        *block, col("_form").alias("_short"), col("_plain").alias("_plain_a"), "_n", "_m", "_i", "_t",
+        piece(col("_p"), col("_w")).alias("_piece"),
+    )
+    shortest = F.greatest(F.lit(1), col("_size") - edits(col("_size")))
+    gap = col("_m") - col("_n")
+    back = lambda spare: F.floor(spare / 2).cast("int")
     long = (
-        forms.withColumnRenamed("n", "m")
-        .withColumn("t", edits(F.col("m")))
-        .withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - F.col("t")), F.col("m"))))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t"))))
-        .withColumn("p", start(F.col("n"), F.col("i"), F.col("t") + 1))
-        .withColumn("size", start(F.col("n"), F.col("i") + 1, F.col("t") + 1) - F.col("p"))
-        .withColumn("gap", F.col("m") - F.col("n"))
-        .withColumn("first", F.greatest(F.lit(0), F.col("p") - F.floor((F.col("t") - F.col("gap")) / 2).cast("int")))
-        .withColumn(
-            "last",
-            F.least(F.col("m") - F.col("size"), F.col("p") + F.floor((F.col("t") + F.col("gap")) / 2).cast("int")),
+        lengths(
+            forms.withColumn("_m", col("_size")).withColumn("_n", F.explode(F.sequence(shortest, col("_size"))))
+        )
+        .withColumn("_first", F.greatest(F.lit(0), col("_p") - back(col("_t") - gap)))
+        .withColumn("_last", F.least(col("_m") - col("_w"), col("_p") + back(col("_t") + gap)))
+        .filter("_first <= _last")
+        .withColumn("_q", F.explode(F.sequence("_first", "_last")))
+        .select(
+            *block, col("_form").alias("_long"), col("_plain").alias("_plain_b"), "_n", "_m", "_i",
+            piece(col("_q"), col("_w")).alias("_piece"),
         )
-        .filter("first <= last")
-        .withColumn("q", F.explode(F.sequence("first", "last")))
-        .select(*block, F.col("form").alias("long"), "n", "m", "i", piece(F.col("q"), F.col("size")).alias("piece"))
         .distinct()
     )
-    keys = [*block, "n", "m", "i", "piece"]
-    met = spread_join(short, long, keys, min_rows=spread_rows).filter(
-        (F.col("n") < F.col("m")) | (F.col("short") < F.col("long"))
+    met = spread_join(short, long, [*block, "_n", "_m", "_i", "_piece"], min_rows=spread_rows).filter(
+        (col("_n") < col("_m")) | (col("_short") < col("_long"))
     )
+    # The bounded distance gives up beyond _t edits and answers -1.
+    bounded = F.call_function("levenshtein", col("_short"), col("_long"), col("_t"))
+    whole = phonetic.edit_distance(col("_short"), col("_long"))
+    distance = F.when(col("_plain_a") & col("_plain_b"), bounded).otherwise(whole)
     return (
-        met.withColumn("similarity", phonetic.similarity(F.col("short"), F.col("long")))
-        .filter(F.col("similarity") >= min_similarity)
+        met.withColumn("_d", distance)
+        .filter("_d >= 0")
+        .withColumn("similarity", 1.0 - col("_d") / col("_m"))
+        .filter(col("similarity") >= min_similarity)
         .select(
-            *block, F.least("short", "long").alias("form_a"), F.greatest("short", "long").alias("form_b"), "similarity"
+            *block, F.least("_short", "_long").alias("form_a"), F.greatest("_short", "_long").alias("form_b"), "similarity"
         )
         .distinct()
     )

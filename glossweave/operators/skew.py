@@ -16,7 +16,7 @@ def heavy_keys(rows: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) ->
     MAX_HEAVY, which is an ordinary task.
     """
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    top = counted.filter(F.col("_rows") >= min_rows).orderBy(F.desc("_rows")).limit(MAX_HEAVY)
+    top = counted.filter(F.col("_rows") >= min_rows).orderBy(F.desc("_rows"), *keys).limit(MAX_HEAVY)
     return top.select(*keys)
 
 

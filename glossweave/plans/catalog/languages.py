@@ -10,10 +10,11 @@ from glossweave.plans.catalog.base import ENTRIES, TREE, chance_sql, distance_sq
 from glossweave.session import materialize
 from glossweave.sources.catalog import EXPECTED_FILES
 
-# Every other language of the tree stands for one nation.
-_NATIONS = {n: row[0] for n, row in enumerate(tree.language_rows()[::2])}
+# Each nation speaks one language of the tree, evenly spread over all families.
+_ROWS = tree.language_rows()
+_NATIONS = {n: _ROWS[n * len(_ROWS) // 25][0] for n in range(25)}
 
-_TRADE = f"""{TREE}, spoken AS (SELECT n_nationkey AS k, code, depth, family, branch, path FROM nation JOIN tree ON tree.n = 2 * n_nationkey),
+_TRADE = f"""{TREE}, spoken AS (SELECT n_nationkey AS k, code, depth, family, branch, path FROM nation JOIN tree ON tree.n = n_nationkey * {len(_ROWS)} // 25),
 trade AS (
   SELECT a.code AS language_a, b.code AS language_b, a.path AS pa, b.path AS pb, {distance_sql('a.code', 'b.code', 'a', 'b')} AS tree_distance,
          a.family AS family_a, b.family AS family_b, count(*) AS items, sum(l_quantity) AS quantity
