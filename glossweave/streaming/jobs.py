@@ -12,7 +12,9 @@ from glossweave.functions.rules import passes_gate
 from glossweave.plans.cleaning import clean_entries, split_rejects
 from glossweave.plans.ingest import rate
 from glossweave.session import scratch_path
-from glossweave.sources.sinks import append_new, progress_row
+from glossweave.sources.sinks import append_new
+
+PROGRESS_COUNTS = "total long, processed long, succeeded long, failed long, skipped long"
 
 
 def json_stream(
@@ -75,11 +77,10 @@ def store_new(path: str, keys: list[str], order: list[str], progress_path: str |
         fresh = append_new(before, batch, keys, order)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if progress_path:
-            stored = spark.read.schema(batch.schema).parquet(f"{path}/batch={number}")
-            marks = batch.select(*keys).join(stored.select(*keys, F.lit(True).alias("_new")), keys, "left")
-            new = F.col("_new").isNotNull()
-            row = progress_row(marks.select(new.alias("succeeded"), F.lit(False).alias("failed"), (~new).alias("skipped")))
-            row.write.mode("overwrite").parquet(f"{progress_path}/batch={number}")
+            stored = spark.read.schema(batch.schema).parquet(f"{path}/batch={number}").count()
+            total = batch.count()
+            row = spark.createDataFrame([(total, total, stored, 0, total - stored)], PROGRESS_COUNTS)
+            row.withColumn("timestamp", F.current_timestamp()).write.mode("overwrite").parquet(f"{progress_path}/batch={number}")
 
     return handle
 
