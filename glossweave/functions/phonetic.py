@@ -22,14 +22,18 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\X)"), F.lit(1))
 
 
-def edit_distance(a: Column, b: Column) -> Column:
+def edit_distance(a: Column, b: Column, size_a: Column | None = None, size_b: Column | None = None) -> Column:
     """Levenshtein distance in graphemes.
 
     The built-in counts code points. Where a text holds longer graphemes, both
     sides are first rewritten with one stand-in letter per distinct grapheme.
+    Sizes (numbers of graphemes) that are known already spare taking the texts
+    apart again for every pair.
     """
     ga, gb = graphemes(a), graphemes(b)
-    plain = (F.length(a) == F.size(ga)) & (F.length(b) == F.size(gb))
+    size_a = F.size(ga) if size_a is None else size_a
+    size_b = F.size(gb) if size_b is None else size_b
+    plain = (F.length(a) == size_a) & (F.length(b) == size_b)
     kinds = F.array_distinct(F.concat(ga, gb))
     rewrite = lambda g: F.array_join(
         F.transform(g, lambda x: F.substring(F.lit(_STAND_INS), F.array_position(kinds, x), F.lit(1))), ""
@@ -37,10 +41,12 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when(plain, F.levenshtein(a, b)).otherwise(F.levenshtein(rewrite(ga), rewrite(gb)))
 
 
-def similarity(a: Column, b: Column) -> Column:
+def similarity(a: Column, b: Column, size_a: Column | None = None, size_b: Column | None = None) -> Column:
     """1 for equal texts (two empty ones included), 0 for nothing in common."""
-    longest = F.greatest(F.size(graphemes(a)), F.size(graphemes(b)))
-    return F.when(longest == 0, 1.0).otherwise(1.0 - edit_distance(a, b) / longest)
+    size_a = F.size(graphemes(a)) if size_a is None else size_a
+    size_b = F.size(graphemes(b)) if size_b is None else size_b
+    longest = F.greatest(size_a, size_b)
+    return F.when(longest == 0, 1.0).otherwise(1.0 - edit_distance(a, b, size_a, size_b) / longest)
 
 
 def distance(a: Column, b: Column) -> Column:

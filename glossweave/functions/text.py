@@ -35,18 +35,24 @@ _UNICODE_FORMS = {
 
 
 def unicode_form(text: Column, form: str = "NFC") -> Column:
-    """Unicode normal form by the ICU library that ships with Spark.
-
-    Plain ASCII text is already normal in all four forms and skips the call.
-    """
+    """Unicode normal form by the ICU library that ships with Spark."""
     method, compat = _UNICODE_FORMS[form]
     call = F.reflect(F.lit(_ICU), F.lit(method), text, F.lit(compat))
-    return F.when(text.isNull() | text.rlike(r"^\p{ASCII}*$"), text).otherwise(call)
+    return F.when(text.isNotNull(), call)
 
 
 def squeeze(text: Column) -> Column:
-    """One blank between words, none at the ends; any Unicode white space counts."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """One blank between words, none at the ends; any Unicode white space counts.
+
+    Text that is squeezed already is recognised by cheaper tests and kept.
+    """
+    loose = text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.rlike(r"(?U)[^\S ]")
+    return F.when(loose, F.trim(F.regexp_replace(text, r"(?U)\s+", " "))).otherwise(text)
+
+
+def _drop(text: Column, pattern: str, needs: str) -> Column:
+    """Removes a pattern; text without the sign it needs is not searched for it."""
+    return F.when(text.contains(needs), F.regexp_replace(text, pattern, "")).otherwise(text)
 
 
 def strip_blank(text: Column) -> Column:
@@ -82,11 +88,18 @@ def clean_headword(word: Column) -> Column:
     return squeeze(unicode_form(bare))
 
 
+def drop_citations(text: Column) -> Column:
+    return _drop(text, CITATION, "[")
+
+
+def drop_markup(text: Column) -> Column:
+    return _drop(text, MARKUP, "<")
+
+
 def clean_definition(
     text: Column, remove_citations: bool = True, max_length: int | None = None
 ) -> Column:
-    out = F.regexp_replace(text, CITATION, "") if remove_citations else text
-    out = squeeze(F.regexp_replace(out, MARKUP, ""))
+    out = squeeze(drop_markup(drop_citations(text) if remove_citations else text))
     if not max_length:
         return out
     cut = F.regexp_replace(F.substring(out, 1, max_length), " [^ ]*$", "")
@@ -128,7 +141,7 @@ def valid_text(text: Column) -> Column:
 
 
 def valid_definition(text: Column) -> Column:
-    return F.coalesce(F.length(strip_blank(text)) >= 3, F.lit(False))
+    return F.coalesce(text.rlike(r"(?sU)\S.+\S"), F.lit(False))
 
 
 def valid_language(code: Column) -> Column:

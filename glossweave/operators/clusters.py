@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from glossweave.operators.windows import first_n
-from glossweave.session import materialize
+from glossweave.session import materialize, share
 
 
 def leader_clusters(
@@ -22,7 +22,8 @@ def leader_clusters(
 
     The first free entry leads a cluster and takes every free entry that scores
     at least ``threshold`` with it. ``score`` adds a column ``combined`` to
-    rows that hold two entry structs ``a`` and ``b``.
+    rows that hold two entry structs ``a`` and ``b``; it may drop rows that
+    cannot reach the threshold.
 
     Per round the next ``batch`` free entries of each block are settled among
     themselves; the leaders that come out meet the free entries of the block
@@ -37,13 +38,13 @@ def leader_clusters(
     for _ in range(max_rounds):
         if free.limit(1).isEmpty():
             break
+        free = share(free)
         leaders = materialize(_next_leaders(free, block, score, threshold, batch), "leaders")
         met = free.join(leaders.select(block, F.col("e").alias("a")), block).withColumnRenamed("e", "b")
-        met = met.filter(F.col("a.id") <= F.col("b.id"))
-        linked = score(met).filter((F.col("a.id") == F.col("b.id")) | (F.col("combined") >= threshold))
-        taken = materialize(
-            linked.groupBy(block, F.col("b.id").alias("id")).agg(F.min("a.id").alias("leader")), "taken"
-        )
+        own = leaders.select(block, "id", F.col("id").alias("leader"))
+        others = score(met.filter(F.col("a.id") < F.col("b.id"))).filter(F.col("combined") >= threshold)
+        links = others.select(block, F.col("b.id").alias("id"), F.col("a.id").alias("leader")).unionByName(own)
+        taken = materialize(links.groupBy(block, "id").agg(F.min("leader").alias("leader")), "taken")
         done = taken if done is None else done.unionByName(taken)
         free = materialize(free.join(taken.select("id"), "id", "left_anti").select(block, "id", "e"), "free")
     else:

@@ -8,7 +8,7 @@ from glossweave.functions import phonetic, scores
 from glossweave.functions.tree import add_tree_distance
 from glossweave.functions.vectors import cosine
 from glossweave.operators.skew import spread_join
-from glossweave.session import materialize
+from glossweave.session import materialize, share
 
 _TOLERANCE = 1e-9
 
@@ -41,9 +41,9 @@ def similar_forms(
     """
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity must lie in (0, 1]")
-    share = 1.0 - min_similarity
+    slack = 1.0 - min_similarity
     col = F.col
-    edits = lambda m: F.floor(F.lit(share) * m + _TOLERANCE).cast("int")
+    edits = lambda m: F.floor(F.lit(slack) * m + _TOLERANCE).cast("int")
     # Written once: both sides and the search for heavy keys read the distinct
     # forms again, and the words behind them may be whole texts.
     forms = (
@@ -55,7 +55,7 @@ def similar_forms(
         .withColumn("_plain", F.length("_form") == col("_size"))
         .filter("_size > 0")
     )
-    forms = materialize(forms, "forms")
+    forms = share(materialize(forms, "forms"))
     begin = lambda i: F.floor(col("_n") * i / (col("_t") + 1)).cast("int")
     piece = lambda at, size: F.array_join(F.slice("_parts", at + 1, size), "")
     # _n and _m: lengths of the shorter and longer form; _t: edits they may

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossweave.functions.tree import language_rows
+from glossweave.session import share
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ POS = (("(tion|ment|ung|ción)$", "noun"), ("(er|en|ir|ar|ing)$", "verb"), ("(ly
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    return as_entries(table(spark, sf, "documents"))
+    return as_entries(share(table(spark, sf, "documents")))
 
 
 def as_entries(docs: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def concept_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Raw records: unclean first and second words of each document."""
-    return table(spark, sf, "documents").select(
+    return share(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"),
         F.split_part("text", F.lit(" "), F.lit(1)).alias("headword"),
         F.nullif(F.split_part("text", F.lit(" "), F.lit(2)), F.lit("")).alias("ipa"),

@@ -23,7 +23,8 @@ WITH {ENTRIES} SELECT id, lower(headword) AS headword, language,
   round(1e0 - CASE WHEN etymology IS NULL THEN 0.1e0 ELSE 0e0 END - CASE WHEN pos_tag IS NULL THEN 0.1e0 ELSE 0e0 END - 0.2e0, 6) AS data_quality
 FROM entries WHERE length(definition) >= 10""")
 def stream_clean(spark, sf):
-    out = jobs.stream_through(jobs.clean_stream(as_entries(_documents(spark, sf))), "clean")
+    docs = as_entries(_documents(spark, sf))
+    out = jobs.stream_through(jobs.clean_stream(docs, tasks=spark.sparkContext.defaultParallelism), "clean")
     return out.select("id", "headword", "language", F.round("data_quality", 6).alias("data_quality"))
 
 

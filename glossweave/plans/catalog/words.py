@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.functions import phonetic, scores
+from glossweave.functions.vectors import dot
 from glossweave.operators import clusters, entries as ops, pairs
 from glossweave.plans import difference
 from glossweave.plans.catalog.base import (
@@ -212,9 +213,9 @@ _TWO = "(0.6e0 * p + 0.4e0 * s)"
 
 
 def _two_signal(met):
-    sound = phonetic.similarity(F.col("a.ipa"), F.col("b.ipa"))
-    meaning = difference.layered_scores(met.withColumn("phonetic", sound))
-    return meaning.withColumn("combined", scores.two_signal(F.col("phonetic"), F.col("semantic")))
+    sound = phonetic.similarity(F.col("a.ipa"), F.col("b.ipa"), F.col("a.size"), F.col("b.size"))
+    kept = met.withColumn("phonetic", sound).filter("phonetic >= 0.5 - 1e-9")
+    return kept.withColumn("combined", scores.two_signal(F.col("phonetic"), dot(F.col("a.unit"), F.col("b.unit"))))
 
 
 @query("cognate_sets", f"""
@@ -227,7 +228,7 @@ FROM clusters c JOIN lexicon l ON l.id = c.leader LEFT JOIN inside i ON i.leader
 def cognate_sets(spark, sf):
     words = materialize(lexicon(spark, sf), "lexicon")
     members = clusters.leader_clusters(
-        words.select("concept_id", "id", "ipa", "language", "embedding"), "concept_id", _two_signal, 0.7
+        difference.comparable(words).select("concept_id", "id", "ipa", "size", "unit"), "concept_id", _two_signal, 0.7
     )
     edges = pairs.similarity_edges(pairs.entry_pairs(words, 0.5))
     sets = clusters.cognate_sets(members, words, edges)

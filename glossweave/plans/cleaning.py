@@ -8,13 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.functions import text
+from glossweave.session import settle
 
 
 @dataclass(frozen=True)
 class Cleaner:
+    """A named step. ``parts``, where given, are the stages ``clean`` consists of."""
+
     name: str
     clean: Callable[[Column], Column]
     valid: Callable[[Column], Column]
+    parts: tuple[Callable[[Column], Column], ...] = ()
     version: str = "1.0.0"
 
     @property
@@ -39,13 +43,15 @@ class Chain:
     def apply(self, df: DataFrame, source: str, out: str | None = None) -> DataFrame:
         """Adds the cleaned column and ``<out>_error``: the first failed step, or null."""
         out = out or source
-        value, error = F.col(source), F.lit(None).cast("string")
+        df = df.withColumns({"_value": F.col(source), "_error": F.lit(None).cast("string")})
+        # One column per stage: what a later stage reads twice is computed once.
         for step in self.steps:
-            value = step.clean(value)
+            for part in step.parts or (step.clean,):
+                df = df.withColumn("_value", part(F.col("_value")))
             if self.strict:
-                failed = F.when(~step.valid(value), f"Validation failed after {step.name}")
-                error = F.coalesce(error, failed)
-        return df.withColumns({out: value, f"{out}_error": error})
+                failed = F.when(~step.valid(F.col("_value")), f"Validation failed after {step.name}")
+                df = df.withColumn("_error", F.coalesce("_error", failed))
+        return df.withColumns({out: F.col("_value"), f"{out}_error": F.col("_error")}).drop("_value", "_error")
 
     def log(self, df: DataFrame, record_id: str, source: str) -> DataFrame:
         """One row per record and step, for the transform log."""
@@ -60,8 +66,13 @@ class Chain:
 
 
 HEADWORD = Cleaner("headword_cleaner", text.clean_headword, text.valid_text)
-PLAIN_TEXT = Cleaner("text_normalizer", text.normalize_text, text.valid_text)
-DEFINITION = Cleaner("definition_cleaner", text.clean_definition, text.valid_definition)
+PLAIN_TEXT = Cleaner(
+    "text_normalizer", text.normalize_text, text.valid_text, (text.unicode_form, F.lower, text.squeeze)
+)
+DEFINITION = Cleaner(
+    "definition_cleaner", text.clean_definition, text.valid_definition,
+    (text.drop_citations, text.drop_markup, text.squeeze),
+)
 IPA = Cleaner("ipa_cleaner", text.clean_ipa, text.valid_ipa)
 LANGUAGE = Cleaner("language_code_cleaner", text.clean_language, text.valid_language)
 
@@ -88,7 +99,7 @@ def clean_entries(df: DataFrame, chains: dict[str, Chain] = CHAINS) -> DataFrame
         for field in chains
     ]
     out = df.withColumn("rejects", F.filter(F.array(*failed), lambda e: e.isNotNull()))
-    return out.drop(*[f"{field}_error" for field in chains])
+    return settle(out.drop(*[f"{field}_error" for field in chains]))
 
 
 def split_rejects(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,25 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glossweave.functions import phonetic
+from glossweave.functions import phonetic, scores
 from glossweave.functions.tree import add_tree_distance
+from glossweave.functions.vectors import dot, unit
 from glossweave.operators.clusters import leader_clusters
 from glossweave.operators.pairs import layered_scores
 from glossweave.operators.windows import first_n
+from glossweave.session import materialize
 
 COGNATE_CUT = 0.6
 
 
-def cognate_score(pairs: DataFrame) -> DataFrame:
-    """Layered score with cognate weights for rows with entry structs a and b."""
-    sound = phonetic.similarity(F.col("a.ipa"), F.col("b.ipa"))
-    return layered_scores(pairs.withColumn("phonetic", sound), "cognate")
+def comparable(entries: DataFrame) -> DataFrame:
+    """Entries with what every comparison needs: sound count and unit vector."""
+    return entries.withColumns({"size": F.size(phonetic.graphemes(F.col("ipa"))), "unit": unit(F.col("embedding"))})
+
+
+def cognate_score(pairs: DataFrame, cut: float = 0.0) -> DataFrame:
+    """Layered score with cognate weights for rows with comparable structs a and b.
+
+    Pairs whose sound alone rules out a score of ``cut`` are left out: meaning
+    and origin add at most their weights.
+    """
+    meaning_share, sound_share, origin_share = scores.WEIGHTS["cognate"]
+    sound = phonetic.similarity(F.col("a.ipa"), F.col("b.ipa"), F.col("a.size"), F.col("b.size"))
+    least = (cut - meaning_share - origin_share) / sound_share - 1e-9
+    kept = pairs.withColumn("phonetic", sound).filter(F.col("phonetic") >= least)
+    return layered_scores(kept, "cognate", semantic=dot(F.col("a.unit"), F.col("b.unit")))
 
 
 def cognate_clusters(entries: DataFrame, threshold: float = COGNATE_CUT, batch: int = 64) -> DataFrame:
     """Star clusters per concept: (concept_id, id, leader)."""
-    slim = entries.select("concept_id", "id", "ipa", "language", "embedding")
-    return leader_clusters(slim, "concept_id", cognate_score, threshold, batch)
+    slim = comparable(entries).select("concept_id", "id", "ipa", "language", "size", "unit")
+    return leader_clusters(slim, "concept_id", lambda p: cognate_score(p, threshold), threshold, batch)
 
 
 def lexical_differences(entries: DataFrame, threshold: float = COGNATE_CUT) -> DataFrame:
@@ -33,10 +47,14 @@ def lexical_differences(entries: DataFrame, threshold: float = COGNATE_CUT) -> D
     take part in the cognate clusters behind the report.
     """
     kept = entries.filter(F.col("concept_id").isNotNull() & F.col("ipa").isNotNull())
+    # The clusters and three joins below all start from these rows.
+    kept = materialize(
+        comparable(kept).select("concept_id", "id", "headword", "ipa", "language", "embedding", "size", "unit"), "entries"
+    )
     clusters = cognate_clusters(kept, threshold)
     placed = kept.join(clusters.select("id", "leader"), "id")
     first = first_n(
-        kept.select("concept_id", "language", "id", "headword", "ipa", "embedding"), ["concept_id", "language"], ["id"], 1
+        kept.select("concept_id", "language", "id", "headword", "ipa", "size", "unit"), ["concept_id", "language"], ["id"], 1
     ).drop("rank")
 
     flagged = placed.join(first.select("id", F.lit(True).alias("_primary")), "id", "left")
@@ -57,9 +75,9 @@ def lexical_differences(entries: DataFrame, threshold: float = COGNATE_CUT) -> D
     none = F.array().cast(dict(forms.dtypes)["cognates"])
     forms = forms.withColumn("cognates", F.coalesce("cognates", none))
 
-    side = lambda s: forms.select("concept_id", F.struct("id", "language", "headword", "ipa", "embedding", "leader", "cognates").alias(s))
+    side = lambda s: forms.select("concept_id", F.struct("id", "language", "headword", "ipa", "size", "unit", "leader", "cognates").alias(s))
     pairs = side("a").join(side("b"), "concept_id").filter(F.col("a.language") < F.col("b.language"))
-    scored = cognate_score(pairs).drop("tree_distance")
+    scored = cognate_score(pairs, cut=-1.0).drop("tree_distance")
     told = add_tree_distance(scored, "language_a", "language_b", keep=True)
     as_map = lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["language"], x["headword"])))
     cluster = lambda s: F.concat(F.lit("cluster_"), F.col(f"{s}.leader").cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -61,3 +61,22 @@ def fits_in_memory(df: DataFrame, bytes_per_row: int, budget: int = 64 << 20) ->
     """True when the frame is small enough to hand to every task."""
     most = budget // max(bytes_per_row, 1)
     return df.limit(most + 1).count() <= most
+
+
+def share(df: DataFrame) -> DataFrame:
+    """Spreads a small input over all cores before costly work on each row.
+
+    Fewer scan partitions than cores means less than one file split per core,
+    so the shuffle is small; larger inputs are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Keeps later filters above the columns computed so far.
+
+    A filter on a costly column would else be pushed to the scan with the whole
+    computation inside, which would then run again for the output.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from glossweave.functions.text import not_blank, strip_blank
+from glossweave.session import settle
 
 
 def _text(name: str) -> T.StructField:
@@ -30,6 +31,11 @@ DUMP_LINE = T.StructType([
     _text("_bad"),
 ])
 
+STORED_LINE = (
+    "word string, lang_code string, pos string, etymology_text string, sounds array<struct<ipa:string>>, "
+    "senses array<struct<glosses:string, raw_glosses:string>>"
+)
+
 
 def cldf_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Forms of a cross-linguistic data set."""
@@ -172,24 +178,23 @@ def flatten_first_sense(raw: DataFrame, bounded: bool = False) -> DataFrame:
     ``bounded`` cuts fields to the widths of the typed table and asks for at
     least one sense.
     """
-    at = lambda path: F.get_json_object("raw_data", path)
+    text = lambda value: F.coalesce(value, F.lit(""))
     cut = lambda c, n: F.substring(c, 1, n) if bounded else c
-    first = F.coalesce(at("$.senses[0].glosses[0]"), at("$.senses[0].raw_glosses"), F.lit(""))
-    kept = raw.filter(
-        not_blank(at("$.word")) & not_blank(at("$.lang_code")) & at("$.senses").isNotNull()
-    )
+    # Each record is parsed once; lists of glosses stay JSON text.
+    rest = [c for c in raw.columns if c != "raw_data"]
+    parsed = settle(raw.select(*rest, F.from_json("raw_data", STORED_LINE).alias("_r")))
+    sense = F.get("_r.senses", F.lit(0))
+    gloss = F.get_json_object(sense["glosses"], "$[0]")
+    has = lambda name: text(F.col(f"_r.{name}")) != ""
+    kept = parsed.filter(has("word") & has("lang_code") & F.col("_r.senses").isNotNull())
     if bounded:
-        kept = kept.filter(F.json_array_length(at("$.senses")) > 0)
+        kept = kept.filter(F.size("_r.senses") > 0)
     return kept.select(
-        cut(at("$.word"), 255).alias("headword"),
-        cut(F.coalesce(at("$.sounds[0].ipa"), F.lit("")), 255).alias("ipa"),
-        cut(at("$.lang_code"), 3).alias("language"), first.alias("definition"),
-        at("$.etymology_text").alias("etymology"),
-        (cut(F.coalesce(at("$.pos"), F.lit("")), 50) if bounded else at("$.pos")).alias("pos_tag"),
-        F.md5(F.concat(at("$.word"), at("$.lang_code"), F.coalesce(
-            at("$.senses[0].glosses[0]") if bounded else at("$.senses[0].glosses"), F.lit("")
-        ))).alias("id"),
-        *[c for c in raw.columns if c != "raw_data"],
+        cut(F.col("_r.word"), 255).alias("headword"), cut(text(F.get("_r.sounds", F.lit(0))["ipa"]), 255).alias("ipa"),
+        cut(F.col("_r.lang_code"), 3).alias("language"), F.coalesce(gloss, sense["raw_glosses"], F.lit("")).alias("definition"),
+        F.col("_r.etymology_text").alias("etymology"),
+        (cut(text(F.col("_r.pos")), 50) if bounded else F.col("_r.pos")).alias("pos_tag"),
+        F.md5(F.concat("_r.word", "_r.lang_code", text(gloss if bounded else sense["glosses"]))).alias("id"), *rest,
     )
 
 

@@ -33,8 +33,14 @@ def table_stream(spark: SparkSession, glob: str, files_per_batch: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob)
 
 
-def clean_stream(records: DataFrame, require_ipa: bool = False, min_definition: int = 10) -> DataFrame:
-    """Cleaning, gate and rating; stateless, so it works on batches and streams alike."""
+def clean_stream(
+    records: DataFrame, require_ipa: bool = False, min_definition: int = 10, tasks: int | None = None
+) -> DataFrame:
+    """Cleaning, gate and rating; stateless, so it works on batches and streams alike.
+
+    ``tasks`` spreads each micro-batch first, for streams of few large files.
+    """
+    records = records.repartition(tasks) if tasks else records
     good, _ = split_rejects(clean_entries(records))
     return rate(good.filter(passes_gate(min_definition, require_ipa)))
 

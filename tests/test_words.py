@@ -143,11 +143,13 @@ def test_entry_pairs_and_layered_scores(spark):
 def test_leader_clusters_equal_the_one_by_one_procedure(spark, batch):
     words_ = lexicon(spark, 30)
     cut = 0.45
+    fields = ["id", "ipa", "language", "size", "unit"]
+    slim = difference.comparable(words_).select("concept_id", *fields)
     got = {r.id: r.leader for r in clusters.leader_clusters(
-        words_.select("concept_id", "id", "ipa", "language", "embedding"), "concept_id", difference.cognate_score, cut, batch).collect()}
-    every = words_.select("concept_id", F.struct("id", "ipa", "language", "embedding").alias("a"))
-    other = words_.select("concept_id", F.struct("id", "ipa", "language", "embedding").alias("b"))
-    scored = difference.cognate_score(every.join(other, "concept_id").filter("a.id < b.id"))
+        slim, "concept_id", lambda p: difference.cognate_score(p, cut), cut, batch).collect()}
+    every = slim.select("concept_id", F.struct(*fields).alias("a"))
+    other = slim.select("concept_id", F.struct(*fields).alias("b"))
+    scored = difference.cognate_score(every.join(other, "concept_id").filter("a.id < b.id"), -1.0)
     score = {(r.x, r.y): r.combined for r in scored.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), "combined").collect()}
     wanted = {}
     rows = sorted(words_.collect(), key=lambda r: r.id)
