@@ -15,7 +15,7 @@ def leader_clusters(
     block: str,
     score: Callable[[DataFrame], DataFrame],
     threshold: float,
-    batch: int = 64,
+    batch: int = 256,
     max_rounds: int = 10_000,
 ) -> DataFrame:
     """Star clusters in id order inside each block: (block, id, leader).

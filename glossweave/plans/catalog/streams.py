@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossweave.operators.dedup import keep_first
-from glossweave.plans.catalog.base import ENTRIES, as_entries, query, table
+from glossweave.operators import concepts
+from glossweave.operators.dedup import keep_first, keep_last
+from glossweave.plans import ingest
+from glossweave.plans.catalog.base import ENTRIES, as_entries, query, table, vector_entries
 from glossweave.session import scratch_path
 from glossweave.streaming import jobs
 
@@ -75,3 +77,34 @@ def stream_first_events(spark, sf):
     """Stream to a table, then keep the first row per key in batch."""
     out = jobs.stream_through(_events(spark, sf).select("event_id", "user_id"), "events")
     return keep_first(out, ["user_id"], ["event_id"]).select("user_id", "event_id")
+
+
+@query("stream_upsert", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_upsert(spark, sf):
+    """Events in micro-batches as upserts of one row per user; the newest stays."""
+    source, path = scratch_path(spark, "upsert-in"), scratch_path(spark, "upsert")
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    ev.repartitionByRange(4, "event_id").write.json(source)
+    store = jobs.store_changes(path)
+
+    def newest(batch, number):
+        store(keep_last(batch, ["user_id"], ["event_id"]), number)
+
+    stream = jobs.json_stream(spark, source, ev.schema, files_per_batch=1)
+    jobs.run_batches(stream, newest, f"{path}-state").awaitTermination()
+    # Files may arrive in any order, so the newest event decides, not the newest batch.
+    rows = spark.read.parquet(path).select("user_id", "event_type", "event_id")
+    return keep_last(rows, ["user_id"], ["event_id"])
+
+
+@query("full_run")
+def full_run(spark, sf):
+    """Clean, gate, deduplicate, embed what has no vector, assign and rate all entries."""
+    e = vector_entries(spark, sf)
+    out = ingest.full_run(
+        e.drop("concept_id"), ["id"], concepts.centroids(e), lambda df, c: concepts.hashed_vectors(df, c, 64)
+    )
+    return out.select(
+        "id", "headword", "language", "concept_id", F.round("concept_confidence", 4).alias("confidence"),
+        F.round("data_quality", 4).alias("data_quality"),
+    )

@@ -206,7 +206,7 @@ clusters AS (
 
 @query("cognate_clusters", f"WITH RECURSIVE {_PAIRS}, {_clusters_sql(_layered('cognate'), 0.6)} SELECT concept_id, id, leader FROM clusters")
 def cognate_clusters(spark, sf):
-    return difference.cognate_clusters(lexicon(spark, sf), batch=16).select("concept_id", "id", "leader")
+    return difference.cognate_clusters(lexicon(spark, sf)).select("concept_id", "id", "leader")
 
 
 _TWO = "(0.6e0 * p + 0.4e0 * s)"

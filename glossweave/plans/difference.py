@@ -33,7 +33,7 @@ def cognate_score(pairs: DataFrame, cut: float = 0.0) -> DataFrame:
     return layered_scores(kept, "cognate", semantic=dot(F.col("a.unit"), F.col("b.unit")))
 
 
-def cognate_clusters(entries: DataFrame, threshold: float = COGNATE_CUT, batch: int = 64) -> DataFrame:
+def cognate_clusters(entries: DataFrame, threshold: float = COGNATE_CUT, batch: int = 256) -> DataFrame:
     """Star clusters per concept: (concept_id, id, leader)."""
     slim = comparable(entries).select("concept_id", "id", "ipa", "language", "size", "unit")
     return leader_clusters(slim, "concept_id", lambda p: cognate_score(p, threshold), threshold, batch)

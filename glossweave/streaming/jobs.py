@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from glossweave.functions.rules import passes_gate
+from glossweave.operators.dedup import keep_last
 from glossweave.plans.cleaning import clean_entries, split_rejects
 from glossweave.plans.ingest import rate
 from glossweave.session import scratch_path
@@ -91,6 +92,27 @@ def store_new(path: str, keys: list[str], order: list[str], progress_path: str |
     return handle
 
 
+def store_changes(path: str):
+    """Batch handler for upserts: appends the batch; :func:`current` merges on reading.
+
+    Nothing that is stored gets rewritten, however large the table is, and a
+    batch that runs again overwrites only itself.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return handle
+
+
+def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest row per key of a table written by :func:`store_changes`.
+
+    Within one batch keys must be unique.
+    """
+    return keep_last(spark.read.parquet(path), keys, ["batch"]).drop("batch")
+
+
 def _earlier(spark: SparkSession, path: str, number: int, like: DataFrame) -> DataFrame:
     """Keys stored by earlier batches; none before the first."""
     if number == 0:
