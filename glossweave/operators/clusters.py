@@ -104,7 +104,9 @@ def set_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     The weight is the confidence of the set. A hub keeps the set connected
     with one link per member where a clique would need their square.
     """
-    hubs = members.groupBy("set_id").agg(F.min("id").alias("source"))
+    # Written, so that the join below meets two plain tables and a set with very
+    # many members can be split over tasks.
+    hubs = materialize(members.groupBy("set_id").agg(F.min("id").alias("source")), "hubs")
     met = members.join(hubs, "set_id").filter(F.col("id") != F.col("source"))
     return met.join(sets.select("set_id", F.col("confidence").alias("weight")), "set_id").select(
         "source", F.col("id").alias("target"), "weight"
@@ -133,7 +135,7 @@ def silhouette(pairs: DataFrame, members: DataFrame) -> DataFrame:
         F.max(F.when(F.col("own") == F.col("other"), F.col("mean"))).alias("inner"),
         F.min(F.when(F.col("own") != F.col("other"), F.col("mean"))).alias("outer"),
     )
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialize(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "sizes")
     points = members.join(sizes, "cluster").join(per, "id", "left")
     inner = F.coalesce("inner", F.lit(0.0))
     outer = F.coalesce("outer", F.lit(float("inf")))

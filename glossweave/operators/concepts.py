@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from glossweave.functions.text import concept_label
 from glossweave.functions.vectors import cosine, dot, unit
 from glossweave.operators.graph import components
-from glossweave.operators.skew import HEAVY_ROWS, spread_join
+from glossweave.operators.skew import HEAVY_ROWS, heavy_of, spread_join
 from glossweave.operators.windows import first_n, with_row_index
 from glossweave.session import fits_in_memory, materialize
 
@@ -58,9 +58,11 @@ def embed_missing(
     """Fill absent vectors; a definition shared by many entries is embedded once."""
     absent = F.col("embedding").isNull() & F.col("definition").isNotNull()
     todo = entries.filter(absent).withColumn("_key", F.sha2("definition", 256))
-    texts = todo.select("_key", "definition").dropDuplicates(["_key"])
-    vectors = embed(texts, "definition").select("_key", F.col("embedding").alias("_vector"))
-    filled = spread_join(todo.drop("embedding"), vectors, ["_key"], min_rows=spread_rows)
+    texts = todo.groupBy("_key").agg(F.any_value("definition").alias("definition"), F.count(F.lit(1)).alias("_n"))
+    vectors = embed(texts, "definition").select("_key", "_n", F.col("embedding").alias("_vector"))
+    vectors = materialize(vectors, "vectors")
+    heavy = heavy_of(vectors, ["_key"], "_n", spread_rows)
+    filled = spread_join(todo.drop("embedding"), vectors.drop("_n"), ["_key"], heavy=heavy)
     filled = filled.withColumnRenamed("_vector", "embedding").select(*entries.columns)
     return entries.filter(~absent).unionByName(filled)
 

@@ -211,7 +211,7 @@ def _move_half(links: DataFrame, state: DataFrame, m2: float, resolution: float,
 
 
 def _with_smallest_name(state: DataFrame) -> DataFrame:
-    names = state.groupBy("community").agg(F.min("node").alias("name"))
+    names = materialize(state.groupBy("community").agg(F.min("node").alias("name")), "names")
     return state.join(names, "community").select("node", F.col("name").alias("community"))
 
 

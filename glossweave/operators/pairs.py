@@ -85,12 +85,11 @@ def similar_forms(
         .withColumn("_first", F.greatest(F.lit(0), col("_p") - back(col("_t") - gap)))
         .withColumn("_last", F.least(col("_m") - col("_w"), col("_p") + back(col("_t") + gap)))
         .filter("_first <= _last")
-        .withColumn("_q", F.explode(F.sequence("_first", "_last")))
+        .withColumn("_pieces", F.transform(F.sequence("_first", "_last"), lambda q: piece(q, col("_w"))))
         .select(
             *block, col("_form").alias("_long"), col("_plain").alias("_plain_b"), "_n", "_m", "_i",
-            piece(col("_q"), col("_w")).alias("_piece"),
+            F.explode(F.array_distinct("_pieces")).alias("_piece"),
         )
-        .distinct()
     )
     met = spread_join(short, long, [*block, "_n", "_m", "_i", "_piece"], min_rows=spread_rows).filter(
         (col("_n") < col("_m")) | (col("_short") < col("_long"))
@@ -111,19 +110,25 @@ def similar_forms(
     )
 
 
-def entry_pairs(entries: DataFrame, min_similarity: float, block: str = "concept_id") -> DataFrame:
+PAIR_FIELDS = ("id", "headword", "ipa", "language", "embedding")
+
+
+def entry_pairs(
+    entries: DataFrame, min_similarity: float, block: str = "concept_id", fields: tuple[str, ...] = PAIR_FIELDS
+) -> DataFrame:
     """Pairs of deduplicated entries of one block that sound alike.
 
     ``entries`` hold one row per (headword, language). Equal forms then meet
     once per language, so no group of copies is paired with itself.
-    Columns: block, ``a`` and ``b`` (entry structs, a.id < b.id), phonetic.
+    The table is read several times, so give a stored one. Columns: block,
+    ``a`` and ``b`` (structs of ``fields``, a.id < b.id), phonetic.
     """
-    kept = entries.filter(F.col(block).isNotNull() & F.col("ipa").isNotNull())
+    kept = entries.select(block, *fields).filter(F.col(block).isNotNull() & F.col("ipa").isNotNull())
     near = similar_forms(kept, "ipa", min_similarity, (block,))
     same = kept.select(block, F.col("ipa").alias("form_a"), F.col("ipa").alias("form_b")).distinct()
     links = near.unionByName(same.withColumn("similarity", F.lit(1.0)))
     side = lambda s: kept.select(
-        block, F.col("ipa").alias(f"form_{s}"), F.struct(*[c for c in kept.columns if c != block]).alias(s)
+        block, F.col("ipa").alias(f"form_{s}"), F.struct(*fields).alias(s)
     )
     met = links.join(side("a"), [block, "form_a"]).join(side("b"), [block, "form_b"])
     swap = F.col("a.id") > F.col("b.id")

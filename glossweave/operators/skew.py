@@ -15,8 +15,12 @@ def heavy_keys(rows: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) ->
     The bound costs nothing: a key outside the list owns less than one row in
     MAX_HEAVY, which is an ordinary task.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    top = counted.filter(F.col("_rows") >= min_rows).orderBy(F.desc("_rows"), *keys).limit(MAX_HEAVY)
+    return heavy_of(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", min_rows)
+
+
+def heavy_of(counted: DataFrame, keys: list[str], count: str, min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """The same from rows per key that are known already."""
+    top = counted.filter(F.col(count) >= min_rows).orderBy(F.desc(count), *keys).limit(MAX_HEAVY)
     return top.select(*keys)
 
 
@@ -27,14 +31,16 @@ def spread_join(
     how: str = "inner",
     spread: int = SPREAD,
     min_rows: int = HEAVY_ROWS,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that cuts the left rows of heavy keys into ``spread`` parts.
 
     Only the right rows of heavy keys are repeated, once per part. ``how`` may
     be any join that keeps every left row on its own: inner, left, left_semi
-    or left_anti.
+    or left_anti. Heavy keys are counted here unless they are given.
     """
-    heavy = heavy_keys(left, keys, min_rows).withColumn("_heavy", F.lit(True))
+    heavy = heavy_keys(left, keys, min_rows) if heavy is None else heavy
+    heavy = heavy.withColumn("_heavy", F.lit(True))
     part = F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int")
     every = F.sequence(F.lit(0), F.lit(spread - 1))
     left = (

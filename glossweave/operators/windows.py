@@ -57,6 +57,27 @@ def sliding_windows(
     return windows.filter(whole).drop("_block")
 
 
+def last_marked(
+    df: DataFrame, group: str, order: tuple[str, str], marked: str, name: str, chunk: int = 10_000
+) -> DataFrame:
+    """Place (both order columns) of the last marked row at or before each row.
+
+    ``order`` is a coarse and a fine position inside the group, both numbers.
+    A group is cut into chunks of the fine position. Rows look back inside
+    their chunk only; what earlier chunks end with comes from one row per
+    chunk, so a group with very many rows is not one task's work.
+    """
+    coarse, fine = order
+    place = F.when(F.col(marked), F.struct(*order))
+    cut = df.withColumn("_chunk", F.floor(F.col(fine) / chunk))
+    ends = cut.groupBy(group, coarse, "_chunk").agg(F.max(place).alias("_end"))
+    before = Window.partitionBy(group).orderBy(coarse, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = materialize(ends.select(group, coarse, "_chunk", F.max("_end").over(before).alias("_carried")), "chunks")
+    inside = Window.partitionBy(group, coarse, "_chunk").orderBy(fine).rowsBetween(Window.unboundedPreceding, 0)
+    seen = cut.withColumn("_seen", F.max(place).over(inside)).join(carried, [group, coarse, "_chunk"])
+    return seen.withColumn(name, F.coalesce("_seen", "_carried")).drop("_chunk", "_seen", "_carried")
+
+
 def first_n(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """First ``n`` rows per group; map tasks already drop the rest."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

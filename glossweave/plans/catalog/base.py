@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossweave.functions.tree import language_rows
-from glossweave.session import share
+from glossweave.operators.dedup import keep_first
+from glossweave.session import materialize, share
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,11 +67,9 @@ def vector_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries with a vector, one per (headword, language): the first."""
-    from glossweave.operators.dedup import keep_first
-
+    """The typed table: entries with a vector, the first per (headword, language)."""
     kept = vector_entries(spark, sf).filter("embedding is not null")
-    return keep_first(kept, ["headword", "language"], ["id"])
+    return materialize(keep_first(kept, ["headword", "language"], ["id"]), "lexicon")
 
 
 def concept_table(spark: SparkSession, sf: str) -> DataFrame:

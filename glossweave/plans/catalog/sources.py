@@ -207,14 +207,14 @@ _LINE_RULE = lines.LineRule(
 @query("line_entries", r"""
 WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 m AS (SELECT *, regexp_matches(line, '^\p{Lu}\p{Ll}{0,2} ') AS opens FROM l),
-r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY n) AS entry FROM m)
-SELECT doc_id AS doc, entry::BIGINT AS entry, max(regexp_extract(line, '^(\p{L}+)', 1)) FILTER (opens) AS headword,
+r AS (SELECT *, max(CASE WHEN opens THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS entry FROM m)
+SELECT doc_id AS doc, entry::BIGINT AS line_no, max(regexp_extract(line, '^(\p{L}+)', 1)) FILTER (opens) AS headword,
   arg_max(regexp_extract(line, '(\p{L}+)\.$', 1), n) FILTER (NOT opens AND regexp_matches(line, '(\p{L}+)\.$')) AS definition,
   arg_max(regexp_extract(line, '^(\p{L}+) ', 1), n) FILTER (NOT opens AND regexp_matches(line, '^(\p{L}+) ')) AS etymology
-FROM r WHERE entry > 0 GROUP BY doc_id, entry""")
+FROM r WHERE entry IS NOT NULL GROUP BY doc_id, entry""")
 def line_entries(spark, sf):
     rows = lines.split_lines(table(spark, sf, "documents"), "doc_id", "text").withColumn("page", F.lit(1))
-    return lines.line_entries(rows, _LINE_RULE).select("doc", "entry", "headword", "definition", "etymology")
+    return lines.line_entries(rows, _LINE_RULE, chunk=8).select("doc", "line_no", "headword", "definition", "etymology")
 
 
 @query("source_catalog", """

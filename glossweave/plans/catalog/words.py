@@ -133,8 +133,8 @@ def similarity_edges(spark, sf):
     return edges.select("entry_a", "entry_b", r6("phonetic_score"), r6("semantic_score"), r6("combined_score"))
 
 
-def layered_edges(spark, sf):
-    out = pairs.layered_scores(pairs.entry_pairs(lexicon(spark, sf), CUT), "balanced")
+def layered_edges(words):
+    out = pairs.layered_scores(pairs.entry_pairs(words, CUT), "balanced")
     return out.select(
         F.col("a.id").alias("entry_a"), F.col("b.id").alias("entry_b"), F.col("semantic").alias("semantic_score"),
         F.col("phonetic").alias("phonetic_score"), F.col("etymological").alias("etymological_score"),
@@ -150,7 +150,7 @@ SELECT entry_id, headword, language, round(c, 6) AS combined_score FROM mine JOI
 ORDER BY c DESC, entry_id LIMIT 10""")
 def find_similar(spark, sf):
     words = lexicon(spark, sf)
-    edges = materialize(layered_edges(spark, sf), "edges")
+    edges = materialize(layered_edges(words), "edges")
     ends = edges.select(F.explode(F.array("entry_a", "entry_b")).alias("id")).groupBy("id").count()
     busiest = ends.orderBy(F.desc("count"), "id").first()[0]
     return ops.similar_entries(edges, words, busiest, 10).select("entry_id", "headword", "language", r6("combined_score"))
@@ -165,7 +165,8 @@ _DIFFERENCES = f"""{_PAIRS}, diff AS (
 
 @query("lexical_differences", f"WITH {_DIFFERENCES} SELECT * FROM diff")
 def lexical_differences(spark, sf):
-    out = ops.lexical_differences(layered_edges(spark, sf), lexicon(spark, sf), concept_table(spark, sf))
+    words = lexicon(spark, sf)
+    out = ops.lexical_differences(layered_edges(words), words, concept_table(spark, sf))
     return out.select(
         "concept_id", "concept_label", "language_a", "language_b", "form_a", "form_b", r6("combined_score"),
         "phylogenetic_distance",
@@ -182,7 +183,7 @@ FROM n a JOIN n b ON a.concept_id = b.concept_id AND a.language < b.language
 LEFT JOIN s ON s.concept_id = a.concept_id AND s.language_a = a.language AND s.language_b = b.language""")
 def unscored_pairs(spark, sf):
     words = lexicon(spark, sf)
-    diff = ops.lexical_differences(layered_edges(spark, sf), words, concept_table(spark, sf))
+    diff = ops.lexical_differences(layered_edges(words), words, concept_table(spark, sf))
     return ops.unscored_pairs(words, diff)
 
 
@@ -226,7 +227,7 @@ SELECT 'cognate_set_' || c.leader AS id, count(*) AS size,
        round(CASE WHEN count(*) < 2 THEN 1e0 ELSE coalesce(max(m), 0e0) END, 6) AS confidence, md5(max(l.definition)) AS core_md5
 FROM clusters c JOIN lexicon l ON l.id = c.leader LEFT JOIN inside i ON i.leader = c.leader GROUP BY c.leader""")
 def cognate_sets(spark, sf):
-    words = materialize(lexicon(spark, sf), "lexicon")
+    words = lexicon(spark, sf)
     members = clusters.leader_clusters(
         difference.comparable(words).select("concept_id", "id", "ipa", "size", "unit"), "concept_id", _two_signal, 0.7
     )

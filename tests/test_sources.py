@@ -141,9 +141,10 @@ def test_line_entries(spark):
     text = [(1, 1, "preface"), (1, 2, "WATER n."), (1, 3, "def: liquid"), (2, 1, "def: clear liquid"), (2, 2, "FIRE v."), (2, 3, "from: old")]
     df = spark.createDataFrame([("d", p, n, t) for p, n, t in text], "doc string, page int, line_no int, line string")
     rule = lines.LineRule(r"[A-Z]{3,}", r"^([A-Z]+)", "en", r"def: (.*)", r"from: (.*)")
-    got = lines.line_entries(df, rule)
-    assert sorted(rows(got, "headword", "page", "definition", "etymology")) == [
-        ("FIRE", 2, None, "old"), ("WATER", 1, "clear liquid", None)]
+    for chunk in (1, 2, 1000):
+        got = lines.line_entries(df, rule, chunk)
+        assert sorted(rows(got, "headword", "page", "line_no", "definition", "etymology")) == [
+            ("FIRE", 2, 2, None, "old"), ("WATER", 1, 2, "clear liquid", None)]
 
 
 TOML = """
