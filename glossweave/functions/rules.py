@@ -19,8 +19,18 @@ KNOWN_CODES = (
 LENGTH_MARKS = "[ː̯̥̆̊]"
 
 
+# Error texts.
+REQUIRED = "%s is required"
+TOO_SHORT = "%s must be at least %d characters"
+TOO_LONG = "%s must be at most %d characters"
+IPA_EMPTY = "IPA transcription is empty"
+IPA_DIGITS = "IPA contains suspicious numeric characters"
+IPA_BRACKETS = "IPA has unbalanced brackets"
+UNKNOWN_CODE = "Unknown or non-Indo-European language code: %s"
+
+
 def required(field: str) -> Column:
-    return F.when(~not_blank(F.col(field).cast("string")), f"{field} is required")
+    return F.when(~not_blank(F.col(field).cast("string")), REQUIRED % field)
 
 
 def _length(field: str) -> Column:
@@ -28,11 +38,11 @@ def _length(field: str) -> Column:
 
 
 def min_length(field: str, n: int) -> Column:
-    return F.when(_length(field) < n, f"{field} must be at least {n} characters")
+    return F.when(_length(field) < n, TOO_SHORT % (field, n))
 
 
 def max_length(field: str, n: int) -> Column:
-    return F.when(_length(field) > n, f"{field} must be at most {n} characters")
+    return F.when(_length(field) > n, TOO_LONG % (field, n))
 
 
 def matches(field: str, pattern: str, description: str) -> Column:
@@ -43,17 +53,13 @@ def matches(field: str, pattern: str, description: str) -> Column:
 def sound_ipa(field: str = "ipa") -> Column:
     ipa = F.coalesce(F.col(field), F.lit(""))
     count = lambda mark: F.length(ipa) - F.length(F.replace(ipa, F.lit(mark), F.lit("")))
-    return (
-        F.when(~not_blank(ipa), "IPA transcription is empty")
-        .when(ipa.rlike("[0-9]") & ~ipa.rlike(LENGTH_MARKS), "IPA contains suspicious numeric characters")
-        .when(count("[") != count("]"), "IPA has unbalanced brackets")
-    )
+    digits = ipa.rlike("[0-9]") & ~ipa.rlike(LENGTH_MARKS)
+    return F.when(~not_blank(ipa), IPA_EMPTY).when(digits, IPA_DIGITS).when(count("[") != count("]"), IPA_BRACKETS)
 
 
 def known_language(field: str = "language") -> Column:
     code = F.lower(F.coalesce(F.col(field), F.lit("")))
-    message = F.concat(F.lit("Unknown or non-Indo-European language code: "), code)
-    return F.when(~code.isin(KNOWN_CODES), message)
+    return F.when(~code.isin(KNOWN_CODES), F.format_string(UNKNOWN_CODE, code))
 
 
 def standard_rules() -> list[Column]:

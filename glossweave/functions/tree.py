@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from glossweave.functions.scores import origin_chance
+
 # Every branch with the branch above it.
 PARENT = {
     "indo_iranian": "pie", "indic": "indo_iranian", "iranian": "indo_iranian",
@@ -101,3 +105,11 @@ def add_tree_distance(
     out = out.withColumn(name, path_distance(out, a, b, mode))
     extra = [f"{p}_{c}" for p in "ab" for c in ("depth", "branch", "family", "path")]
     return out if keep else out.drop(*extra)
+
+
+def language_pairs(spark: SparkSession) -> DataFrame:
+    """Distance and chance of common origin for every pair of tree languages, a < b."""
+    codes = sorted(row[0] for row in language_rows())
+    pairs = spark.createDataFrame(list(combinations(codes, 2)), "lang_a string, lang_b string")
+    out = add_tree_distance(pairs, "lang_a", "lang_b")
+    return out.withColumn("prior_probability", origin_chance(F.col("tree_distance")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from glossweave.operators.windows import first_n
-from glossweave.session import materialize, share
+from glossweave.session import materialize, materialize_counting, share
 
 
 def leader_clusters(
@@ -31,13 +31,13 @@ def leader_clusters(
     all tasks, and the outcome equals the one-by-one procedure.
     """
     fields = F.struct(*[c for c in entries.columns if c != block])
-    free = materialize(
-        entries.filter(F.col(block).isNotNull()).select(block, "id", fields.alias("e")), "free"
+    free, left = materialize_counting(
+        entries.filter(F.col(block).isNotNull()).select(block, "id", fields.alias("e")), "true", "free"
     )
-    done = None
+    done = free.select(block, "id", F.col("id").alias("leader")).limit(0)
     for _ in range(max_rounds):
-        if free.limit(1).isEmpty():
-            break
+        if not left:
+            return done
         free = share(free)
         leaders = materialize(_next_leaders(free, block, score, threshold, batch), "leaders")
         met = free.join(leaders.select(block, F.col("e").alias("a")), block).withColumnRenamed("e", "b")
@@ -45,13 +45,10 @@ def leader_clusters(
         others = score(met.filter(F.col("a.id") < F.col("b.id"))).filter(F.col("combined") >= threshold)
         links = others.select(block, F.col("b.id").alias("id"), F.col("a.id").alias("leader")).unionByName(own)
         taken = materialize(links.groupBy(block, "id").agg(F.min("leader").alias("leader")), "taken")
-        done = taken if done is None else done.unionByName(taken)
-        free = materialize(free.join(taken.select("id"), "id", "left_anti").select(block, "id", "e"), "free")
-    else:
-        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
-    if done is None:
-        return free.select(block, "id", F.col("id").alias("leader"))
-    return done
+        done = done.unionByName(taken)
+        rest = free.join(taken.select("id"), "id", "left_anti").select(block, "id", "e")
+        free, left = materialize_counting(rest, "true", "free")
+    raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
 
 
 def _next_leaders(free: DataFrame, block: str, score, threshold: float, batch: int) -> DataFrame:
@@ -98,6 +95,19 @@ def cognate_sets(members: DataFrame, entries: DataFrame, edges: DataFrame) -> Da
     )
 
 
+def cluster_rows(members: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """One row per star cluster: its concept, first form, languages, size and confidence.
+
+    ``members``: concept_id, id, leader; ``sets``: set_id (the leader), size, confidence.
+    """
+    spoken = members.join(entries.select("id", "language"), "id")
+    languages = spoken.groupBy("leader").agg(F.array_sort(F.collect_set("language")).alias("languages"))
+    heads = members.filter(F.col("id") == F.col("leader")).select("concept_id", "leader")
+    forms = entries.select(F.col("id").alias("leader"), F.col("headword").alias("representative_form"))
+    out = heads.join(forms, "leader").join(languages, "leader")
+    return out.join(sets.withColumnRenamed("set_id", "leader"), "leader")
+
+
 def set_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of a set for a network view: every member to the first one.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from glossweave.operators.windows import first_n
-from glossweave.session import materialize
+from glossweave.session import materialize, materialize_counting
 
 
 def above(edges: DataFrame, threshold: float) -> DataFrame:
@@ -57,9 +57,9 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         jumped = step.join(lookup, "hop", "left").select(
             "node", "old", F.least("hop", "beyond").alias("label")
         )
-        done = materialize(jumped, "labels")
+        done, changed = materialize_counting(jumped, "old <> label", "labels")
         labels = done.select("node", "label")
-        if done.filter("old <> label").limit(1).isEmpty():
+        if not changed:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -135,10 +135,10 @@ def shortest_paths(edges: DataFrame, source: DataFrame, max_rounds: int = 1000)
         )
         met = known.select("node", "cost").join(offers, "node", "full")
         better = F.coalesce(F.col("offer") < F.col("cost"), F.col("cost").isNull())
-        known = materialize(
-            met.select("node", F.least("cost", "offer").alias("cost"), better.alias("fresh")), "costs"
+        known, changed = materialize_counting(
+            met.select("node", F.least("cost", "offer").alias("cost"), better.alias("fresh")), "fresh", "costs"
         )
-        if known.filter("fresh").limit(1).isEmpty():
+        if not changed:
             return known.select("node", "cost")
     raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
 

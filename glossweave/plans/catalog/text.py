@@ -264,3 +264,11 @@ def rule_scores_by_language(spark, sf):
         F.count(F.lit(1)).alias("entries"), F.avg(rules.rule_score(F.size("validation_errors"))).alias("score")
     )
     return out.select("language", "entries", r6("score"))
+
+
+@query("quality_metrics", f"""
+WITH {RECORDS}, c AS (SELECT id, len({_errors_sql('standard')}) AS n, length(definition) AS l FROM records)
+SELECT id AS entry_id, 'rule_score' AS metric_name, round(CASE WHEN n = 0 THEN 1e0 ELSE 1e0 - least(0.15e0 * n, 0.9e0) END, 6) AS metric_value FROM c
+UNION ALL SELECT id, 'rule_errors', n::DOUBLE FROM c UNION ALL SELECT id, 'definition_length', l::DOUBLE FROM c""")
+def quality_metrics(spark, sf):
+    return ingest.quality_metrics(records(spark, sf)).withColumn("metric_value", F.round("metric_value", 6))

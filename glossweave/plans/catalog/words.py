@@ -9,7 +9,7 @@ from glossweave.functions.vectors import dot
 from glossweave.operators import clusters, entries as ops, pairs
 from glossweave.plans import difference
 from glossweave.plans.catalog.base import (
-    ENTRIES, LEXICON, TREE, chance_sql, concept_table, cosine_sql, distance_sql, entries, lexicon, phonetic_sql,
+    ENTRIES, LEXICON, SQL, TREE, chance_sql, concept_table, cosine_sql, distance_sql, entries, lexicon, phonetic_sql,
     query, r6, table,
 )
 from glossweave.session import materialize
@@ -273,3 +273,53 @@ def lexical_difference_report(spark, sf):
         "concept_id", "language_a", "language_b", "form_a", "form_b", "cluster_a", "cluster_b",
         shown("cognates_a"), shown("cognates_b"), "tree_distance", r6("combined"), "explanation",
     )
+
+
+@query("cluster_rows", f"""
+WITH RECURSIVE {_PAIRS}, {_clusters_sql(_layered('cognate'), 0.6)},
+inside AS (SELECT a.leader, avg({_layered('cognate')}) AS m FROM pairs JOIN clusters a ON a.id = id_a JOIN clusters b ON b.id = id_b
+           WHERE a.leader = b.leader AND p >= 0.5 GROUP BY a.leader)
+SELECT c.concept_id, c.leader, max(l.headword) FILTER (l.id = c.leader) AS representative_form,
+  string_agg(DISTINCT l.language, ',' ORDER BY l.language) AS languages, count(*) AS size,
+  round(CASE WHEN count(*) < 2 THEN 1e0 ELSE coalesce(max(m), 0e0) END, 6) AS confidence
+FROM clusters c JOIN lexicon l ON l.id = c.id LEFT JOIN inside i ON i.leader = c.leader GROUP BY ALL""")
+def cluster_rows(spark, sf):
+    words = lexicon(spark, sf)
+    members = materialize(difference.cognate_clusters(words), "members")
+    scored = pairs.layered_scores(pairs.entry_pairs(words, 0.5), "cognate").select(
+        F.col("a.id").alias("entry_a"), F.col("b.id").alias("entry_b"), F.col("combined").alias("combined_score")
+    )
+    sets = clusters.set_confidence(scored, members.select("id", F.col("leader").alias("set_id")))
+    out = clusters.cluster_rows(members, words, sets)
+    return out.select(
+        "concept_id", "leader", "representative_form", F.array_join("languages", ",").alias("languages"), "size", r6("confidence")
+    )
+
+
+_DP = f"""{FORMS}, p AS (SELECT form_a, form_b, string_split(form_a, '') AS a, string_split(form_b, '') AS b FROM near),
+dp AS (
+  SELECT form_a, form_b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: FIRST) AS row FROM p
+  UNION ALL
+  SELECT d.form_a, d.form_b, d.i + 1, STEP FROM dp d JOIN p ON p.form_a = d.form_a AND p.form_b = d.form_b WHERE d.i < len(p.a))"""
+
+_WARP = _DP.replace("FIRST", "CASE WHEN j = 0 THEN 0e0 ELSE 1e9 END").replace("STEP", """list_concat([1e9], list_transform(range(1, len(p.b) + 1), lambda j:
+    list_min(list_transform(range(1, j + 1), lambda k: least(d.row[k], d.row[k + 1])
+      + list_sum(list_transform(range(k, j + 1), lambda l: CASE WHEN p.b[l] = p.a[d.i + 1] THEN 0e0 ELSE 1e0 END))))))""")
+
+
+@query("warp_cost", f"""
+WITH RECURSIVE {_WARP}
+SELECT dp.form_a, dp.form_b, dp.row[len(p.b) + 1] AS cost FROM dp JOIN p ON p.form_a = dp.form_a AND p.form_b = dp.form_b WHERE dp.i = len(p.a)""")
+def warp_cost(spark, sf):
+    near = pairs.similar_forms(entries(spark, sf), "ipa", CUT)
+    return near.select("form_a", "form_b", phonetic.align(F.col("form_a"), F.col("form_b"))["cost"].alias("cost"))
+
+
+_FEATURE = _DP.replace("FIRST", "j::DOUBLE").replace("STEP", """list_concat([d.i + 1e0], list_transform(range(1, len(p.b) + 1), lambda j:
+    least(d.i + 1e0 + j, list_min(list_transform(range(1, j + 1), lambda k: least(d.row[k + 1] + 1e0,
+      d.row[k] + bit_count(xor(unicode(p.b[k]), unicode(p.a[d.i + 1]))) / 24e0) + (j - k))))))""")
+
+SQL["feature_distance"] = f"""
+WITH RECURSIVE {_FEATURE}
+SELECT dp.form_a, dp.form_b, round(dp.row[len(p.b) + 1] / greatest(len(p.a), len(p.b)), 6) AS distance
+FROM dp JOIN p ON p.form_a = dp.form_a AND p.form_b = dp.form_b WHERE dp.i = len(p.a)"""

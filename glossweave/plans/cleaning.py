@@ -65,6 +65,7 @@ class Chain:
         return df.select(F.col(record_id).alias("record_id"), F.inline(F.array(*rows)))
 
 
+# Step names and versions, as they appear in signatures and logs.
 HEADWORD = Cleaner("headword_cleaner", text.clean_headword, text.valid_text)
 PLAIN_TEXT = Cleaner(
     "text_normalizer", text.normalize_text, text.valid_text, (text.unicode_form, F.lower, text.squeeze)

@@ -12,6 +12,7 @@ from glossweave.operators.pairs import layered_scores
 from glossweave.operators.windows import first_n
 from glossweave.session import materialize
 
+# Fixed value: score from which two forms count as cognates.
 COGNATE_CUT = 0.6
 
 
@@ -90,49 +91,53 @@ def lexical_differences(entries: DataFrame, threshold: float = COGNATE_CUT) -> D
     )
 
 
+# The sentences of a report, in the order in which they appear.
+USES = "%s uses '%s' while %s uses '%s' for the same concept."
+OTHER_FAMILIES = (
+    "These languages belong to different families (%s vs %s). "
+    "Any similarity is likely due to loanwords or chance resemblance."
+)
+ALIKE = "These forms show high phonetic similarity (%s), suggesting possible cognate relationship."
+DISTINCT = "These forms are phonetically distinct (%s), indicating likely separate origins."
+CLUSTERS_WITH = "'%s' clusters with forms in: %s."
+DESPITE_CLOSE = (
+    "Despite close phylogenetic relationship (distance=%d), these languages diverged lexically for this concept."
+)
+ALIGNS_WITH_DISTANT = "This difference aligns with distant phylogenetic relationship (distance=%d)."
+BRANCH_SPLIT = "This reflects the split between %s and %s branches."
+WITHIN_BRANCH = (
+    "This variation exists within the %s branch, possibly due to substrate influence, borrowing, or lexical replacement."
+)
+
+# When a sentence applies.
+ALIKE_ABOVE, DISTINCT_BELOW = 0.7, 0.3
+CLOSE_UP_TO, DISTANT_FROM = 2, 5
+LANGUAGES_NAMED = 3
+
+
 def explanation() -> Column:
     """The report sentences that apply, in order."""
-    shown = F.format_string("%.2f", F.bround("phonetic", 2))
-    branch = lambda s: F.coalesce(f"{s}_branch", F.lit("unknown"))
-    family = lambda s: F.coalesce(f"{s}_family", F.lit("unknown"))
-    split = F.col("a.leader") != F.col("b.leader")
+    say = F.format_string
+    sound, apart = F.col("phonetic"), F.col("tree_distance")
+    shown = say("%.2f", F.bround(sound, 2))
+    known = lambda name: F.coalesce(name, F.lit("unknown"))
+    families = F.col("a_family") != F.col("b_family")
+    branch_a, branch_b = known("a_branch"), known("b_branch")
 
     def companions(s: str) -> Column:
-        langs = F.transform(F.slice(F.col(f"{s}.cognates"), 1, 3), lambda x: x["language"])
-        line = F.concat(F.lit("'"), F.col(f"{s}.headword"), F.lit("' clusters with forms in: "), F.array_join(langs, ", "), F.lit("."))
-        return F.when(split & (F.size(f"{s}.cognates") > 0), line)
+        named = F.transform(F.slice(F.col(f"{s}.cognates"), 1, LANGUAGES_NAMED), lambda x: x["language"])
+        some = (F.col("a.leader") != F.col("b.leader")) & (F.size(f"{s}.cognates") > 0)
+        return F.when(some, say(CLUSTERS_WITH, F.col(f"{s}.headword"), F.array_join(named, ", ")))
 
     return F.concat_ws(
         " ",
-        F.format_string(
-            "%s uses '%s' while %s uses '%s' for the same concept.",
-            F.upper("language_a"), F.col("a.headword"), F.upper("language_b"), F.col("b.headword"),
-        ),
-        F.when(
-            (family("a") != family("b")) & (family("a") != "unknown") & (family("b") != "unknown"),
-            F.format_string(
-                "These languages belong to different families (%s vs %s). "
-                "Any similarity is likely due to loanwords or chance resemblance.", family("a"), family("b"),
-            ),
-        ),
-        F.when(F.col("phonetic") > 0.7, F.format_string(
-            "These forms show high phonetic similarity (%s), suggesting possible cognate relationship.", shown,
-        )).when(F.col("phonetic") < 0.3, F.format_string(
-            "These forms are phonetically distinct (%s), indicating likely separate origins.", shown,
-        )),
-        companions("a"), companions("b"),
-        F.when(F.col("tree_distance") <= 2, F.format_string(
-            "Despite close phylogenetic relationship (distance=%d), these languages diverged lexically for this concept.",
-            F.col("tree_distance"),
-        )).when(F.col("tree_distance") >= 5, F.format_string(
-            "This difference aligns with distant phylogenetic relationship (distance=%d).", F.col("tree_distance"),
-        )),
-        F.when(branch("a") != branch("b"), F.format_string(
-            "This reflects the split between %s and %s branches.", branch("a"), branch("b"),
-        )).otherwise(F.format_string(
-            "This variation exists within the %s branch, possibly due to substrate influence, borrowing, or lexical replacement.",
-            branch("a"),
-        )),
+        say(USES, F.upper("language_a"), F.col("a.headword"), F.upper("language_b"), F.col("b.headword")),
+        F.when(families, say(OTHER_FAMILIES, F.col("a_family"), F.col("b_family"))),
+        F.when(sound > ALIKE_ABOVE, say(ALIKE, shown)).when(sound < DISTINCT_BELOW, say(DISTINCT, shown)),
+        companions("a"),
+        companions("b"),
+        F.when(apart <= CLOSE_UP_TO, say(DESPITE_CLOSE, apart)).when(apart >= DISTANT_FROM, say(ALIGNS_WITH_DISTANT, apart)),
+        F.when(branch_a != branch_b, say(BRANCH_SPLIT, branch_a, branch_b)).otherwise(say(WITHIN_BRANCH, branch_a)),
     )
 
 

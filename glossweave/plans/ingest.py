@@ -33,6 +33,16 @@ def rate(entries: DataFrame, rule_set: str = "standard") -> DataFrame:
     return out.withColumn("data_quality", quality)
 
 
+def quality_metrics(entries: DataFrame, rule_set: str = "standard") -> DataFrame:
+    """Long table of metrics per entry: (entry_id, metric_name, metric_value)."""
+    n = F.size(rules.errors(rules.RULE_SETS[rule_set]()))
+    wide = entries.select(
+        F.col("id").alias("entry_id"), rules.rule_score(n).alias("rule_score"), n.cast("double").alias("rule_errors"),
+        F.length("definition").cast("double").alias("definition_length"),
+    )
+    return wide.unpivot("entry_id", None, "metric_name", "metric_value")
+
+
 def typed_entries(
     records: DataFrame,
     order: list[str],

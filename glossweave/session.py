@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,6 +57,13 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counting(df: DataFrame, condition: str, label: str = "step") -> tuple[DataFrame, int]:
+    """:func:`materialize`, and how many rows met a condition, in the same job."""
+    watch = Observation()
+    out = materialize(df.observe(watch, F.count_if(F.expr(condition)).alias("n")), label)
+    return out, watch.get["n"]
+
+
 def fits_in_memory(df: DataFrame, bytes_per_row: int, budget: int = 64 << 20) -> bool:
     """True when the frame is small enough to hand to every task."""
     most = budget // max(bytes_per_row, 1)
@@ -66,6 +73,7 @@ def fits_in_memory(df: DataFrame, bytes_per_row: int, budget: int = 64 << 20) ->
 def share(df: DataFrame) -> DataFrame:
     """Spreads a small input over all cores before costly work on each row.
 
+    For frames read straight from files (others would run to count partitions).
     Fewer scan partitions than cores means less than one file split per core,
     so the shuffle is small; larger inputs are left as they are.
     """

@@ -180,3 +180,10 @@ def test_difference_report(spark):
     )
     other = difference.explain(df, "yes", "ta", "ru").first()
     assert "different families (indo-european vs dravidian)" in other.explanation
+
+
+def test_language_pair_table(spark):
+    table = tree.language_pairs(spark)
+    assert table.count() == 57 * 56 // 2
+    row = table.filter("lang_a = 'ru' and lang_b = 'uk'").first()
+    assert (row.tree_distance, row.prior_probability) == (6, 0.08)
