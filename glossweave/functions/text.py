@@ -42,12 +42,17 @@ def unicode_form(text: Column, form: str = "NFC") -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """One blank between words, none at the ends; any Unicode white space counts.
+    """One blank between words, none at the ends; any Unicode white space counts."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
-    Text that is squeezed already is recognised by cheaper tests and kept.
+
+def squeeze_loose(text: Column) -> Column:
+    """:func:`squeeze` for text that mostly needs none: cheaper tests come first.
+
+    The text is named several times, so give a plain column.
     """
     loose = text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.rlike(r"(?U)[^\S ]")
-    return F.when(loose, F.trim(F.regexp_replace(text, r"(?U)\s+", " "))).otherwise(text)
+    return F.when(loose, squeeze(text)).otherwise(text)
 
 
 def _drop(text: Column, pattern: str, needs: str) -> Column:

@@ -113,7 +113,7 @@ SELECT round(sum(coalesce(inside, 0) / m - (degree / (2 * m)) * (degree / (2 * m
 FROM deg LEFT JOIN ins USING (component), m""")
 def modularity(spark, sf):
     edges = word_edges(spark, sf)
-    groups = graph.threshold_clusters(edges, STRONG).withColumnRenamed("component", "community")
+    groups = _members(edges).toDF("node", "community")
     return graph.modularity(edges, groups).select(r6("modularity"))
 
 
@@ -183,7 +183,7 @@ def neighbours(spark, sf):
 
 
 def _members(edges):
-    return graph.threshold_clusters(edges, STRONG).toDF("id", "cluster")
+    return materialize(graph.threshold_clusters(edges, STRONG), "members").toDF("id", "cluster")
 
 
 @query("silhouette", f"""
@@ -215,7 +215,7 @@ _CONFIDENCE = f"""conf AS (
 
 
 def _sets(edges):
-    members = graph.threshold_clusters(edges, STRONG).toDF("id", "set_id")
+    members = _members(edges).toDF("id", "set_id")
     scored = edges.toDF("entry_a", "entry_b", "combined_score")
     return members, clusters.set_confidence(scored, members)
 

@@ -68,7 +68,7 @@ class Chain:
 # Step names and versions, as they appear in signatures and logs.
 HEADWORD = Cleaner("headword_cleaner", text.clean_headword, text.valid_text)
 PLAIN_TEXT = Cleaner(
-    "text_normalizer", text.normalize_text, text.valid_text, (text.unicode_form, F.lower, text.squeeze)
+    "text_normalizer", text.normalize_text, text.valid_text, (text.unicode_form, F.lower, text.squeeze_loose)
 )
 DEFINITION = Cleaner(
     "definition_cleaner", text.clean_definition, text.valid_definition,

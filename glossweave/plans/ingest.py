@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from glossweave.functions import ids, rules
 from glossweave.operators.concepts import assign, embed_missing, hashed_vectors
 from glossweave.operators.dedup import keep_first
 from glossweave.plans.cleaning import PIPELINE_VERSION, clean_entries, split_rejects
+from glossweave.session import materialize_counting, settle
+from glossweave.sources.readers import as_raw, reader
+from glossweave.sources.sinks import append_new, append_table
 
 
 def counted(df: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, Observation]:
@@ -79,3 +83,48 @@ def reprocess(
     """Runs the chain again over stored raw rows, of one source or of all."""
     chosen = raw if source_id is None else raw.filter(F.col("source_id") == source_id)
     return typed_entries(read(chosen), order).withColumn("pipeline_version", F.lit(version))
+
+
+ENTRY_FIELDS = "headword string, ipa string, language string, definition string, etymology string, pos_tag string"
+
+
+def from_raw(raw: DataFrame) -> DataFrame:
+    """Entry records out of stored raw rows; each row is parsed once."""
+    parsed = raw.select("source_id", "checksum", F.from_json("raw_data", ENTRY_FIELDS).alias("_r"))
+    return settle(parsed.select("source_id", "checksum", "_r.*"))
+
+
+def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at a path, or an empty one of the same columns before the first write."""
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], like.schema)
+
+
+def ingest_file(
+    spark: SparkSession, format: str, path: str, source_id: str, store: str, require_ipa: bool = False
+) -> dict[str, int]:
+    """Loads dictionary files into ``store``/raw and ``store``/entries; returns counters.
+
+    Raw rows are added once per checksum. New raw rows become entries unless
+    they fail the gate or their (headword, language) is there already. Loading
+    the same files again adds nothing.
+    """
+    raw = as_raw(reader(format)(spark, path), source_id)
+    raw, loaded = materialize_counting(raw, "true", "raw")
+    known = stored(spark, f"{store}/raw", raw)
+    new_raw, added = materialize_counting(append_new(known, raw, ["checksum"], ["checksum"]), "true", "new-raw")
+    append_table(new_raw, f"{store}/raw")
+
+    entries = rate(typed_entries(from_raw(new_raw), ["checksum"], require_ipa))
+    before = stored(spark, f"{store}/entries", entries)
+    fresh, saved = materialize_counting(
+        entries.join(before.select("headword", "language"), ["headword", "language"], "left_anti").select(*entries.columns),
+        "true", "entries",
+    )
+    append_table(fresh, f"{store}/entries")
+    return {
+        "loaded": loaded, "raw_added": added, "raw_duplicates": loaded - added,
+        "saved": saved, "rejected_or_duplicate": added - saved,
+    }

@@ -86,3 +86,22 @@ def test_reprocess(spark):
     read = lambda df: df.select("headword", F.lit("x").alias("ipa"), F.lit("en").alias("language"), F.lit("long enough text").alias("definition"))
     assert [r.headword for r in ingest.reprocess(raw, read, ["headword"], "v2", "t").collect()] == ["fire"]
     assert {r.pipeline_version for r in ingest.reprocess(raw, read, ["headword"], "v2").collect()} == {"v2"}
+
+
+def test_ingest_file_adds_each_record_once(spark, tmp_path):
+    lines = [
+        {"word": "Water", "lang_code": "en", "senses": [{"glosses": ["a clear liquid"]}]},
+        {"word": "water", "lang_code": "en", "senses": [{"glosses": ["another liquid"]}]},
+        {"word": "fire", "lang_code": "en", "senses": [{"glosses": ["hot"]}]},
+    ]
+    source, store = tmp_path / "d.jsonl", str(tmp_path / "store")
+    source.write_text("\n".join(map(json.dumps, lines)), encoding="utf-8")
+    first = ingest.ingest_file(spark, "jsonl", str(source), "wiktionary", store)
+    assert first == {"loaded": 3, "raw_added": 3, "raw_duplicates": 0, "saved": 1, "rejected_or_duplicate": 2}
+    lines.append({"word": "Feuer", "lang_code": "de", "senses": [{"glosses": ["flames and heat"]}]})
+    source.write_text("\n".join(map(json.dumps, lines)), encoding="utf-8")
+    again = ingest.ingest_file(spark, "jsonl", str(source), "wiktionary", store)
+    assert (again["raw_added"], again["raw_duplicates"], again["saved"]) == (1, 3, 1)
+    saved = spark.read.parquet(f"{store}/entries")
+    assert {(r.headword, r.language) for r in saved.collect()} == {("water", "en"), ("feuer", "de")}
+    assert saved.filter("source_id = 'wiktionary' and data_quality > 0").count() == 2
