@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from glossweave.functions.text import concept_label
 from glossweave.functions.vectors import cosine, dot, unit
 from glossweave.operators.graph import components
-from glossweave.operators.skew import HEAVY_ROWS, heavy_of, spread_join
+from glossweave.operators.skew import HEAVY_ROWS, MAX_TAXA, heavy_of, require_small_groups, spread_join
 from glossweave.operators.windows import first_n, with_row_index
 from glossweave.session import fits_in_memory, materialize
 
@@ -244,9 +244,9 @@ def language_similarity(entries: DataFrame, taxon: str = "language", group: str
     means = kept.groupBy(*keys).agg(
         Summarizer.mean(array_to_vector(unit(F.col("embedding")))).alias("_m")
     ).withColumn("_m", vector_to_array("_m"))
-    shared = [F.col(group).alias("grp")] if group else [F.lit("all").alias("grp")]
-    a = means.select(*shared, F.col(taxon).alias("a"), F.col("_m").alias("_ma"))
-    b = means.select(*shared, F.col(taxon).alias("b"), F.col("_m").alias("_mb"))
-    # Taxa are languages or catalogued sources, a bounded dimension.
-    met = a.join(b, "grp").filter(F.col("a") < F.col("b"))
+    label = F.col(group) if group else F.lit("all")
+    means = materialize(means.select(label.alias("grp"), F.col(taxon).alias("taxon"), "_m"), "means")
+    require_small_groups(means, ["grp"], MAX_TAXA, "taxa")
+    side = lambda s: means.select("grp", F.col("taxon").alias(s), F.col("_m").alias(f"_m{s}"))
+    met = side("a").join(side("b"), "grp").filter(F.col("a") < F.col("b"))
     return met.select("grp", "a", "b", dot(F.col("_ma"), F.col("_mb")).alias("similarity"))

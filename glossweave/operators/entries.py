@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.functions.tree import branch_codes
 from glossweave.functions.vectors import cosine
-from glossweave.operators.skew import HEAVY_ROWS, spread_join
+from glossweave.operators.skew import MAX_TAXA, require_small_groups
 from glossweave.operators.windows import first_n
+from glossweave.session import materialize
 
 
 def by_id(df: DataFrame, value) -> DataFrame:
@@ -124,7 +125,7 @@ def language_pair_sizes(entries: DataFrame, concept: str = "concept_id") -> Data
     sizes = entries.filter(F.col(concept).isNotNull()).groupBy(concept, "language").agg(
         F.count(F.lit(1)).alias("n")
     )
-    # One row per (concept, language): at most the number of languages squared per concept.
+    sizes = require_small_groups(materialize(sizes, "sizes"), [concept], MAX_TAXA, "languages")
     a = sizes.select(concept, F.col("language").alias("language_a"), F.col("n").alias("n_a"))
     b = sizes.select(concept, F.col("language").alias("language_b"), F.col("n").alias("n_b"))
     met = a.join(b, concept).filter(F.col("language_a") < F.col("language_b"))
@@ -238,7 +239,7 @@ def concept_samples(entries: DataFrame, n: int = 5) -> DataFrame:
     return first_n(kept, ["concept_id"], ["id"], n)
 
 
-def update_by_id(target: DataFrame, changes: DataFrame, columns: list[str], spread_rows: int = HEAVY_ROWS) -> DataFrame:
+def update_by_id(target: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """Overwrite some columns of the rows named in ``changes`` (unique ids)."""
     new = changes.select("id", *[F.col(c).alias(f"_new_{c}") for c in columns])
     out = target.join(new, "id", "left")

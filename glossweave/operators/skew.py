@@ -8,6 +8,9 @@ MAX_HEAVY = 1000
 HEAVY_ROWS = 100_000
 SPREAD = 64
 
+# Languages or sources per group; pairs of them stay in the millions.
+MAX_TAXA = 2000
+
 
 def heavy_keys(rows: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
     """The keys with most rows, at most MAX_HEAVY of them.
@@ -54,3 +57,14 @@ def spread_join(
         .drop("_heavy")
     )
     return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
+def require_small_groups(rows: DataFrame, group: list[str], most: int, what: str) -> DataFrame:
+    """The rows themselves, after a check that no group has more than ``most`` of them.
+
+    For steps whose result is quadratic in a group that a dimension bounds.
+    """
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    if not sizes.filter(F.col("_rows") > most).limit(1).isEmpty():
+        raise ValueError(f"a group has more than {most} {what}; reduce entries to languages or sources first")
+    return rows

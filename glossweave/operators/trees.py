@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-MAX_TAXA = 2000
+from glossweave.operators.skew import MAX_TAXA, require_small_groups
 
 
 def distances(similarities: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def distances(similarities: DataFrame) -> DataFrame:
     """
     given = similarities.select("grp", "a", "b", (1.0 - F.col("similarity")).alias("d"))
     both = given.unionByName(given.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    taxa = both.select("grp", F.col("a").alias("t")).distinct()
+    taxa = require_small_groups(both.select("grp", F.col("a").alias("t")).distinct(), ["grp"], MAX_TAXA, "taxa")
     grid = taxa.withColumnRenamed("t", "a").join(taxa.withColumnRenamed("t", "b"), "grp")
     value = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(0.0)))
     return grid.join(both, ["grp", "a", "b"], "left").select("grp", "a", "b", value.alias("d"))
@@ -106,9 +106,7 @@ def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
 
 def check_taxa(matrix: DataFrame, most: int = MAX_TAXA) -> DataFrame:
     """The matrix itself, after a check that no group has more than ``most`` taxa."""
-    sizes = matrix.filter("a = b").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    if not sizes.filter(F.col("n") > most).limit(1).isEmpty():
-        raise ValueError(f"a group has more than {most} taxa; reduce entries to languages or sources first")
+    require_small_groups(matrix.filter("a = b"), ["grp"], most, "taxa")
     return matrix
 
 

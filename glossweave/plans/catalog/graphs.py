@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.operators import clusters, graph
 from glossweave.operators.pairs import similar_forms
 from glossweave.plans import layout
-from glossweave.plans.catalog.base import ENTRIES, entries, phonetic_sql, query, r6, vector_entries
+from glossweave.plans.catalog.base import entries, query, r6, vector_entries
 from glossweave.plans.catalog.words import CUT, FORMS
 from glossweave.session import materialize
 

@@ -9,6 +9,7 @@ from glossweave.functions.tree import add_tree_distance
 from glossweave.functions.vectors import dot, unit
 from glossweave.operators.clusters import leader_clusters
 from glossweave.operators.pairs import layered_scores
+from glossweave.operators.skew import MAX_TAXA, require_small_groups
 from glossweave.operators.windows import first_n
 from glossweave.session import materialize
 
@@ -57,6 +58,7 @@ def lexical_differences(entries: DataFrame, threshold: float = COGNATE_CUT) -> D
     first = first_n(
         kept.select("concept_id", "language", "id", "headword", "ipa", "size", "unit"), ["concept_id", "language"], ["id"], 1
     ).drop("rank")
+    first = require_small_groups(materialize(first, "firsts"), ["concept_id"], MAX_TAXA, "languages")
 
     flagged = placed.join(first.select("id", F.lit(True).alias("_primary")), "id", "left")
     per = flagged.groupBy("concept_id", "leader", "language").agg(

@@ -1,5 +1,3 @@
-import itertools
-import random
 
 import numpy as np
 import pytest

@@ -3,7 +3,6 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from glossweave.operators import clusters, graph
 
