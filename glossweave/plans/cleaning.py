@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,15 +44,19 @@ class Chain:
     def apply(self, df: DataFrame, source: str, out: str | None = None) -> DataFrame:
         """Adds the cleaned column and ``<out>_error``: the first failed step, or null."""
         out = out or source
-        df = df.withColumns({"_value": F.col(source), "_error": F.lit(None).cast("string")})
-        # One column per stage: what a later stage reads twice is computed once.
+        return apply_chains(df, {out: self}, {out: source})
+
+    def stages(self) -> list[Callable[[Column, Column], tuple[str, Column]]]:
+        """What happens to the pair (value, error), one stage after the other."""
+        out = []
         for step in self.steps:
             for part in step.parts or (step.clean,):
-                df = df.withColumn("_value", part(F.col("_value")))
+                out.append(lambda value, _, part=part: ("value", part(value)))
             if self.strict:
-                failed = F.when(~step.valid(F.col("_value")), f"Validation failed after {step.name}")
-                df = df.withColumn("_error", F.coalesce("_error", failed))
-        return df.withColumns({out: F.col("_value"), f"{out}_error": F.col("_error")}).drop("_value", "_error")
+                out.append(lambda value, error, step=step: ("error", F.coalesce(
+                    error, F.when(~step.valid(value), f"Validation failed after {step.name}")
+                )))
+        return out
 
     def log(self, df: DataFrame, record_id: str, source: str) -> DataFrame:
         """One row per record and step, for the transform log."""
@@ -65,6 +70,26 @@ class Chain:
         return df.select(F.col(record_id).alias("record_id"), F.inline(F.array(*rows)))
 
 
+def apply_chains(df: DataFrame, chains: dict[str, Chain], sources: dict[str, str] | None = None) -> DataFrame:
+    """Several chains side by side: cleaned columns and their ``<column>_error``.
+
+    Each stage is a column of its own, so what a later stage reads twice is
+    computed once; all chains take a stage together, which keeps the plan short.
+    """
+    sources = sources or {}
+    begin = {f"_value_{f}": F.col(sources.get(f, f)) for f in chains}
+    df = df.withColumns(begin | {f"_error_{f}": F.lit(None).cast("string") for f in chains})
+    for level in zip_longest(*(chain.stages() for chain in chains.values())):
+        updates = {}
+        for field, stage in zip(chains, level):
+            if stage:
+                kind, column = stage(F.col(f"_value_{field}"), F.col(f"_error_{field}"))
+                updates[f"_{kind}_{field}"] = column
+        df = df.withColumns(updates)
+    done = {f: F.col(f"_value_{f}") for f in chains} | {f"{f}_error": F.col(f"_error_{f}") for f in chains}
+    return df.withColumns(done).drop(*[f"_{kind}_{f}" for kind in ("value", "error") for f in chains])
+
+
 # Step names and versions, as they appear in signatures and logs.
 HEADWORD = Cleaner("headword_cleaner", text.clean_headword, text.valid_text)
 PLAIN_TEXT = Cleaner(
@@ -92,8 +117,7 @@ def clean_entries(df: DataFrame, chains: dict[str, Chain] = CHAINS) -> DataFrame
 
     An absent transcription is no failure: the gate decides about it.
     """
-    for field, chain in chains.items():
-        df = chain.apply(df, field)
+    df = apply_chains(df, chains)
     failed = [
         F.when(F.col(f"{field}_error").isNotNull() & ((F.lit(field) != "ipa") | text.not_blank(F.col("ipa"))),
                F.concat(F.lit(f"{field}: "), F.col(f"{field}_error")))

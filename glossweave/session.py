@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call site is recorded for every column; wide plans build much faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
