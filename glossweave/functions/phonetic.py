@@ -14,8 +14,14 @@ ALIGNMENT = T.StructType([
     T.StructField("ops", _TEXTS), T.StructField("cost", T.DoubleType()),
 ])
 
-# One stand-in letter per distinct grapheme of a pair, from one contiguous block.
-_STAND_INS = "".join(map(chr, range(0x4E00, 0x4E00 + 2048)))
+# One stand-in letter per distinct grapheme of a pair: all code points above the basic plane.
+_FIRST, _MOST = 0x10000, 0x100000
+
+
+def _stand_in(n: Column) -> Column:
+    """Letter of the n-th grapheme, n from 1."""
+    code = F.lpad(F.hex(n.cast("long") + (_FIRST - 1)), 8, F.lit("0"))
+    return F.decode(F.unhex(code), "UTF-32")
 
 
 def graphemes(text: Column) -> Column:
@@ -35,10 +41,13 @@ def edit_distance(a: Column, b: Column, size_a: Column | None = None, size_b: Co
     size_b = F.size(gb) if size_b is None else size_b
     plain = (F.length(a) == size_a) & (F.length(b) == size_b)
     kinds = F.array_distinct(F.concat(ga, gb))
-    rewrite = lambda g: F.array_join(
-        F.transform(g, lambda x: F.substring(F.lit(_STAND_INS), F.array_position(kinds, x), F.lit(1))), ""
-    )
-    return F.when(plain, F.levenshtein(a, b)).otherwise(F.levenshtein(rewrite(ga), rewrite(gb)))
+    rewrite = lambda g, k: F.array_join(F.transform(g, lambda x: _stand_in(F.array_position(k, x))), "")
+    too_many = F.raise_error(F.lit(f"more than {_MOST} distinct graphemes in one pair")).cast("int")
+    # The list of graphemes is a value of its own, else it would be made again for every grapheme.
+    exact = F.transform(
+        F.array(kinds), lambda k: F.when(F.size(k) > _MOST, too_many).otherwise(F.levenshtein(rewrite(ga, k), rewrite(gb, k)))
+    )[0]
+    return F.when(plain, F.levenshtein(a, b)).otherwise(exact)
 
 
 def similarity(a: Column, b: Column, size_a: Column | None = None, size_b: Column | None = None) -> Column:

@@ -20,7 +20,9 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its length; a zero vector stays zero."""
-    return F.transform(_doubles(v), lambda x: F.coalesce(F.try_divide(x, norm(v)), F.lit(0.0)))
+    # The length is a value of its own, else it would be taken again for every element.
+    over = lambda n: F.transform(_doubles(v), lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    return F.transform(F.array(norm(v)), over)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

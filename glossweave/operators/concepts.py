@@ -189,7 +189,7 @@ def assign(entries: DataFrame, concepts: DataFrame, budget: int = 64 << 20) -> D
     per_row = 8 * len(first[0]) + 64
     table = concepts.select("concept_id", "centroid")
     if fits_in_memory(table, per_row, budget):
-        return _best_of(kept, [tuple(r) for r in table.collect()], None)
+        return _best_of(kept, [tuple(r) for r in table.collect()], None).drop("_key")
     pieces = -(-table.count() * per_row // (budget // 2))
     numbered = table.withColumn("_piece", F.pmod(F.xxhash64("concept_id"), F.lit(int(pieces))))
     numbered = materialize(numbered, "centroids")
@@ -198,7 +198,7 @@ def assign(entries: DataFrame, concepts: DataFrame, budget: int = 64 << 20) -> D
         rows = [tuple(r) for r in numbered.filter(F.col("_piece") == piece).drop("_piece").collect()]
         if rows:
             out = materialize(_best_of(kept if out is None else out, rows, out), "assigned")
-    return out
+    return out.drop("_key")
 
 
 def _best_of(entries: DataFrame, rows: list[tuple], earlier: DataFrame | None) -> DataFrame:
@@ -207,28 +207,31 @@ def _best_of(entries: DataFrame, rows: list[tuple], earlier: DataFrame | None) -
     matrix = np.array([r[1] for r in rows], dtype="float64")
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-    kind = T.StructType([T.StructField("concept_id", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    kind = T.StructType([T.StructField("concept_id", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("_key", T.DoubleType())])
 
     @F.pandas_udf(kind)
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         block = np.array(vectors.tolist(), dtype="float64")
         if not len(block):
-            return pd.DataFrame({"concept_id": pd.Series(dtype=str), "confidence": pd.Series(dtype="float64")})
+            return pd.DataFrame({"concept_id": pd.Series(dtype=str), **{c: pd.Series(dtype="float64") for c in ("confidence", "_key")}})
         size = np.linalg.norm(block, axis=1, keepdims=True)
         block = np.divide(block, size, out=np.zeros_like(block), where=size > 0)
         close = block @ matrix.T
         # Rounded, so that sums taken in another order cannot turn a tie around.
-        best = np.round(close, 12).argmax(axis=1)
-        return pd.DataFrame({"concept_id": [names[i] for i in best], "confidence": close[np.arange(len(best)), best]})
+        rounded = np.round(close, 12)
+        best = rounded.argmax(axis=1)
+        at = np.arange(len(best)), best
+        return pd.DataFrame({"concept_id": [names[i] for i in best], "confidence": close[at], "_key": rounded[at]})
 
     found = entries.withColumn("_new", nearest(F.col("embedding")))
     if earlier is None:
         return found.drop("concept_id", "confidence").select("*", "_new.*").drop("_new")
-    better = (F.col("_new.confidence") > F.col("confidence")) | (
-        (F.col("_new.confidence") == F.col("confidence")) & (F.col("_new.concept_id") < F.col("concept_id"))
+    # Pieces are compared by the rounded value as well, so that the budget cannot change the answer.
+    better = (F.col("_new._key") > F.col("_key")) | (
+        (F.col("_new._key") == F.col("_key")) & (F.col("_new.concept_id") < F.col("concept_id"))
     )
     pick = lambda c: F.when(better, F.col(f"_new.{c}")).otherwise(F.col(c))
-    return found.withColumns({"concept_id": pick("concept_id"), "confidence": pick("confidence")}).drop("_new")
+    return found.withColumns({"concept_id": pick("concept_id"), "confidence": pick("confidence"), "_key": pick("_key")}).drop("_new")
 
 
 def language_similarity(entries: DataFrame, taxon: str = "language", group: str | None = None) -> DataFrame:

@@ -161,3 +161,13 @@ def test_layouts(spark):
     edges = spark.createDataFrame([("w0", "w1", .9), ("w0", "w2", .1)], "src string, dst string, weight double")
     nodes, links = layout.similarity_network(df, edges)
     assert nodes.count() == 60 and links.count() == 1
+
+
+def test_assign_gives_the_same_for_every_budget_on_tied_centroids(spark):
+    rows = [(f"c{k}", [float(k + 1), float(k + 1) * 3.0]) for k in range(12)]
+    concepts_df = spark.createDataFrame(rows, "concept_id string, centroid array<double>")
+    entries_df = spark.createDataFrame([(1, [0.1, 0.3]), (2, [7.0, 21.0])], "id int, embedding array<double>")
+    from glossweave.operators.concepts import assign
+
+    one, many = (sorted(tuple(r)[0:3:2] for r in assign(entries_df, concepts_df, b).select("id", "embedding", "concept_id").collect()) for b in (64 << 20, 300))
+    assert one == many == [(1, "c0"), (2, "c0")]

@@ -187,3 +187,14 @@ def test_language_pair_table(spark):
     assert table.count() == 57 * 56 // 2
     row = table.filter("lang_a = 'ru' and lang_b = 'uk'").first()
     assert (row.tree_distance, row.prior_probability) == (6, 0.08)
+
+
+def test_distance_is_exact_for_thousands_of_distinct_graphemes(spark):
+    from glossweave.functions.phonetic import edit_distance
+
+    a = [chr(0x4E00 + k) + "́" for k in range(3001)]
+    b = [chr(0x8E00 + k) + "́" if k % 6 == 0 and k < 3000 else x for k, x in enumerate(a)]
+    df = spark.createDataFrame([("".join(a), "".join(b))], "a string, b string")
+    from pyspark.sql import functions as F
+
+    assert df.select(edit_distance(F.col("a"), F.col("b"))).first()[0] == 500
