@@ -79,9 +79,10 @@ def starling(spark: SparkSession, path: str) -> DataFrame:
     """Marker files where a ``\\lx`` line opens each record.
 
     Records never cross files, and files are split at the marker, so a record
-    is one row from the start and no window over lines is needed.
+    is one row from the start and no window over lines is needed. The marker may
+    be indented. What stands before the first one is no record.
     """
-    return marker_records(_chunks(spark, path, "\n\\lx "), opens=True)
+    return marker_records(_chunks(spark, path, "\\lx"), opens=True)
 
 
 def starling_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +109,8 @@ def marker_records(chunks: DataFrame, opens: bool) -> DataFrame:
         return F.substring(F.try_element_at(hits, F.lit(-1)), len(marker) + 3, 1 << 30)
 
     head = F.col("_lines")[0]
-    named = F.when(~head.startswith("\\") | head.startswith("\\lx "), F.regexp_replace(head, r"^\\lx ", ""))
+    # A blank follows the marker; text before the first marker of a file begins with none.
+    named = F.when(F.col("chunk").rlike(r"^[ \t]"), head)
     first = named if opens else F.regexp_extract(last("lx"), r"^\s*(.+)$", 1)
     fields = {field: last(marker) for marker, field in MARKERS.items()}
     if opens:

@@ -171,3 +171,9 @@ def test_catalog(spark):
     assert [r.id for r in catalog.select_sources(found, max_priority=2).collect()] == ["b"]
     assert catalog.select_sources(found, ids=["a"]).count() == 0
     assert {r.priority: r.entries_approx for r in catalog.by_priority(found).collect()} == {1: None, 2: 10}
+
+
+def test_marker_files_with_a_preamble_and_indented_markers(spark, tmp_path):
+    text = "Dictionary export 2020\n\\lx one\n\\de first\n  \\lx two\n\\de second\n"
+    got = readers.starling(spark, write(tmp_path / "c.txt", text))
+    assert sorted((r["headword"], r["definition"]) for r in got.collect()) == [("one", "first"), ("two", "second")]
