@@ -11,9 +11,11 @@ per context: one row of log probabilities for all 256 symbols.
 Byte 255, which no UTF-8 text holds, stands before a text and ends it, so the
 probabilities of all texts add up to one at most.
 
-The trie is bounded: shorter contexts number at most 256 + 65,536, and of the
-longest ones the ``most`` most frequent stay (131,072; the check data have some
-60,000), so a task needs 150 MiB for the whole model at any input size.
+What a task holds of the trie is bounded: shorter contexts number at most 256 +
+65,536, and of the longest ones the ``most`` most frequent (131,072) are handed
+out, some 150 MiB. The rest of the trie stays a table: bytes behind its contexts
+are gathered per document and looked up there by a join. ``most`` does not change
+the scores.
 
 Beside the model stands the add-one word model of the query's base score: words
 and an end mark, counted over the training documents. The ``frequent`` words
@@ -132,6 +134,8 @@ class Trie:
             table = np.bincount(at * 256 + (grams[part] & 255), counts[part], len(own) * 256).astype(np.float32).reshape(-1, 256)
             up = np.searchsorted(levels[-1][0], own & 0xFFFF)
             rows.append(self.over(table, self.under(table > 0, levels[-1][1][up], behind[up])))
+        # Rows from here on belong to the longest contexts.
+        self.longest = starts[-1]
         self.lookup = np.zeros(1 << 24, np.int32)
         for k in range(1, ORDER):
             found = levels[k][0]
@@ -158,23 +162,36 @@ class Trie:
             out = np.where(kinds > 0, np.log10(kinds / total), 0) + escape
         return np.where(allowed, own, out).astype(np.float32)
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        return self.rows[self.lookup[codes >> 8].astype(np.int64) * 256 + (codes & 255)]
+    def score(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities, and where they come from a shorter context than the longest."""
+        at = self.lookup[codes >> 8].astype(np.int64)
+        return self.rows[at * 256 + (codes & 255)], at < self.longest
 
 
 _tries: dict[str, Trie] = {}
 
 
-def model(counts: DataFrame, most: int) -> tuple[np.ndarray, ...]:
-    """Counts of three-byte groups, and of four-byte groups of the most frequent contexts, as arrays."""
-    grams = counts.filter("kind = 'g'").select("key", "n")
-    short = grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n"))
-    contexts = grams.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("often"))
-    kept = contexts.orderBy(F.desc("often"), "context").limit(most).select("context")
-    long = grams.withColumn("context", F.shiftright("key", 8)).join(kept, "context", "left_semi").select("key", "n")
+def short_groups(counts: DataFrame) -> DataFrame:
+    """(key, n) of three-byte groups: two of context and a symbol."""
+    grams = counts.filter("kind = 'g'")
+    return grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n"))
+
+
+def long_groups(counts: DataFrame) -> DataFrame:
+    """(key, n, context) of four-byte groups: three of context and a symbol."""
+    return counts.filter("kind = 'g'").select("key", "n", F.shiftright("key", 8).alias("context"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    contexts = long_groups(counts).groupBy("context").agg(F.sum("n").alias("often"))
+    return materialize(contexts.orderBy(F.desc("often"), "context").limit(most).select("context"), "contexts")
+
+
+def model(counts: DataFrame, kept: DataFrame) -> tuple[np.ndarray, ...]:
+    """Counts of three-byte groups, and of four-byte groups of the contexts that tasks hold, as arrays."""
     out: list[np.ndarray] = []
-    for part in (short, long):
-        # At most 2^24 rows, and 256 for each context that stays.
+    for part in (short_groups(counts), long_groups(counts).join(kept, "context", "left_semi").select("key", "n")):
+        # At most 2^24 rows, and 256 for each context that is held.
         t = part.toArrow()
         keys, n = t["key"].to_numpy(), t["n"].to_numpy()
         order = np.argsort(keys)
@@ -182,6 +199,36 @@ def model(counts: DataFrame, most: int) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
+def beyond(asked: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:
+    """(row, deep): log probability of the groups (row, code, again, fallback) whose context no task holds.
+
+    ``fallback`` is what the context of two bytes says when it is asked first;
+    it holds for contexts that were never seen.
+    """
+    short, long = short_groups(counts), long_groups(counts).join(kept, "context", "left_anti")
+    pairs = short.select(F.col("key").alias("pair"), F.col("n").alias("n2"))
+    two = pairs.groupBy(F.shiftright("pair", 8).alias("suffix")).agg(F.sum("n2").alias("sum2"), F.count(F.lit(1)).alias("kinds2"))
+    seen = long.join(pairs, F.col("key").bitwiseAND(F.lit(0xFFFFFF)) == F.col("pair"))
+    three = seen.groupBy("context").agg(F.sum("n").alias("sum3"), F.count(F.lit(1)).alias("kinds3"), F.sum("n2").alias("met"))
+    three = three.withColumn("suffix", F.col("context").bitwiseAND(F.lit(0xFFFF))).join(two, "suffix").drop("suffix")
+    asked = asked.withColumns({"context": F.shiftright("code", 8), "pair": F.col("code").bitwiseAND(F.lit(0xFFFFFF))})
+    told = asked.join(three, "context", "left").join(pairs, "pair", "left")
+    told = told.join(long.select(F.col("key").alias("code"), F.col("n").alias("n3")), "code", "left")
+    # What the context of two bytes has left once the symbols of the longer one are excluded.
+    left = F.col("kinds2") - F.col("kinds3")
+    room = F.col("sum2") - F.col("met") + left
+    escape = F.log10(F.col("kinds3") / (F.col("sum3") + F.col("kinds3")))
+    further = F.when(left > 0, F.log10(left / room)).otherwise(0.0)
+    under = F.col("fallback") - F.log10(F.col("kinds2") / (F.col("sum2") + F.col("kinds2")))
+    log = (
+        F.when(F.col("kinds3").isNull(), F.col("fallback"))
+        .when(F.col("n3").isNotNull(), F.log10(F.col("n3") / (F.col("sum3") + F.col("kinds3"))))
+        .when(F.col("n2").isNotNull(), escape + F.log10(F.col("n2") / room))
+        .otherwise(escape + further + under)
+    )
+    return told.groupBy("row").agg(F.sum(F.col("again") * log).alias("deep"))
+
+
 def scores(docs: DataFrame, fold_of: int = 7, held_out: int = 2, frequent: int = FREQUENT, most: int = MOST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes - one row per document."""
     spark = docs.sparkSession
@@ -195,7 +242,8 @@ def scores(docs: DataFrame, fold_of: int = 7, held_out: int = 2, frequent: int =
     top = known.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
     keys = top["key"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], *model(counts, most)))
+    kept = most_frequent(counts, most)
+    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], *model(counts, kept)))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +257,15 @@ def scores(docs: DataFrame, fold_of: int = 7, held_out: int = 2, frequent: int =
                 texts = piece["text"].to_pylist()
                 codes, stops = symbols(texts)
                 starts = np.concatenate(([0], stops[:-1]))
-                score = np.add.reduceat(trie.score(codes).astype(np.float64), starts) if len(texts) else np.empty(0)
+                logs_of, shorter = trie.score(codes)
+                # Groups of the contexts that are not held: once per document, with their number.
+                late = np.flatnonzero(shorter)
+                groups, place, n_late = np.unique(
+                    (np.searchsorted(stops, late, "right") << 32) | codes[late].astype(np.int64), return_index=True, return_counts=True
+                )
+                fallback, edges = logs_of[late[place]].astype(np.float64), np.searchsorted(groups >> 32, np.arange(len(texts) + 1))
+                logs_of[late] = 0
+                score = np.add.reduceat(logs_of.astype(np.float64), starts) if len(texts) else np.empty(0)
                 tokens, seen, base, rare, rare_n = [], [], [], [], []
                 for text in texts:
                     bag = Counter(words(text))
@@ -229,18 +285,22 @@ def scores(docs: DataFrame, fold_of: int = 7, held_out: int = 2, frequent: int =
                 yield pa.RecordBatch.from_arrays([
                     piece["doc_id"], piece["held_out"], pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
                     pa.array(score), pa.array(stops - starts - 1), flat(rare), flat(rare_n),
-                ], ["doc_id", "held_out", "n_tokens", "seen", "base", "score", "n_bytes", "rare", "times"])
+                    *(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x)) for x in (groups & 0xFFFFFFFF, n_late.astype(np.int64), fallback)),
+                ], ["doc_id", "held_out", "n_tokens", "seen", "base", "score", "n_bytes", "rare", "times", "code", "again", "fallback"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, n_bytes long, rare array<long>, times array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, n_bytes long, rare array<long>, times array<long>, "
+    schema += "code array<long>, again array<long>, fallback array<double>"
     # Written once, so that the numbers of the rows stay what they are.
     scored = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = scored.select("row", F.inline(F.arrays_zip("rare", "times")))
     found = asked.join(known.select(F.col("key").alias("rare"), F.col("n").alias("c")), "rare").groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain")
     )
-    out = scored.drop("rare", "times").join(found, "row", "left")
+    deep = beyond(scored.select("row", F.inline(F.arrays_zip("code", "again", "fallback"))), counts, kept)
+    out = scored.drop("rare", "times", "code", "again", "fallback").join(found, "row", "left").join(deep, "row", "left")
     base = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + v + 1.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes",
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"), "n_bytes",
     )

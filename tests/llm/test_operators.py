@@ -260,10 +260,11 @@ def brute_ppm(train, text):
     return total
 
 
-def test_ppm(spark, none):
+@pytest.mark.parametrize("most", [131_072, 5, 0])
+def test_ppm(spark, none, most):
     texts = [(i, t) for i, t in enumerate(["The cat sat", "the cat ate the rat", None, "", "a cat", "zebra é", "THE the", "the cat sat on a mat", "rat"])]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in ppm.scores(df, frequent=2).collect()}
+    rows = {r["doc_id"]: r for r in ppm.scores(df, frequent=2, most=most).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
     train = [t or "" for i, t in texts if not held[i]]
     tokens = [w for t in train for w in [*t.lower().split(), None]]
@@ -274,7 +275,7 @@ def test_ppm(spark, none):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(own), sum(x > 0 for x in c), len(tokens))
         assert r["base_score"] == pytest.approx(sum(np.log10((x + 1) / (len(tokens) + len(set(tokens)) + 1)) for x in c))
         assert r["score"] == pytest.approx(brute_ppm(train, t or ""), rel=1e-4)
-    assert ppm.scores(none).count() == 0
+    assert ppm.scores(none, most=most).count() == 0
 
 
 def test_toxicity_and_its_penalty(spark, odd):
