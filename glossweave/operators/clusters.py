@@ -16,7 +16,6 @@ def leader_clusters(
     score: Callable[[DataFrame], DataFrame],
     threshold: float,
     batch: int = 256,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Star clusters in id order inside each block: (block, id, leader).
 
@@ -35,9 +34,8 @@ def leader_clusters(
         entries.filter(F.col(block).isNotNull()).select(block, "id", fields.alias("e")), "true", "free"
     )
     done = free.select(block, "id", F.col("id").alias("leader")).limit(0)
-    for _ in range(max_rounds):
-        if not left:
-            return done
+    # Every round settles the first free entry of each block at least.
+    while left:
         free = share(free)
         leaders = materialize(_next_leaders(free, block, score, threshold, batch), "leaders")
         met = free.join(leaders.select(block, F.col("e").alias("a")), block).withColumnRenamed("e", "b")
@@ -48,7 +46,7 @@ def leader_clusters(
         done = done.unionByName(taken)
         rest = free.join(taken.select("id"), "id", "left_anti").select(block, "id", "e")
         free, left = materialize_counting(rest, "true", "free")
-    raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
+    return done
 
 
 def _next_leaders(free: DataFrame, block: str, score, threshold: float, batch: int) -> DataFrame:

@@ -35,7 +35,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: (node, component), named after the smallest node.
 
     Each round a node takes the smallest label around it and then the label of
@@ -45,7 +45,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     loops = edges.filter("src = dst").select(F.col("src").alias("node"))
     start = links.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label"))
     labels = materialize(start.withColumnRenamed("src", "node"), "labels")
-    for _ in range(max_rounds):
+    changed = 1
+    while changed:
         around = (
             links.join(labels, links["dst"] == labels["node"])
             .groupBy("src").agg(F.min("label").alias("near"))
@@ -59,10 +60,6 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         )
         done, changed = materialize_counting(jumped, "old <> label", "labels")
         labels = done.select("node", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     alone = loops.distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
     return labels.unionByName(alone).select("node", F.col("label").alias("component"))
 
@@ -119,16 +116,20 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, cut
     return ranks.select("node", "rank")
 
 
-def shortest_paths(edges: DataFrame, source: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: DataFrame) -> DataFrame:
     """Cheapest cost from the node in ``source`` (one row, column node) to all it reaches.
 
     Only nodes that became cheaper in the last round send offers in the next.
+    Negative weights are refused: going to and fro would get cheaper for ever.
     """
     links = materialize(both_ways(edges.select("src", "dst", "weight")), "links")
+    if not links.filter("weight < 0").isEmpty():
+        raise ValueError("weights must not be negative")
     known = materialize(
         source.select("node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")), "costs"
     )
-    for _ in range(max_rounds):
+    changed = 1
+    while changed:
         active = known.filter("fresh").select(F.col("node").alias("src"), "cost")
         offers = links.join(active, "src").groupBy(F.col("dst").alias("node")).agg(
             F.min(F.col("cost") + F.col("weight")).alias("offer")
@@ -138,9 +139,7 @@ def shortest_paths(edges: DataFrame, source: DataFrame, max_rounds: int = 1000)
         known, changed = materialize_counting(
             met.select("node", F.least("cost", "offer").alias("cost"), better.alias("fresh")), "fresh", "costs"
         )
-        if not changed:
-            return known.select("node", "cost")
-    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+    return known.select("node", "cost")
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
