@@ -1,34 +1,34 @@
 """Language-model scores of documents: prediction by partial matching over bytes.
 
-A trie of byte contexts up to ``ORDER`` = 3 bytes is counted over all training
-documents. A context predicts the bytes it has seen and escapes to the next
-shorter one with method C (as many escapes as distinct bytes); bytes that a
+Byte contexts up to ``order`` bytes (``op7`` asks for 5) are counted over all
+training documents. A context predicts the bytes it has seen and escapes to the
+next shorter one with method C (as many escapes as distinct bytes); bytes that a
 longer context has seen are excluded from the shorter ones. Since the bytes
 seen behind a context are among those seen behind its suffix, the exclusion
-depends on the context alone, and the whole chain of escapes is worked out once
-per context: one row of log probabilities for all 256 symbols.
+depends on the context alone. So every context has one number for what it takes
+to leave it, one for what its own bytes share, and one for what its suffix has
+left without them; the chain of escapes is a difference of two of these.
 
 Byte 255, which no UTF-8 text holds, stands before a text and ends it, so the
 probabilities of all texts add up to one at most.
 
-What a task holds of the trie is bounded: shorter contexts number at most 256 +
-65,536, and of the longest ones the ``most`` most frequent (131,072) are handed
-out, some 150 MiB. The rest of the trie stays a table: bytes behind its contexts
-are gathered per document and looked up there by a join. ``most`` does not change
-the scores.
+The groups of a longest context and its byte are a table that grows with the
+corpus. A task holds the log probabilities of the frequent ones (``most`` at
+most, 2,097,152, 24 MiB) and contexts up to two bytes, which number at most 256 +
+65,536. All other groups are gathered per document and looked up in the tables
+of the longer contexts by a join. ``most`` does not change the scores.
 
 Beside the model stands the add-one word model of the query's base score: words
 and an end mark, counted over the training documents. The ``frequent`` words
 (65,536 at most) go to every task; rarer ones are looked up by a join.
 
 Defined cases: null counts as an empty text, which is an end mark alone. Rows
-with equal ids or texts are scored each on its own. With no training text the
-trie is empty and every byte has probability 1/256; N and V are then zero.
+with equal ids or texts are scored each on its own. With no training text
+every byte has probability 1/256; N and V are then zero.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,41 +40,58 @@ from glossweave.llm.common import WordNumbers, fold, slices, words
 from glossweave.session import materialize
 
 ORDER = 3
+LOW = 2
 END = 255
 FREQUENT = 65_536
-MOST = 131_072
+MOST = 2_097_152
 
 
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Four bytes at every place as one number (three of context, one symbol), and where each text ends."""
-    data = [b"\xff\xff\xff" + t.encode("utf-8", "surrogatepass") + b"\xff" if t else b"\xff\xff\xff\xff" for t in texts]
+def symbols(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The context and the symbol at every place as one number of ``order`` + 1 bytes, and where each text ends."""
+    start = b"\xff" * order
+    data = [start + t.encode("utf-8", "surrogatepass") + b"\xff" if t else start + b"\xff" for t in texts]
     lengths = np.array([len(d) for d in data], np.int64)
-    b = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
+    b = np.frombuffer(b"".join(data), np.uint8)
     if not len(b):
-        return np.empty(0, np.uint32), lengths
-    code = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
-    keep = np.ones(len(code), bool)
+        return np.empty(0, np.int64), lengths
+    n = len(b) - order
+    code = b[:n].astype(np.int64)
+    for k in range(1, order + 1):
+        code <<= 8
+        code |= b[k : n + k]
+    keep = np.ones(n, bool)
     # Places that reach over a border between two texts.
-    for k in range(3):
+    for k in range(order):
         borders = np.cumsum(lengths)[:-1] - 1 - k
         keep[borders] = False
-    return code[keep], np.cumsum(lengths - 3)
+    return code[keep], np.cumsum(lengths - order)
 
 
-def count_both(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) partial counts: 'g' four-byte groups, 'w' words by number, 'e' ends."""
+def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of their counts."""
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    key, count = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def count_both(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(kind, key, n) partial counts: 'g' groups of ``order`` + 1 bytes, 'w' words by number, 'e' ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter = Counter()
+        grams: list[list[np.ndarray]] = [[], []]
         tokens: Counter = Counter()
-        ends = 0
+        ends = waiting = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             number = WordNumbers(0)
-            ws = list(tokens)
-            keys = np.concatenate([np.fromiter(grams, np.int64, len(grams)), number.of(ws).view(np.int64), [0]])
-            kinds = ["g"] * len(grams) + ["w"] * len(ws) + ["e"]
-            n = [*grams.values(), *(tokens[w] for w in ws), ends]
+            ws, (found, often) = list(tokens), summed(*grams)
+            keys = np.concatenate([found, number.of(ws).view(np.int64), [0]])
+            kinds = ["g"] * len(found) + ["w"] * len(ws) + ["e"]
+            n = np.concatenate([often, np.fromiter(tokens.values(), np.int64, len(ws)), [ends]])
             for i in range(0, len(kinds), 50_000):
                 part = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds[part]), pa.array(keys[part]), pa.array(n[part], pa.int64())], ["kind", "key", "n"])
@@ -82,190 +99,212 @@ def count_both(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = piece["text"].to_pylist()
-                found, n = np.unique(symbols(texts)[0], return_counts=True)
-                for g, c in zip(found.tolist(), n.tolist()):
-                    grams[g] += c
+                found, n = np.unique(symbols(texts, order)[0], return_counts=True)
+                grams[0].append(found)
+                grams[1].append(n.astype(np.int64))
+                waiting += len(found)
                 for t in texts:
                     tokens.update(words(t))
                 ends += len(texts)
-                if len(tokens) > 400_000:
+                if waiting > 2_000_000:
+                    found, n = summed(*grams)
+                    grams, waiting = [[found], [n]], len(found)
+                if len(tokens) > 400_000 or waiting > 1_000_000:
                     yield from out()
-                    grams, tokens, ends = Counter(), Counter(), 0
+                    grams, tokens, ends, waiting = [[], []], Counter(), 0, 0
         yield from out()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, key long, n long")
 
 
-class Trie:
-    """Rows of log10 probabilities for all contexts, and the row of every three bytes.
+class Short:
+    """Contexts up to two bytes, from the three-byte groups (two of context) of the whole corpus, sorted, with counts.
 
-    ``pairs`` are three-byte groups (two of context) of the whole corpus, ``grams``
-    four-byte groups of the longest contexts that stay; both sorted, with counts.
+    For a context: ``own`` is what its bytes are divided by, ``up`` the way out of
+    it and down to the shortest context, ``behind`` that way without its first
+    step, and ``down`` what a byte of its suffix gives back of it.
     """
 
-    def __init__(self, pairs: np.ndarray, pair_counts: np.ndarray, grams: np.ndarray, counts: np.ndarray):
-        levels = []
-        for k in range(ORDER):
-            context = (pairs >> 8) & ((1 << (8 * k)) - 1)
-            names, at = np.unique(context, return_inverse=True)
-            if not len(names):
-                names = np.zeros(1 if k == 0 else 0, np.int64)
-            cells = np.bincount(at * 256 + (pairs & 255), pair_counts, len(names) * 256)
-            levels.append((names.astype(np.int64), cells.astype(np.float32).reshape(-1, 256)))
-        rows, behind, starts = [], None, [0]
-        for k, (names, table) in enumerate(levels):
-            if k == 0:
-                rest = max(1, 256 - int((table > 0).sum()))
-                escape = np.full((len(names), 256), -np.log10(rest), np.float32)
-            else:
-                up = np.searchsorted(levels[k - 1][0], names & ((1 << (8 * (k - 1))) - 1))
-                escape = self.under(table > 0, levels[k - 1][1][up], behind[up])
-            rows.append(self.over(table, escape))
-            behind = escape
-            starts.append(starts[-1] + len(names))
-        context = grams >> 8
-        names, first = np.unique(context, return_index=True)
-        ends = np.append(first, len(grams))
-        # The longest contexts a few thousand at a time, so that only their finished rows are held.
-        for i in range(0, len(names), 4096):
-            part = slice(int(ends[i]), int(ends[min(i + 4096, len(names))]))
-            own = names[i : i + 4096]
-            at = np.searchsorted(own, context[part])
-            table = np.bincount(at * 256 + (grams[part] & 255), counts[part], len(own) * 256).astype(np.float32).reshape(-1, 256)
-            up = np.searchsorted(levels[-1][0], own & 0xFFFF)
-            rows.append(self.over(table, self.under(table > 0, levels[-1][1][up], behind[up])))
-        # Rows from here on belong to the longest contexts.
-        self.longest = starts[-1]
-        self.lookup = np.zeros(1 << 24, np.int32)
-        for k in range(1, ORDER):
-            found = levels[k][0]
-            self.lookup.reshape(-1, 1 << (8 * k))[:, found] = np.arange(starts[k], starts[k] + len(found), dtype=np.int32)
-        self.lookup[names] = np.arange(starts[-1], starts[-1] + len(names), dtype=np.int32)
-        self.rows = np.concatenate(rows).ravel()
-
-    @staticmethod
-    def over(table: np.ndarray, escape: np.ndarray) -> np.ndarray:
-        """A context as the first one asked: its own bytes, else an escape and what lies under it."""
-        return Trie.blend(table, table > 0, escape)
-
-    @staticmethod
-    def under(excluded: np.ndarray, table: np.ndarray, escape: np.ndarray) -> np.ndarray:
-        """A context after an escape: without the bytes the longer context has seen."""
-        return Trie.blend(table, (table > 0) & ~excluded, escape)
-
-    @staticmethod
-    def blend(table: np.ndarray, allowed: np.ndarray, escape: np.ndarray) -> np.ndarray:
-        kinds = allowed.sum(1, keepdims=True).astype(np.float32)
-        total = np.where(allowed, table, 0).sum(1, keepdims=True) + kinds
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log10(table / total)
-            out = np.where(kinds > 0, np.log10(kinds / total), 0) + escape
-        return np.where(allowed, own, out).astype(np.float32)
-
-    def score(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities, and where they come from a shorter context than the longest."""
-        at = self.lookup[codes >> 8].astype(np.int64)
-        return self.rows[at * 256 + (codes & 255)], at < self.longest
-
-
-_tries: dict[str, Trie] = {}
-
-
-def short_groups(counts: DataFrame) -> DataFrame:
-    """(key, n) of three-byte groups: two of context and a symbol."""
-    grams = counts.filter("kind = 'g'")
-    return grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n"))
-
-
-def long_groups(counts: DataFrame) -> DataFrame:
-    """(key, n, context) of four-byte groups: three of context and a symbol."""
-    return counts.filter("kind = 'g'").select("key", "n", F.shiftright("key", 8).alias("context"))
-
-
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    contexts = long_groups(counts).groupBy("context").agg(F.sum("n").alias("often"))
-    return materialize(contexts.orderBy(F.desc("often"), "context").limit(most).select("context"), "contexts")
-
-
-def model(counts: DataFrame, kept: DataFrame) -> tuple[np.ndarray, ...]:
-    """Counts of three-byte groups, and of four-byte groups of the contexts that tasks hold, as arrays."""
-    out: list[np.ndarray] = []
-    for part in (short_groups(counts), long_groups(counts).join(kept, "context", "left_semi").select("key", "n")):
-        # At most 2^24 rows, and 256 for each context that is held.
-        t = part.toArrow()
-        keys, n = t["key"].to_numpy(), t["n"].to_numpy()
-        order = np.argsort(keys)
-        out += [keys[order].astype(np.int64), n[order].astype(np.int64)]
-    return tuple(out)
-
-
-def beyond(asked: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """(row, deep): log probability of the groups (row, code, again, fallback) whose context no task holds.
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n2 = keys, n.astype(np.float64)
+        self.n1 = np.bincount(keys & 0xFFFF, n, 1 << 16)
+        self.n0 = np.bincount(keys & 0xFF, n, 256)
+        none = np.zeros(1)
+        self.sums, self.kinds = [self.n0.sum()[None]], [(self.n0 > 0).sum()[None].astype(np.float64)]
+        self.behind, self.down = [none], [none]
+        one = np.arange(1 << 16)[self.n1 > 0]
+        for size, groups, count, less in ((1, one, self.n1[one], self.n0[one & 0xFF]), (2, keys, self.n2, self.n1[keys & 0xFFFF])):
+            context, width = groups >> 8, 1 << (8 * size)
+            sums, kinds, met = (np.bincount(context, w, width) for w in (count, None, less))
+            suffix = np.arange(width) & ((1 << (8 * (size - 1))) - 1)
+            left = np.where(kinds > 0, self.kinds[-1][suffix] - kinds, 0)
+            room = np.maximum(self.sums[-1][suffix] - met + left, 1)
+            behind = self.behind[-1][suffix] + np.where(left > 0, np.log10(np.maximum(left, 1) / room), 0)
+            self.sums.append(sums)
+            self.kinds.append(kinds.astype(np.float64))
+            self.behind.append(behind)
+            self.down.append(behind + np.log10(room))
+        self.own = [np.log10(np.maximum(s + k, 1)) for s, k in zip(self.sums, self.kinds)]
+        self.up = [np.log10(np.maximum(k, 1)) - o + b for k, o, b in zip(self.kinds, self.own, self.behind)]
+        self.nothing = -np.log10(max(1.0, 256 - self.kinds[0][0]))
+
+    def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part, two, alone): what a byte gives once a longer context is left; whether the context of two bytes has it
+        (what the context of three bytes gives back is then to be taken off); the log probability if no longer one was seen."""
+        pair, two, one, symbol = codes & 0xFFFFFF, (codes >> 8) & 0xFFFF, (codes >> 8) & 0xFF, codes & 0xFF
+        n2 = np.zeros(len(codes))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            n2 = np.where(self.keys[at] == pair, self.n2[at], 0)
+        n1, n0 = self.n1[codes & 0xFFFF], self.n0[symbol]
+        log = lambda n: np.log10(np.maximum(n, 1))
+        part = np.where(n2 > 0, log(n2), np.where(n1 > 0, log(n1) - self.down[2][two], np.where(n0 > 0, log(n0) - self.down[1][one], self.nothing)))
+        zero = np.zeros(len(codes), np.int64)
+        alone = np.full(len(codes), self.nothing)
+        for size, context, n in ((0, zero, n0), (1, one, n1), (2, two, n2)):
+            asked = np.where(n > 0, log(n) - self.own[size][context], self.up[size][context] + part)
+            alone = np.where(self.sums[size][context] > 0, asked, alone)
+        return part, n2 > 0, alone
+
+
+def groups_of(counts: DataFrame, order: int) -> dict[int, DataFrame]:
+    """(key, n) by the length of the context: groups of a context and a symbol."""
+    out = {order: counts.filter("kind = 'g'").select("key", "n")}
+    for size in range(order - 1, LOW - 1, -1):
+        short = F.col("key").bitwiseAND(F.lit((1 << (8 * (size + 1))) - 1))
+        out[size] = out[size + 1].groupBy(short.alias("key")).agg(F.sum("n").alias("n"))
+        if size > LOW:
+            out[size] = materialize(out[size], f"groups{size}")
+    return out
+
+
+def frequent_groups(counts: DataFrame, most: int) -> DataFrame:
+    """(key, log) of the most frequent groups, ``most`` at most; whole classes of nearly equal frequency."""
+    groups = counts.filter("kind = 'g'").select("key", "n", F.floor(F.log2("n") * 16).alias("often"))
+    # At most 16 classes for each power of two.
+    classes = sorted(((r["often"], r["c"]) for r in groups.groupBy("often").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    least, total = 1 << 20, 0
+    for often, c in classes:
+        total += c
+        if total > most:
+            break
+        least = often
+    sums = groups.groupBy(F.shiftright("key", 8).alias("context")).agg((F.sum("n") + F.count(F.lit(1))).alias("all"))
+    kept = groups.filter(F.col("often") >= least).withColumn("context", F.shiftright("key", 8))
+    return kept.join(sums, "context").select("key", F.log10(F.col("n") / F.col("all")).cast("float").alias("log"))
+
+
+def contexts_of(groups: dict[int, DataFrame], short: Short) -> DataFrame:
+    """(size, context, own, up, down) of all contexts longer than ``LOW`` bytes."""
+    spark = groups[LOW].sparkSession
+    seen = np.flatnonzero(short.sums[LOW] > 0)
+    above = spark.createDataFrame(pa.table({
+        "suffix": seen, "s": short.sums[LOW][seen].astype(np.int64), "d": short.kinds[LOW][seen].astype(np.int64), "b": short.behind[LOW][seen],
+    }))
+    out = None
+    for size in range(LOW + 1, max(groups) + 1):
+        less = groups[size - 1].select(F.col("key").alias("short"), F.col("n").alias("less"))
+        named = groups[size].withColumn("short", F.col("key").bitwiseAND(F.lit((1 << (8 * size)) - 1)))
+        own = named.join(less, "short").groupBy(F.shiftright("key", 8).alias("context")).agg(
+            F.sum("n").alias("sum"), F.count(F.lit(1)).alias("kinds"), F.sum("less").alias("met"),
+        )
+        own = own.withColumn("suffix", F.col("context").bitwiseAND(F.lit((1 << (8 * (size - 1))) - 1))).join(above, "suffix")
+        # What the suffix has left once the symbols of the longer context are excluded.
+        left = F.col("d") - F.col("kinds")
+        room = F.greatest(F.col("s") - F.col("met") + left, F.lit(1))
+        own = own.withColumn("behind", F.col("b") + F.when(left > 0, F.log10(left / room)).otherwise(0.0))
+        own = materialize(own.select("context", "sum", "kinds", "behind", (F.col("behind") + F.log10(room)).alias("down")), f"contexts{size}")
+        above = own.select(F.col("context").alias("suffix"), F.col("sum").alias("s"), F.col("kinds").alias("d"), F.col("behind").alias("b"))
+        divided = F.log10(F.col("sum") + F.col("kinds"))
+        told = own.select(F.lit(size).alias("size"), "context", divided.alias("own"), (F.log10("kinds") - divided + F.col("behind")).alias("up"), "down")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def beyond(asked: DataFrame, groups: dict[int, DataFrame], shared, model: Short) -> DataFrame:
+    """(row, deep): log probability of the groups (row, code, again) that no task holds."""
+    order = max(groups)
 
-    ``fallback`` is what the context of two bytes says when it is asked first;
-    it holds for contexts that were never seen.
-    """
-    short, long = short_groups(counts), long_groups(counts).join(kept, "context", "left_anti")
-    pairs = short.select(F.col("key").alias("pair"), F.col("n").alias("n2"))
-    two = pairs.groupBy(F.shiftright("pair", 8).alias("suffix")).agg(F.sum("n2").alias("sum2"), F.count(F.lit(1)).alias("kinds2"))
-    seen = long.join(pairs, F.col("key").bitwiseAND(F.lit(0xFFFFFF)) == F.col("pair"))
-    three = seen.groupBy("context").agg(F.sum("n").alias("sum3"), F.count(F.lit(1)).alias("kinds3"), F.sum("n2").alias("met"))
-    three = three.withColumn("suffix", F.col("context").bitwiseAND(F.lit(0xFFFF))).join(two, "suffix").drop("suffix")
-    asked = asked.withColumns({"context": F.shiftright("code", 8), "pair": F.col("code").bitwiseAND(F.lit(0xFFFFFF))})
-    told = asked.join(three, "context", "left").join(pairs, "pair", "left")
-    told = told.join(long.select(F.col("key").alias("code"), F.col("n").alias("n3")), "code", "left")
-    # What the context of two bytes has left once the symbols of the longer one are excluded.
-    left = F.col("kinds2") - F.col("kinds3")
-    room = F.col("sum2") - F.col("met") + left
-    escape = F.log10(F.col("kinds3") / (F.col("sum3") + F.col("kinds3")))
-    further = F.when(left > 0, F.log10(left / room)).otherwise(0.0)
-    under = F.col("fallback") - F.log10(F.col("kinds2") / (F.col("sum2") + F.col("kinds2")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = Short(*shared.value[-2:])
+        for batch in batches:
+            part, two, alone = short.look(batch["code"].to_numpy())
+            yield pa.RecordBatch.from_arrays([batch["code"], pa.array(part), pa.array(two), pa.array(alone)], ["code", "part", "two", "alone"])
+
+    # Every group once, however many documents ask for it.
+    codes = asked.select("code").distinct().mapInArrow(run, "code long, part double, two boolean, alone double")
+    masks = [(n, (1 << (8 * n)) - 1) for n in range(LOW + 1, order + 2)]
+    each = codes.select("*", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("size"), F.shiftright("code", 8).bitwiseAND(F.lit(m)).alias("context"), F.col("code").bitwiseAND(F.lit(up)).alias("key"))
+        for (n, m), (_, up) in zip(masks, masks[1:])
+    ])))
+    known = None
+    for size in range(LOW + 1, order + 1):
+        one = groups[size].select(F.lit(size).alias("size"), "key", F.col("n").alias("often"))
+        known = one if known is None else known.unionByName(one)
+    told = each.join(contexts_of(groups, model), ["size", "context"]).join(known, ["size", "key"], "left")
+    has = F.col("often").isNotNull()
+    # The longest context that was seen, the longest that has the symbol, and the one above that.
+    best = told.groupBy("code").agg(
+        F.max(F.struct("size", "own", "up")).alias("j"), F.max(F.when(has, F.struct("size", "often"))).alias("r"),
+        F.min(F.when(~has, F.struct("size", "down"))).alias("over"),
+    )
     log = (
-        F.when(F.col("kinds3").isNull(), F.col("fallback"))
-        .when(F.col("n3").isNotNull(), F.log10(F.col("n3") / (F.col("sum3") + F.col("kinds3"))))
-        .when(F.col("n2").isNotNull(), escape + F.log10(F.col("n2") / room))
-        .otherwise(escape + further + under)
+        F.when(F.col("j").isNull(), F.col("alone"))
+        .when(F.col("over").isNull(), F.log10("r.often") - F.col("j.own"))
+        .when(F.col("r").isNotNull(), F.col("j.up") - F.col("over.down") + F.log10("r.often"))
+        .when(F.col("two"), F.col("j.up") - F.col("over.down") + F.col("part"))
+        .otherwise(F.col("j.up") + F.col("part"))
     )
-    return told.groupBy("row").agg(F.sum(F.col("again") * log).alias("deep"))
+    found = codes.join(best, "code", "left").select("code", log.alias("log"))
+    return asked.join(found, "code").groupBy("row").agg(F.sum(F.col("again") * F.col("log")).alias("deep"))
 
 
-def scores(docs: DataFrame, fold_of: int = 7, held_out: int = 2, frequent: int = FREQUENT, most: int = MOST) -> DataFrame:
+def scores(docs: DataFrame, fold_of: int = 7, held_out: int = 2, frequent: int = FREQUENT, most: int = MOST, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes - one row per document."""
+    if not LOW < order < 7:
+        raise ValueError("a group of order + 1 bytes is one number: order is 3 to 6")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", fold("doc_id", fold_of) == held_out)
-    counts = materialize(count_both(rows.filter("not held_out")).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = materialize(count_both(rows.filter("not held_out"), order).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     known = counts.filter("kind = 'w'").select("key", "n")
     totals = counts.filter("kind <> 'g' and n > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     v, total = int(totals["v"]), int(totals["n"] or 0)
     ends = counts.filter("kind = 'e'").agg(F.sum("n").alias("n")).first()["n"] or 0
     top = known.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
     keys = top["key"].to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    kept = most_frequent(counts, most)
-    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], *model(counts, kept)))
-    name = uuid.uuid4().hex
+    by_key = np.argsort(keys)
+    groups = groups_of(counts, order)
+    arrays: list[np.ndarray] = []
+    # At most ``most`` rows, and at most 2^24.
+    for part in (frequent_groups(counts, most), groups[LOW]):
+        t = part.toArrow()
+        at = np.argsort(t["key"].to_numpy())
+        arrays += [c.to_numpy()[at] for c in t.columns]
+    shared = spark.sparkContext.broadcast((keys[by_key], top["n"].to_numpy()[by_key], *arrays))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often, *parts = shared.value
-        if name not in _tries:
-            _tries.clear()
-            _tries[name] = Trie(*parts)
-        trie, number, logs = _tries[name], WordNumbers(), np.log10(often + 1.0)
+        common, often, held, held_logs, *_ = shared.value
+        number, logs = WordNumbers(), np.log10(often + 1.0)
         for batch in batches:
             for piece in slices(batch, "text", 500_000):
                 texts = piece["text"].to_pylist()
-                codes, stops = symbols(texts)
+                codes, stops = symbols(texts, order)
                 starts = np.concatenate(([0], stops[:-1]))
-                logs_of, shorter = trie.score(codes)
-                # Groups of the contexts that are not held: once per document, with their number.
-                late = np.flatnonzero(shorter)
-                groups, place, n_late = np.unique(
-                    (np.searchsorted(stops, late, "right") << 32) | codes[late].astype(np.int64), return_index=True, return_counts=True
-                )
-                fallback, edges = logs_of[late[place]].astype(np.float64), np.searchsorted(groups >> 32, np.arange(len(texts) + 1))
-                logs_of[late] = 0
-                score = np.add.reduceat(logs_of.astype(np.float64), starts) if len(texts) else np.empty(0)
+                each, which = np.unique(codes, return_inverse=True)
+                value, late = np.zeros(len(each)), np.ones(len(each), bool)
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, each), len(held) - 1)
+                    late = held[at] != each
+                    value = np.where(late, 0, held_logs[at]).astype(np.float64)
+                logs_of = value[which]
+                # Groups that are not held: once per document, with their number.
+                late = np.flatnonzero(late[which])
+                found, n_late = np.unique(np.searchsorted(stops, late, "right") * len(each) + which[late], return_counts=True)
+                owner, code = found // max(1, len(each)), each[found % max(1, len(each))]
+                edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+                score = np.add.reduceat(logs_of, starts) if len(texts) else np.empty(0)
                 tokens, seen, base, rare, rare_n = [], [], [], [], []
                 for text in texts:
                     bag = Counter(words(text))
@@ -285,19 +324,19 @@ def scores(docs: DataFrame, fold_of: int = 7, held_out: int = 2, frequent: int =
                 yield pa.RecordBatch.from_arrays([
                     piece["doc_id"], piece["held_out"], pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
                     pa.array(score), pa.array(stops - starts - 1), flat(rare), flat(rare_n),
-                    *(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x)) for x in (groups & 0xFFFFFFFF, n_late.astype(np.int64), fallback)),
-                ], ["doc_id", "held_out", "n_tokens", "seen", "base", "score", "n_bytes", "rare", "times", "code", "again", "fallback"])
+                    *(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x)) for x in (code, n_late.astype(np.int64))),
+                ], ["doc_id", "held_out", "n_tokens", "seen", "base", "score", "n_bytes", "rare", "times", "code", "again"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, n_bytes long, rare array<long>, times array<long>, "
-    schema += "code array<long>, again array<long>, fallback array<double>"
+    schema += "code array<long>, again array<long>"
     # Written once, so that the numbers of the rows stay what they are.
     scored = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = scored.select("row", F.inline(F.arrays_zip("rare", "times")))
     found = asked.join(known.select(F.col("key").alias("rare"), F.col("n").alias("c")), "rare").groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain")
     )
-    deep = beyond(scored.select("row", F.inline(F.arrays_zip("code", "again", "fallback"))), counts, kept)
-    out = scored.drop("rare", "times", "code", "again", "fallback").join(found, "row", "left").join(deep, "row", "left")
+    deep = beyond(scored.select("row", F.inline(F.arrays_zip("code", "again"))), groups, shared, Short(*arrays[-2:]))
+    out = scored.drop("rare", "times", "code", "again").join(found, "row", "left").join(deep, "row", "left")
     base = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + v + 1.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"),

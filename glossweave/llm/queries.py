@@ -104,7 +104,7 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op7_ppm(spark: SparkSession, sf: str) -> DataFrame:
-    return ppm.scores(table(spark, sf, "documents"))
+    return ppm.scores(table(spark, sf, "documents"), order=5)
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -278,6 +279,52 @@ def test_ppm(spark, none, most):
     assert ppm.scores(none, most=most).count() == 0
 
 
+def brute_ppm_of(order, train, text):
+    """Probability by walking the contexts of up to ``order`` bytes byte by byte."""
+    counts, start = {}, b"\xff" * order
+    for t in train:
+        b = start + t.encode() + b"\xff"
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                c = counts.setdefault(b[i - k : i], {})
+                c[b[i]] = c.get(b[i], 0) + 1
+    total, b = 0.0, start + text.encode() + b"\xff"
+    for i in range(order, len(b)):
+        excluded = set()
+        for k in range(order, -1, -1):
+            seen = {s: n for s, n in counts.get(b[i - k : i], {}).items() if s not in excluded}
+            size = sum(seen.values()) + len(seen)
+            if b[i] in seen:
+                total += np.log10(seen[b[i]] / size)
+                break
+            if seen:
+                total += np.log10(len(seen) / size)
+                excluded |= set(seen)
+        else:
+            total += np.log10(1 / (256 - len(excluded)))
+    return total
+
+
+@pytest.mark.parametrize("most", [2_097_152, 9, 0])
+def test_ppm_longer_contexts(spark, none, most):
+    """Contexts of five bytes: words in order are told from the same words shuffled, which three bytes tell less well."""
+    r = random.Random(9)
+    said = "the cat sat on the mat and the rat ate the cheese while a dog slept near the old oak door of the house".split()
+    texts = [" ".join(said[k % len(said) :] + said[: k % len(said)]) for k in range(60)] + [" ".join(r.sample(said, len(said))) for _ in range(6)]
+    texts += ["zebra \u00e9 the ca", "", "xx", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {x["doc_id"]: x["score"] for x in ppm.scores(df, most=most, order=5).collect()}
+    train = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for i, t in enumerate(texts):
+        assert rows[i] == pytest.approx(brute_ppm_of(5, train, t or ""), rel=1e-5)
+    assert ppm.scores(none, order=5).count() == 0
+    from glossweave.llm import queries
+
+    written = "/tmp/spark-" + uuid.uuid4().hex
+    df.write.parquet(f"{written}/documents.parquet")
+    assert {x["doc_id"]: x["score"] for x in queries.op7_ppm(spark, written).collect()} == pytest.approx(rows)
+
+
 def test_toxicity_and_its_penalty(spark, odd):
     r = random.Random(5)
     clean = lambda: " ".join(f"v{r.randint(0, 60):c}{chr(97 + r.randint(0, 25))}{chr(97 + r.randint(0, 25))}" for _ in range(20))
