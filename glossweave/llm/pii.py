@@ -11,6 +11,10 @@ Everything is a DataFrame expression on the row; nothing is shuffled. The
 network alternates two unequal halves, with the leading hexadecimal digits of
 SHA-256 as round function.
 
+Cards are sought in whole runs of digits with single blanks or hyphens: at every
+group the longest 13 to 19 digits that end with a group and pass. IBANs may be
+printed in groups of four, if their country's length is known.
+
 Dates move within their 400-year block. Slashed dates are read as month/day
 where that is a date, else as day/month, and keep that order.
 
@@ -23,18 +27,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The forms that are looked at, in the order in which they are tried at one place.
+# Lengths of IBANs, for those printed in groups of four.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+GROUPED = "|".join(
+    f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, lands in LENGTHS.items()
+)
+
+# The forms that are looked at, in the order in which they are tried at one place; cards in what the others leave.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+|{GROUPED})(?![A-Za-z0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{1,4}){3,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3} [0-9]{3} [0-9]{4}|(?<!\.)[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
-    "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+",
 }
-ANY = "|".join(FORMS.values())
 KINDS = list(FORMS)
+FIRST = [k for k in KINDS if k != "card"]
+ANY = "|".join(FORMS[k] for k in FIRST)
 ROUNDS = 8
 
 
@@ -109,6 +124,42 @@ def card(key: str, m: Column) -> Column:
     return with_value(F.regexp_replace(m, "[^0-9]", ""), replace)
 
 
+def cards(key: str, m: Column) -> Column:
+    """struct(new, n): digits in groups, with every card among them that begins and ends at a group edge replaced.
+
+    From left to right; of several that begin at one place the longest that passes.
+    """
+    def run(groups: Column) -> Column:
+        part = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+        start = F.struct(F.lit("").alias("new"), F.lit(0).alias("n"), F.lit(1).alias("next"))
+
+        def passes(i: Column, j: Column) -> Column:
+            return with_value(F.regexp_replace(part(i, j), "[^0-9]", ""), lambda d: F.when(F.length(d).between(13, 19), luhn_sum(d) % 10 == 0).otherwise(False))
+
+        def step(acc: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(i, F.least(i + 18, F.size(groups))), lambda j: passes(i, j))
+            taken = with_value(F.array_max(ends), lambda j: F.when(j.isNull(), F.struct(
+                F.concat(acc["new"], F.element_at(groups, i)).alias("new"), acc["n"].alias("n"), (i + 1).alias("next"),
+            )).otherwise(F.struct(F.concat(acc["new"], card(key, part(i, j))).alias("new"), (acc["n"] + 1).alias("n"), (j + 1).alias("next"))))
+            return F.when(i < acc["next"], acc).otherwise(taken)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda acc: F.struct(acc["new"].alias("new"), acc["n"].alias("n")))
+
+    return with_value(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), run)
+
+
+def without_cards(key: str, text: Column) -> Column:
+    """struct(new, n) of a text that holds no other form."""
+    form = FORMS["card"]
+
+    def joined(runs: Column) -> Column:
+        shown = F.zip_with(F.split(text, form, -1), runs, lambda g, r: F.concat(g, F.coalesce(r["new"], F.lit(""))))
+        return F.struct(F.array_join(shown, "").alias("new"), F.aggregate(runs, F.lit(0), lambda a, r: a + r["n"]).alias("n"))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda m: cards(key, m))
+    return F.when(text.rlike(form), with_value(found, joined)).otherwise(F.struct(text.alias("new"), F.lit(0).alias("n")))
+
+
 def phone(key: str, m: Column) -> Column:
     """The country code behind a plus stays."""
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0)
@@ -156,14 +207,20 @@ def mod97(text: Column) -> Column:
 
 
 def iban(key: str, m: Column) -> Column:
-    land, body = F.substring(m, 1, 2), F.substr(m, F.lit(5), F.length(m))
-    digits = F.regexp_replace(body, "[^0-9]", "")
+    """Blanks stay where they are."""
+    def replace(plain: Column) -> Column:
+        land, body = F.substring(plain, 1, 2), F.substr(plain, F.lit(5), F.length(plain))
+        digits = F.regexp_replace(body, "[^0-9]", "")
+
+        def checked(new: Column) -> Column:
+            return F.concat(land, F.format_string("%02d", (98 - mod97(F.concat(new, land, F.lit("00")))).cast("int")), new)
 
-    def checked(new: Column) -> Column:
-        return F.concat(land, F.format_string("%02d", (98 - mod97(F.concat(new, land, F.lit("00")))).cast("int")), new)
+        right = mod97(F.concat(body, F.substring(plain, 1, 4))) == 1
+        return F.when(right & (F.length(digits) > 0), with_value(filled(body, digits_permuted(key, "iban", digits)), checked))
 
-    right = mod97(F.concat(body, F.substring(m, 1, 4))) == 1
-    return F.when(right & (F.length(digits) > 0), with_value(filled(body, digits_permuted(key, "iban", digits)), checked))
+    # Groups are of four.
+    grouped = lambda new: F.when(m.contains(" "), F.rtrim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new)
+    return with_value(with_value(F.regexp_replace(m, " ", ""), replace), grouped)
 
 
 def date(key: str, m: Column) -> Column:
@@ -187,13 +244,13 @@ def email(key: str, m: Column) -> Column:
     return F.concat(F.lit("user-"), name, F.lit("@mail.invalid"))
 
 
-REPLACE = {"email": email, "iban": iban, "phone": phone, "ssn": social, "ip": address, "date": date, "card": card}
+REPLACE = {"email": email, "iban": iban, "phone": phone, "ssn": social, "ip": address, "date": date}
 
 
 def pseudonym(key: str, m: Column) -> Column:
     """struct(kind, text) of a match; kind is null where the check fails and the match stays."""
     whole = lambda k: m.rlike("^(?:" + FORMS[k] + ")$")
-    tried = [F.when(whole(k), F.struct(F.lit(k).alias("kind"), REPLACE[k](key, m).alias("new"))) for k in KINDS]
+    tried = [F.when(whole(k), F.struct(F.lit(k).alias("kind"), REPLACE[k](key, m).alias("new"))) for k in FIRST]
     fits = [F.when(t["new"].isNotNull(), t) for t in tried]
     return F.coalesce(*fits, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new")))
 
@@ -201,15 +258,19 @@ def pseudonym(key: str, m: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """All rows and columns, with new texts, and the number of replacements of each kind as n_<kind>."""
     text = F.col(column).cast("string")
-    found = F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    some = text.rlike(ANY) | text.rlike(FORMS["card"])
+    found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     gaps = F.when(F.col("__pii_found").isNotNull(), F.split(text, ANY, -1))
-    new = F.transform("__pii_found", lambda m: pseudonym(key, m))
-    joined = F.array_join(F.flatten(F.zip_with("__pii_gaps", F.transform("__pii_new", lambda p: p["new"]), lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "")
-    out = docs.withColumn("__pii_found", found).withColumn("__pii_gaps", gaps)
-    out = out.withColumn("__pii_new", new)
-    counts = {f"n_{k}": F.coalesce(F.size(F.filter("__pii_new", lambda p: p["kind"] == k)), F.lit(0)).cast("long") for k in KINDS}
-    counts = {n: F.greatest(c, F.lit(0)) for n, c in counts.items()}
+    left = lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x.alias("new"))
+    # Gaps and matches in turn; cards are looked for in all that stays.
+    parts = F.flatten(F.zip_with("__pii_gaps", F.transform("__pii_found", lambda m: pseudonym(key, m)), lambda g, p: F.array(left(g), F.coalesce(p, left(F.lit(""))))))
+    told = F.transform("__pii_parts", lambda p: F.when(p["kind"].isNotNull(), F.struct(p["new"].alias("new"), F.lit(0).alias("n"))).otherwise(without_cards(key, p["new"])))
+    out = docs.withColumn("__pii_found", found).withColumn("__pii_gaps", gaps).withColumn("__pii_parts", parts).withColumn("__pii_new", told)
+    counts = {f"n_{k}": F.size(F.filter("__pii_parts", lambda p: p["kind"] == k)) for k in FIRST}
+    counts["n_card"] = F.aggregate("__pii_new", F.lit(0), lambda a, p: a + p["n"])
+    counts = {n: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long") for n, c in counts.items()}
+    joined = F.array_join(F.transform("__pii_new", lambda p: p["new"]), "")
     out = out.withColumns({column: F.when(F.col("__pii_found").isNull(), text).otherwise(joined), **counts})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(column).cast("long"), F.col("n_chars").cast("long")))
-    return out.drop("__pii_found", "__pii_gaps", "__pii_new")
+    return out.drop("__pii_found", "__pii_gaps", "__pii_parts", "__pii_new")

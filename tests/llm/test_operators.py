@@ -235,6 +235,25 @@ def test_pii(spark, odd, none):
     assert pii.pseudonymise(odd, "k").count() == len(ODD) and pii.pseudonymise(none, "k").count() == 0
 
 
+def test_pii_beside_other_digits_and_in_groups(spark):
+    gone = {
+        "4111111111111111 123": "4111111111111111", "4111 1111 1111 1111 12/27": "4111 1111 1111 1111", "27 4111 1111 1111 1111": "4111 1111 1111 1111",
+        "4111 1111 1111 1111 5500 0000 0000 0004": "4111 1111 1111 1111|5500 0000 0000 0004", "ID12 4111 1111 1111 1111": "4111 1111 1111 1111",
+        "4111 1111 1111 1111 123-45-6789": "4111 1111 1111 1111|123-45-6789", "DE89 3704 0044 0532 0130 00 EUR": "3704 0044 0532 0130 00",
+        "DE89 3704 0044 0532 0130 00 4111 1111 1111 1111": "3704 0044 0532 0130 00|4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32": "1234 5698 7654 32",
+        "NO93 8601 1117 947": "8601 1117 947", "555.123.4567": "123.4567", "555 123 4567": "123 4567", "+33 1 23 45 67 89": "1 23 45 67 89", "(555) 123.4567": "123.4567",
+    }
+    stay = ["4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00", "1.2.3.4567", "10.0.0.700", "12345678901234567890123"]
+    df = spark.createDataFrame(list(enumerate([*gone, *stay])), "doc_id long, text string")
+    new = [r["text"] for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    for (old, parts), text in zip(gone.items(), new):
+        assert not any(p in text for p in parts.split("|")) and re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", old), (old, text)
+    assert new[len(gone) :] == stay
+    assert new[0].endswith(" 123") and luhn(new[0][:-4]) and new[1].endswith(" 12/27") and luhn(new[1][:19].replace(" ", ""))
+    moved = new[list(gone).index("DE89 3704 0044 0532 0130 00 EUR")][:27].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97 == 1
+
+
 def brute_ppm(train, text):
     """Probability by walking the contexts byte by byte."""
     counts = {}
