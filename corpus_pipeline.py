@@ -46,7 +46,7 @@ def without_names(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, added=True)
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,7 +71,7 @@ def shingle_numbers(numbers: np.ndarray, size: int) -> np.ndarray:
 #: Marks behind a word that are one token group of their own (no apostrophes, which can begin a suffix).
 MARKS = ".,;:!?%&*#$|()[]{}\"-+=/_~^<>@"
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
@@ -79,13 +81,21 @@ class Encoder:
     spaces, and every distinct piece is encoded once by the library. A Python
     worker forgets its pieces when it knows more than ``most`` of them and then
     encodes them again. The ids are those of the whole text.
+
+    With ``added`` the added tokens of the vocabulary that a text spells out, such
+    as '<|endoftext|>', have their own ids, as the library gives them by default;
+    a text that may hold one goes to the library whole. Without, they are text.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        # The signs such a token begins with; normal forms and folding change letters, so one that begins with a letter leaves no sign.
+        begins = {"".join(itertools.takewhile(lambda c: c.isascii() and not c.isalnum() and not c.isspace(), t.content)) for t in self.whole.get_added_tokens_decoder().values()} if added else set()
+        self.begins = re.compile("|".join(map(re.escape, sorted(begins)))) if begins else None
         # A tokenizer that drops white space needs no leading space in front of a piece.
         self.keeps_space = bool(self.lib.encode(" \n", add_special_tokens=False).ids)
         # Tokens that begin a word with its space, or else end a word: they part the words of a long text again.
@@ -113,12 +123,16 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         if len(self.seen) > self.most:
             self.seen = {"": b""}
-        cut = [self.pieces(t) if t else [] for t in texts]
+        odd = {i for i, t in enumerate(texts) if t and self.begins and self.begins.search(t)}
+        cut = [self.pieces(t) if t and i not in odd else [] for i, t in enumerate(texts)]
         fresh = list({p for ps in cut for p in ps if p not in self.seen})
         if fresh:
             self.learn(fresh)
         get = self.seen.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        out = [b"".join(map(get, ps)) for ps in cut]
+        for i in odd:
+            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def learn(self, fresh: list[str]) -> None:
         """Encodes new pieces: plain words in one text, a word and the marks behind it apart, others singly."""
@@ -158,14 +172,14 @@ class Encoder:
         return letters.isalpha() and (letters.isascii() or max(letters) < "\u0100") and (not self.keeps_space or core[0] == " ")
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder per Python worker, vocabulary and reading of added tokens."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added=added)
+    return _encoders[path, added]
 
 
 def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:

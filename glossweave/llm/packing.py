@@ -74,11 +74,11 @@ def places(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, added: bool = False) -> DataFrame:
     """Pieces of all documents; ``rank`` counts pieces of one length within a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, part = encoder(vocabulary, added), TaskContext.get().partitionId()
         end = np.uint32(end_id).astype("<u4").tobytes()
         seen, full = np.zeros(size, np.int64), 0
         for batch in batches:
@@ -103,10 +103,10 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, added: bool = False) -> DataFrame:
     """Every piece with its sequence and its offset there; sequences are numbered without gaps."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, vocabulary, end_id, size), "pieces")
+    cut = materialize(pieces(docs, vocabulary, end_id, size, added), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -52,7 +52,7 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op3_rans(spark: SparkSession, sf: str) -> DataFrame:
     import zlib
 
-    read = rans.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    read = rans.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, added=True)
 
     def digest(batches):
         for b in batches:
@@ -140,4 +140,4 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, added=True)

@@ -105,11 +105,11 @@ def lanes_for(n: int, most: int = 1024) -> int:
     return max(1, min(most, n // 64))
 
 
-def raw_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int) -> DataFrame:
+def raw_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int, added: bool = False) -> DataFrame:
     """Ids in ascending order of doc_id, cut into blocks of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, part = encoder(vocabulary, added), TaskContext.get().partitionId()
         end, block, first = np.uint32(end_id).astype("<u4").tobytes(), 0, 0
         ids: list[bytes] = []
         names: list[int | None] = []
@@ -155,10 +155,10 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1)
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, block_tokens: int = 1 << 17) -> None:
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, block_tokens: int = 1 << 17, added: bool = False) -> None:
     """Encodes all documents into ``folder``; a block holds about ``block_tokens`` ids, more if one document does."""
     spark = docs.sparkSession
-    raw_blocks(docs, vocabulary, end_id, block_tokens).write.option("compression", "zstd").parquet(f"{folder}/raw")
+    raw_blocks(docs, vocabulary, end_id, block_tokens, added).write.option("compression", "zstd").parquet(f"{folder}/raw")
     raw = spark.read.schema(RAW).parquet(f"{folder}/raw")
     # One row per id of the vocabulary, however many documents there are.
     counted = raw.select(F.inline(F.arrays_zip("counted", "counts"))).groupBy("counted").agg(F.sum("counts").alias("n"))
@@ -215,9 +215,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.join(begins, "part").drop("crc_").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, added: bool = False) -> DataFrame:
     """Writes the documents and reads them back."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "rans")
-    write(docs, folder, vocabulary, end_id)
+    write(docs, folder, vocabulary, end_id, added=added)
     return read(spark, folder)

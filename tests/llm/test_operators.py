@@ -95,6 +95,25 @@ def test_packing(odd, none):
     assert packing.pack(none, BYTE_BPE).count() == 0
 
 
+def test_added_tokens_have_their_own_ids_in_the_queries(spark):
+    """As the library gives them by default; every later start in op3 depends on it."""
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|><|endoftext|>", "a <|ENDOFTEXT|> b <| c", " lead <|endoftext|>\n tail", "plain", None, ""]
+    written = "/tmp/spark-" + uuid.uuid4().hex
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{written}/documents.parquet")
+    from glossweave.llm import queries
+
+    want = {}
+    for path, end in ((WORD_BPE, 2), (BYTE_BPE, 1)):
+        lib = Tokenizer.from_file(path)
+        want[path] = [np.array(lib.encode(t or "", add_special_tokens=False).ids + [end], "<u4").tobytes() for t in texts]
+    start = 0
+    for r, data in zip(sorted(queries.op3_rans(spark, written).collect(), key=lambda r: r["start"]), want[WORD_BPE], strict=True):
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(data) // 4, zlib.crc32(data))
+        start += len(data) // 4
+    for rows in (queries.op10_packing(spark, written).collect(), corpus_pipeline.packed(spark, spark.read.parquet(f"{written}/documents.parquet"), written).collect()):
+        assert sorted((r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in rows) == [(i, len(d) // 4, zlib.crc32(d)) for i, d in enumerate(want[BYTE_BPE])]
+
+
 def test_packing_plan_uses_every_length_once():
     histogram = {n: (n * 7) % 5 for n in range(1, 100)}
     used = {}
