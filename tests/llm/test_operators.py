@@ -405,6 +405,19 @@ def test_html(spark, sf):
     assert [b.text for b in one] == ["a & b c", "d <e>"]
 
 
+def test_html_tables_of_long_pages_or_without_names(spark):
+    """Long pages train the field too, and pages that use div containers only are not left empty."""
+    said = [f"Sentence number {i} of the story tells at some length what happened on that day in the old town by the river." for i in range(1100)]
+    menu = '<div class="nav"><ul><li><a href="#">Home</a></li><li><a href="#">News</a></li></ul></div>'
+    long = f'<body>{menu}<article>{"".join(f"<p>{t}</p>" for t in said)}</article><div class="footer"><p>© All rights reserved</p></div></body>'
+    plain = f'<body>{menu}<div class="content">{"".join(f"<p>{t}</p>" for t in said[:6])}</div><div class="footer"><p>© All rights reserved</p></div></body>'
+    assert len(long) > 100_000
+    for page, want in ((long, said), (plain, said[:6])):
+        for name in (1, None):
+            df = spark.createDataFrame([(name, "u", page)], "page_id long, url string, html string")
+            assert html_crf.main_text(df).first()["text"].split("\n") == want
+
+
 def test_pipeline(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
     rows = corpus_pipeline.run(spark, sf).collect()
