@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import decontaminate, html_crf, minhash, packing, pii, ppm, rans, secrets, topk, toxicity
+from glossweave.llm import decontaminate, html_crf, interaction, licenses, minhash, packing, pii, ppm, rans, secrets, topk, toxicity, trie
 from glossweave.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,108 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, added=True)
+
+
+@query("""
+WITH t AS (
+  SELECT conv_id, struct_pack(role := role, text := text) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || ' ' || text)) AS r
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+c AS (
+  SELECT conv_id, list(turn ORDER BY r) AS own, xor(4294967295::BIGINT, list_reduce(
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda a, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(a, x)), 4294967295::BIGINT
+  )) % 6 AS h FROM t GROUP BY conv_id
+),
+b AS (
+  SELECT c.conv_id, list_concat(coalesce(base.own, [])[1:c.h], c.own[c.h + 1:]) AS turns
+  FROM c LEFT JOIN c base ON base.conv_id = c.conv_id - c.conv_id % 100
+),
+m AS (SELECT conv_id, d, turns[1:d] AS seq, len(turns) = d AS ends FROM b, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)),
+n AS (
+  SELECT seq, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids,
+         (count(*) - 1) * CASE WHEN d > 0 THEN length(seq[d].text) ELSE 0 END AS saving
+  FROM m GROUP BY seq, d
+),
+p AS (SELECT n.*, parent.conv_id AS parent_conv_id FROM n LEFT JOIN n parent ON parent.d = n.d - 1 AND parent.seq = n.seq[1:n.d - 1]),
+k AS (SELECT seq[1:d - 1] AS seq, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+s AS (
+  SELECT u.seq[1:x.d] AS seq, x.d, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum(u.saving) AS saved_tokens
+  FROM n u LEFT JOIN k ON k.d = u.d AND k.seq = u.seq, LATERAL (SELECT unnest(range(u.d + 1)) AS d) x GROUP BY ALL
+)
+SELECT p.conv_id, p.d::BIGINT AS depth, p.parent_conv_id, p.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, sha256(p.ids) AS ends_sha256
+FROM p LEFT JOIN k ON k.d = p.d AND k.seq = p.seq JOIN s ON s.d = p.d AND s.seq = p.seq
+""")
+def op11_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.nodes(table(spark, sf, "conversations")).drop("ref_conv_id", "ref_turn")
+
+
+@query(rf"""
+WITH t(k, label, base, n, least, i, word, fixed) AS (VALUES {licenses.template_values()}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+),
+p AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+m AS (
+  SELECT r, k, label, base, n, pos - i AS start, count(*) AS equal FROM p JOIN t USING (word)
+  GROUP BY r, k, label, base, n, least, pos - i
+  HAVING count(*) >= least AND count(*) FILTER (fixed) = (SELECT count(*) FROM t f WHERE f.k = any_value(t.k) AND f.fixed)
+),
+shown AS (
+  SELECT DISTINCT r, label FROM m WHERE base OR NOT EXISTS (
+    SELECT 1 FROM m o WHERE o.r = m.r AND o.label <> m.label AND o.n > m.n AND o.start <= m.start AND o.start + o.n >= m.start + m.n)
+),
+a AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, max(equal::DOUBLE / n) AS score, count(*) AS n_places
+  FROM m GROUP BY r
+),
+l AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM shown GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0) AS score, coalesce(n_places, 0) AS n_places
+FROM d LEFT JOIN a USING (r) LEFT JOIN l USING (r)
+""")
+def op12_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY text) AS smallest FROM d
+),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+                CASE WHEN 100 * capitals > 3 * length(text) THEN 'C' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+                CASE WHEN doc_id > smallest THEN 'E' END) AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+r AS (
+  SELECT part, good, toxic, fails, filter_order,
+         list_min(list_transform(string_split(fails, ''), lambda x: strpos(filter_order, x))) AS gone
+  FROM f, orders
+),
+s AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, count(*) FILTER (fails = '' OR gone > step) AS kept,
+         count(*) FILTER (fails <> '' AND gone = step) AS removed,
+         count(*) FILTER (fails <> '' AND gone < step AND contains(fails, substr(filter_order, step, 1))) AS redundant,
+         count(*) FILTER (fails = substr(filter_order, step, 1)) AS unique_fails,
+         count(*) FILTER (fails <> '' AND gone = step AND good) AS good_lost, count(*) FILTER (fails <> '' AND gone = step AND toxic) AS toxic_lost
+  FROM r, (SELECT unnest(range(1, 6))::INTEGER AS step) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM s
+""")
+def op13_interaction(spark: SparkSession, sf: str) -> DataFrame:
+    return interaction.audit(interaction.failures(table(spark, sf, "documents"), table(spark, sf, "labels")))
