@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from glossweave.functions import phonetic
 from glossweave.plans.catalog.base import ENTRIES, LEXICON, entries, lexicon, query, table
@@ -78,15 +78,18 @@ def raw_rows(spark, sf):
     return raw.groupBy("checksum").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _marker_file(spark, sf):
+def _marker_text():
     flat = lambda c: F.translate(c, "\n", " ")
-    record = F.concat(
+    return F.concat(
         F.lit("\\lx "), "headword", F.lit("\n\\ph ["), "ipa", F.lit("]\n\\de "), flat(F.col("definition")),
         F.when(F.col("pos_tag").isNotNull(), F.concat(F.lit("\n\\ps "), F.col("pos_tag"))).otherwise(""),
         F.lit("\n\\lg "), "language", F.lit("\n"),
     )
+
+
+def _marker_file(spark, sf):
     path = scratch_path(spark, "markers")
-    entries(spark, sf).select(record.alias("value")).write.text(path)
+    entries(spark, sf).select(_marker_text().alias("value")).write.text(path)
     return path
 
 
@@ -100,6 +103,25 @@ def marker_records(spark, sf):
     return out.select("headword", "ipa", F.md5(F.trim("definition")).alias("definition_md5"), "pos_tag", "language")
 
 
+@query("marker_lines", f"""
+WITH {ENTRIES}, placed AS (
+  SELECT *, id // 500 AS bucket, row_number() OVER b AS n,
+         coalesce(sum(4 + (pos_tag IS NOT NULL)::INT) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM entries WINDOW b AS (PARTITION BY id // 500 ORDER BY id))
+SELECT bucket, (3 + before)::BIGINT AS line_number, headword FROM placed""")
+def marker_lines(spark, sf):
+    """Files of 500 records behind a preamble of two lines, read back with the first line of each record."""
+    record = F.regexp_replace(_marker_text(), r"\n$", "")
+    bucket = F.floor(F.col("id") / 500)
+    placed = entries(spark, sf).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "id")
+    lead = F.when(F.col("id") == F.min("id").over(Window.partitionBy("bucket")), F.lit("\\_sh v3.0 400\n\\de of no record\n")).otherwise("")
+    path = scratch_path(spark, "marker-lines")
+    out = placed.select("bucket", "id", F.concat(lead, record).alias("value"))
+    out.sortWithinPartitions("bucket", "id").select("bucket", "value").write.partitionBy("bucket").text(path)
+    read = readers.starling(spark, path)
+    return read.select(F.regexp_extract("file_path", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "line_number", "headword")
+
+
 @query("marker_blocks", _MARKERS)
 def marker_blocks(spark, sf):
     out = readers.starling_blocks(spark, _marker_file(spark, sf))

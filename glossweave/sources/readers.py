@@ -6,14 +6,15 @@ has; :func:`as_raw` wraps any of them into rows of the raw table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from glossweave.functions.text import not_blank, strip_blank
-from glossweave.session import settle
+from glossweave.session import materialize, settle
 
 
 def _text(name: str) -> T.StructField:
@@ -75,19 +76,88 @@ def swadesh(spark: SparkSession, path: str) -> DataFrame:
     return wide_to_long(spark.read.csv(path, header=True))
 
 
-def starling(spark: SparkSession, path: str) -> DataFrame:
-    """Marker files where a ``\\lx`` line opens each record.
+# Markers of the record format and the fields they fill.
+MARKERS = {"ph": "ipa", "de": "definition", "et": "etymology", "ps": "pos_tag", "lg": "language"}
+FRAGMENT = "file_path string, block long, opened int, line long, headword string, fields map<string, string>"
 
-    Records never cross files, and files are split at the marker, so a record
-    is one row from the start and no window over lines is needed. The marker may
-    be indented. What stands before the first one is no record.
+
+def starling(spark: SparkSession, path: str) -> DataFrame:
+    """Marker files where a line that begins with ``\\lx`` and a blank opens each record, with the number of that line.
+
+    Lines are read without blanks around them. A file may be split anywhere:
+    each split gives its records and, apart, the lines before its first one,
+    which belong to the last record of an earlier split. Lines and records of
+    earlier splits are added up per file, one row per split, and only records
+    at the edges of splits are put together. What stands before the first
+    record of a file is no record; the last line of a marker wins.
     """
-    return marker_records(_chunks(spark, path, "\\lx"), opens=True)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"))
+    found = materialize(lines.mapInArrow(_fragments, FRAGMENT), "fragments")
+    # A row without fields closes each split: its lines and how many records it opened.
+    splits = found.filter("fields IS NULL").select("file_path", "block", F.col("line").alias("_lines"), F.col("opened").alias("_opened"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        "file_path", "block", F.col("_opened"), F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_lines_before"),
+        F.coalesce(F.sum("_opened").over(before), F.lit(0)).alias("_before"),
+    )
+    parts = found.filter("fields IS NOT NULL").join(F.broadcast(splits), ["file_path", "block"]).select(
+        "file_path", "block", (F.col("_before") + F.col("opened")).alias("record"), "headword", "fields",
+        F.when(F.col("opened") > 0, F.col("line") + F.col("_lines_before")).alias("line_number"),
+        ((F.col("opened") == 0) | (F.col("opened") == F.col("_opened"))).alias("edge"),
+    ).filter("record > 0")
+    names = list(MARKERS.values())
+    field = lambda n: F.col("fields")[n]
+    inside = parts.filter("not edge").select("headword", *[field(n).alias(n) for n in names], "file_path", "line_number")
+    last = lambda n: F.max(F.when(field(n).isNotNull(), F.struct("block", field(n).alias("v"))))["v"].alias(n)
+    joined = parts.filter("edge").groupBy("file_path", "record").agg(
+        F.max("headword").alias("headword"), *[last(n) for n in names], F.max("line_number").alias("line_number")
+    )
+    return inside.unionByName(joined.drop("record"))
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each split of a file, with what precedes the first one as record 0 and a closing row of totals."""
+    split, opened, line, at, headword, fields, out = None, 0, 0, 0, None, {}, []
+    markers = {f"\\{m} ": name for m, name in MARKERS.items()}
+
+    def close() -> None:
+        if opened or fields:
+            out.append((*split, opened, at, headword, fields))
+
+    def table() -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
+        columns = list(zip(*out))
+        columns[5] = [None if f is None else list(f.items()) for f in columns[5]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in FRAGMENT.split(", ", 5)])
+
+    for batch in batches:
+        for value, file_path, block in zip(*(batch[c].to_pylist() for c in ("value", "file_path", "block"))):
+            if (file_path, block) != split:
+                if split:
+                    close()
+                    out.append((*split, opened, line, None, None))
+                split, opened, line, at, headword, fields = (file_path, block), 0, 0, 0, None, {}
+            line += 1
+            value = value.strip()
+            if value.startswith("\\lx "):
+                close()
+                opened, at, headword, fields = opened + 1, line, value[4:], {}
+            elif value[:4] in markers:
+                name = markers[value[:4]]
+                fields[name] = value[4:].strip("[]") if name == "ipa" else value[4:]
+        if len(out) > 10_000:
+            yield table()
+            out.clear()
+    if split:
+        close()
+        out.append((*split, opened, line, None, None))
+    if out:
+        yield table()
 
 
 def starling_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Marker files where a blank line closes each record."""
-    return marker_records(_chunks(spark, path, "\n\n"), opens=False)
+    return marker_records(_chunks(spark, path, "\n\n"))
 
 
 def _chunks(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -95,30 +165,18 @@ def _chunks(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return rows.select(F.col("value").alias("chunk"), F.col("_metadata.file_path").alias("file_path"))
 
 
-# Markers of the record format and the fields they fill.
-MARKERS = {"ph": "ipa", "de": "definition", "et": "etymology", "ps": "pos_tag", "lg": "language"}
-
-
-def marker_records(chunks: DataFrame, opens: bool) -> DataFrame:
+def marker_records(chunks: DataFrame) -> DataFrame:
     """Fields of one record per row of ``chunk``; the last line of a marker wins."""
-    lines = F.transform(F.split(F.col("chunk"), "\r?\n"), strip_blank if opens else lambda x: x)
-    df = chunks.withColumn("_lines", lines)
+    df = chunks.withColumn("_lines", F.split(F.col("chunk"), "\r?\n"))
 
     def last(marker: str) -> Column:
         hits = F.filter("_lines", lambda x: x.startswith(f"\\{marker} "))
         return F.substring(F.try_element_at(hits, F.lit(-1)), len(marker) + 3, 1 << 30)
 
-    head = F.col("_lines")[0]
-    # A blank follows the marker; text before the first marker of a file begins with none.
-    named = F.when(F.col("chunk").rlike(r"^[ \t]"), head)
-    first = named if opens else F.regexp_extract(last("lx"), r"^\s*(.+)$", 1)
     fields = {field: last(marker) for marker, field in MARKERS.items()}
-    if opens:
-        fields["ipa"] = F.regexp_replace(fields["ipa"], r"^[\[\]]+|[\[\]]+$", "")
-    else:
-        fields["ipa"] = F.nullif(F.regexp_extract(fields["ipa"], r"^\s*\[(.+)\]$", 1), F.lit(""))
+    fields["ipa"] = F.nullif(F.regexp_extract(fields["ipa"], r"^\s*\[(.+)\]$", 1), F.lit(""))
     out = df.select(
-        first.alias("headword"), *[c.alias(n) for n, c in fields.items()],
+        F.regexp_extract(last("lx"), r"^\s*(.+)$", 1).alias("headword"), *[c.alias(n) for n, c in fields.items()],
         *[c for c in chunks.columns if c != "chunk"],
     )
     return out.filter(not_blank(F.col("headword")))

@@ -177,3 +177,29 @@ def test_marker_files_with_a_preamble_and_indented_markers(spark, tmp_path):
     text = "Dictionary export 2020\n\\lx one\n\\de first\n  \\lx two\n\\de second\n"
     got = readers.starling(spark, write(tmp_path / "c.txt", text))
     assert sorted((r["headword"], r["definition"]) for r in got.collect()) == [("one", "first"), ("two", "second")]
+
+
+def test_marker_files_open_records_at_line_starts_only(spark, tmp_path):
+    text = "\\lx one\n\\de first\n\\lxid 7\n\\et old\n\\lx two\n\\de see \\lx one here\n\\et new\n"
+    got = readers.starling(spark, write(tmp_path / "d.txt", text))
+    assert sorted(rows(got, "headword", "definition", "etymology", "line_number")) == [
+        ("one", "first", "old", 1), ("two", "see \\lx one here", "new", 5)]
+
+
+def test_marker_files_in_many_splits(spark, tmp_path):
+    """Records, their last values and line numbers do not depend on where a file is split."""
+    want = []
+    for f in range(2):
+        lines = ["\\_sh", "\\de lost", ""]
+        for i in range(60):
+            want.append((f"w{f}.{i}", f"d{i}" * (i % 9 + 1), None if i % 3 else f"e{i}", len(lines) + 1))
+            lines += [f"  \\lx w{f}.{i}", "\\de overwritten", *["more"] * (i % 40), f"\\de {want[-1][1]}", *([] if i % 3 else [f"\\et e{i}"])]
+        write(tmp_path / f"{f}.txt", "\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 97)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        got = readers.starling(spark, str(tmp_path))
+        assert sorted(rows(got, "headword", "definition", "etymology", "line_number")) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
