@@ -25,6 +25,7 @@ import html
 import json
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,8 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOUNDARY = {"ul": {"li"}, "ol": {"li"}, "table": {"tr", "td", "th"}, "tr": {"td", "th"}}
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+BEGIN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+INSIDE = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 CUE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -55,23 +57,64 @@ class Block:
         self.text, self.path, self.parent, self.linked, self.label = text, path, parent, linked, label
 
 
+class Tags:
+    """Tags of a page in order: (start, end, closing, name, attributes); comments and declarations have no name.
+
+    One pass: a '<' behind which no '>' follows is text, and once a quote inside
+    a tag is not closed, tags of the page end at the next '>' from there on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.last = page, True, page.rfind(">")
+
+    def end(self, pos: int) -> int:
+        """Place of the '>' that ends the tag, which lies outside quotes."""
+        page = self.page
+        if not self.quotes:
+            return page.find(">", pos)
+        at = pos
+        while m := INSIDE.search(page, at):
+            if m.group() == ">":
+                return m.start()
+            at = page.find(m.group(), m.end()) + 1
+            if not at:
+                break
+        self.quotes = False
+        return page.find(">", pos)
+
+    def next(self, pos: int) -> tuple[int, int, str, str, str] | None:
+        page = self.page
+        while m := BEGIN.search(page, pos):
+            at, pos = m.start(), m.end()
+            if page.startswith("<!--", at):
+                end = page.find("-->", pos)
+                return at, len(page) if end < 0 else end + 3, "", "", ""
+            if at > self.last:
+                return None
+            end = self.end(pos) if m.group(2) else page.find(">", pos)
+            return at, end + 1, m.group(1) or "", m.group(2) or "", page[pos:end]
+        return None
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
     if not page:
         return out
-    # Open elements: tag, features with those of the parents, number, hidden, label.
-    stack: list[tuple[str, tuple[str, ...], int, bool, int]] = [("", (), 0, False, -1)]
-    numbers, links, linked = 0, 0, 0
+    # Open elements: tag, features with those of the parents, number, hidden, label, number of what holds the block, place of the block.
+    stack: list[tuple[str, tuple[str, ...], int, bool, int, int, int]] = [("", (), 0, False, -1, 0, 0)]
+    is_open: Counter[str] = Counter()
+    numbers, linked = 0, 0
     text: list[str] = []
-    pos, n = 0, len(page)
+    tags, pos, n = Tags(page), 0, len(page)
+    raw_ends: dict[str, bool] = {}
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1][3]:
             piece = html.unescape(raw) if "&" in raw else raw
             text.append(piece)
-            if links:
+            if is_open["a"]:
                 linked += len(piece.strip())
 
     def flush() -> None:
@@ -79,50 +122,53 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if text:
             words = "".join(text).split()
             if words:
-                k = next(k for k in range(len(stack) - 1, -1, -1) if k == 0 or stack[k][0] in BLOCK_TAGS)
-                out.append(Block(" ".join(words), stack[-1][1], stack[max(0, k - 1)][2], linked, stack[-1][4]))
+                out.append(Block(" ".join(words), stack[-1][1], stack[-1][5], linked, stack[-1][4]))
             text.clear()
         linked = 0
 
+    def leave(at: int) -> None:
+        for e in stack[at:]:
+            is_open[e[0]] -= 1
+        del stack[at:]
+
     while pos < n:
-        m = TAG.search(page, pos)
-        if not m:
+        found = tags.next(pos)
+        if not found:
             add(page[pos:])
             break
-        add(page[pos : m.start()])
-        pos = m.end()
-        close, tag, rest = m.group(1), m.group(2), m.group(3)
+        start, end, close, tag, rest = found
+        add(page[pos:start])
+        pos = end
         if not tag:
             continue
         tag = tag.lower()
         if close:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if at:
+            if is_open[tag] > 0:
+                at = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
                 if any(e[0] in BLOCK_TAGS or e[3] for e in stack[at:]):
                     flush()
-                links -= sum(e[0] == "a" for e in stack[at:])
-                del stack[at:]
+                leave(at)
             continue
         if tag in ("br", "wbr"):
             add(" " if tag == "br" else "")
             continue
         if tag in BLOCK_TAGS or tag in HIDDEN:
             flush()
-            # A new block ends an open paragraph, or a sibling that needs no closing tag.
+            # A new block ends an open paragraph, or a sibling that needs no closing tag; only blocks are looked at.
             ends, limit = ENDS_ITSELF.get(tag, set()) | {"p"}, BOUNDARY.get(tag, set())
-            at = 0
-            for k in range(len(stack) - 1, 0, -1):
+            at, k = 0, stack[-1][6]
+            while k:
                 t = stack[k][0]
                 if t in ends and t not in limit:
                     at = k
-                elif t in BLOCK_TAGS and t not in ends:
+                elif t not in ends:
                     break
+                k = stack[k - 1][6]
             if at:
-                links -= sum(e[0] == "a" for e in stack[at:])
-                del stack[at:]
+                leave(at)
         if tag in VOID or rest.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        _, path, _, hidden, label = stack[-1]
+        _, path, above, hidden, label, holder, block = stack[-1]
         named: list[str] = []
         if "=" in rest:
             for key, a, b, c in NAMES.findall(rest):
@@ -131,14 +177,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 else:
                     named += ["c:" + w.lower() for w in CUE.findall(a or b or c)]
         numbers += 1
-        path = (*path, *(["in:" + tag] if tag in BLOCK_TAGS and tag not in ("html", "body") else []), *named)
-        stack.append((tag, path, numbers, hidden or tag in HIDDEN, label))
-        links += tag == "a"
+        fresh = [*(["in:" + tag] if tag in BLOCK_TAGS and tag not in ("html", "body") else []), *named]
+        if fresh:
+            # Each feature once, the nearest last.
+            path = (*(p for p in path if p not in fresh), *dict.fromkeys(fresh))
+        if tag in BLOCK_TAGS:
+            holder, block = above, len(stack)
+        stack.append((tag, path, numbers, hidden or tag in HIDDEN, label, holder, block))
+        is_open[tag] += 1
         if tag in RAW:
-            end = re.compile("</" + tag + r"\s*>", re.I).search(page, pos)
-            # Raw text is never part of a block.
-            pos = end.end() if end else n
-            stack.pop()
+            # Raw text is never part of a block; a kind that is not closed once is not sought again.
+            closing = re.compile("</" + tag + r"\s*>", re.I).search(page, pos) if raw_ends.get(tag, True) else None
+            raw_ends[tag] = closing is not None
+            pos = closing.end() if closing else n
+            leave(len(stack) - 1)
     flush()
     return out
 

@@ -13,9 +13,15 @@ from glossweave.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Only for the given tables; a deployment sets its own secret as spark.glossweave.pseudonym.key.
 KEY = "a key of the deployment"
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms: the session's secret, or the known test key where none is set."""
+    return spark.conf.get("spark.glossweave.pseudonym.key", None) or KEY
+
+
 def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
@@ -99,7 +105,7 @@ def op5_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), KEY)
+    return pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 @query()
