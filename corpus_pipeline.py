@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossweave.llm import decontaminate, minhash, packing, pii, toxicity
 from glossweave.llm.common import table
-from glossweave.llm.queries import KEY
+from glossweave.llm.queries import pseudonym_key
 from glossweave.session import scratch_path
 
 # The rows of run() depend on a trained classifier and on tokenizers; SQL has neither.
@@ -41,7 +41,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_names(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms."""
-    return pii.pseudonymise(docs, KEY).select(*docs.columns)
+    return pii.pseudonymise(docs, pseudonym_key(spark)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
