@@ -175,6 +175,18 @@ def density_concepts(
     return name_clusters(points.join(placed, "at").select("id", "cluster"), min_size)
 
 
+def assigner(concepts: DataFrame, budget: int = 64 << 20) -> Callable[[DataFrame], DataFrame]:
+    """:func:`assign` for many batches: centroids within the budget are read once."""
+    first = concepts.select("centroid").first()
+    if first is None:
+        raise ValueError("no concepts to assign to")
+    table = concepts.select("concept_id", "centroid")
+    if not fits_in_memory(table, 8 * len(first[0]) + 64, budget):
+        return lambda entries: assign(entries, concepts, budget)
+    rows = [tuple(r) for r in table.collect()]
+    return lambda entries: _best_of(entries.filter(F.col("embedding").isNotNull()), rows, None).drop("_key")
+
+
 def assign(entries: DataFrame, concepts: DataFrame, budget: int = 64 << 20) -> DataFrame:
     """Nearest concept of every entry with a vector: adds concept_id and confidence.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from glossweave.operators import concepts
 from glossweave.operators.dedup import keep_first, keep_last
 from glossweave.plans import ingest
-from glossweave.plans.catalog.base import ENTRIES, as_entries, query, table, vector_entries
-from glossweave.session import scratch_path
-from glossweave.streaming import jobs
+from glossweave.functions.vectors import unit
+from glossweave.plans.catalog.base import ENTRIES, as_entries, query, r6, table, vector_entries
+from glossweave.session import materialize, scratch_path, share
+from glossweave.streaming import chain, jobs
 
 
 def _documents(spark, sf):
@@ -97,6 +98,64 @@ def stream_upsert(spark, sf):
     return keep_last(rows, ["user_id"], ["event_id"])
 
 
+def letter_vectors(df, text, out="embedding"):
+    """Shares of the letters a to z: a model small enough to be written in SQL."""
+    letters = F.array(*[F.length(text) - F.length(F.replace(F.col(text), F.lit(c))) for c in map(chr, range(97, 123))])
+    return df.withColumn(out, unit(letters).cast("array<float>"))
+
+
+_CHAIN = rf"""
+WITH {ENTRIES}, c AS (
+  SELECT id AS doc, lower(headword) AS headword, language, source_id, etymology IS NULL AS no_etymology, pos_tag IS NULL AS no_tag,
+    trim(regexp_replace(lower(nfc_normalize(trim(regexp_replace(regexp_replace(regexp_replace(definition, '\[\d+\]', '', 'g'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')))), '\s+', ' ', 'g')) AS definition,
+    concept_id
+  FROM entries),
+l AS (
+  SELECT *, list_transform(range(97, 123), lambda x: length(definition) - length(replace(definition, chr(x::INT), ''))) AS n FROM c
+  WHERE headword <> '' AND length(definition) >= 10),
+v AS (SELECT *, list_transform(list_transform(n, lambda x: CASE WHEN list_sum(n) = 0 THEN 0 ELSE x / sqrt(list_dot_product(n::DOUBLE[], n::DOUBLE[])) END), lambda x: x::FLOAT) AS e FROM l),
+cells AS (SELECT concept_id, i, avg(e[i]::DOUBLE) AS x FROM v, range(1, 27) r(i) WHERE concept_id IS NOT NULL GROUP BY concept_id, i),
+centers AS (SELECT concept_id, list(x ORDER BY i) AS centroid FROM cells GROUP BY concept_id),
+u AS (SELECT *, 'entry_' || substring(sha256(headword || language || definition), 1, 16) AS id FROM v
+  QUALIFY row_number() OVER (PARTITION BY headword, language, definition ORDER BY doc DESC) = 1),
+d AS (SELECT u.id, c.concept_id, list_cosine_similarity(u.e::DOUBLE[], c.centroid) AS s FROM u, centers c),
+b AS (SELECT id, arg_min(concept_id, (-round(s, 12), concept_id)) AS concept_id, round(max(s), 6) AS confidence FROM d GROUP BY id)
+"""
+
+
+def _chained(spark, sf, files, buckets):
+    """Documents in files of ascending ids, one per micro-batch, through the chain into a bucketed table."""
+    source, path, progress = (scratch_path(spark, n) for n in ("chain-in", "chain", "chain-progress"))
+    docs = table(spark, sf, "documents")
+    docs.repartitionByRange(files, "doc_id").write.parquet(source)
+    known = letter_vectors(ingest.clean_entries(vector_entries(spark, sf).filter("concept_id is not null")).filter("length(definition) >= 10"), "definition")
+    handler = chain.Chain(path, materialize(concepts.centroids(known), "centers"), letter_vectors, ("doc",), buckets, progress=progress)
+    arriving = as_entries(jobs.table_stream(spark, f"{source}/*.parquet", files_per_batch=1))
+    arriving = arriving.withColumn("doc", F.col("id")).repartition(spark.sparkContext.defaultParallelism)
+    chain.run_chain(arriving, handler, f"{path}-state")
+    return path, progress
+
+
+@query("stream_chain", f"""{_CHAIN}
+SELECT id, headword, language, b.concept_id, confidence,
+  round(1e0 - CASE WHEN no_etymology THEN 0.1e0 ELSE 0e0 END - CASE WHEN no_tag THEN 0.1e0 ELSE 0e0 END, 6) AS data_quality
+FROM u JOIN b USING (id)""")
+def stream_chain(spark, sf):
+    """Stream to an upserted table: clean, gate, embed, assign, rate, upsert, in four micro-batches."""
+    path, _ = _chained(spark, sf, 4, 8)
+    out = chain.stored_entries(spark, path)
+    return out.select("id", "headword", "language", "concept_id", F.round("concept_confidence", 6).alias("confidence"), r6("data_quality"))
+
+
+@query("stream_progress", f"""{_CHAIN}
+SELECT (SELECT count(*) FROM c) AS processed, (SELECT count(*) FROM c WHERE headword = '') AS failed,
+  (SELECT count(*) FROM c WHERE headword <> '' AND length(definition) < 10) AS skipped, 2::BIGINT AS batches""")
+def stream_progress(spark, sf):
+    """Counts of the chain's batches, summed from the table that the batches write."""
+    _, progress = _chained(spark, sf, 2, 4)
+    return chain.progress_totals(spark, progress).select("processed", "failed", "skipped", "batches")
+
+
 @query("full_run")
 def full_run(spark, sf):
     """Clean, gate, deduplicate, embed what has no vector, assign and rate all entries."""

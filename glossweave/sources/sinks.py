@@ -48,6 +48,7 @@ ENTRY_UPDATES = ["headword", "ipa", "definition", "etymology", "pos_tag", "embed
 BULK_UPDATES = [*ENTRY_UPDATES, "concept_id", "data_quality"]
 ASSIGNMENT_UPDATES = ["embedding", "concept_id"]
 CONCEPT_UPDATES = ["centroid", "size", "confidence"]
+SET_UPDATES = ["size", "confidence", "semantic_core"]
 
 
 def delete_ids(target: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
