@@ -68,6 +68,42 @@ def _next_leaders(free: DataFrame, block: str, score, threshold: float, batch: i
     return candidates.join(chosen, "id", "left_semi")
 
 
+def greedy_leaders(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Star clusters in id order on an edge table: (id, leader).
+
+    ``ids`` has a column id; ``edges`` a and b say which entries score enough.
+    The first free entry leads and takes its free neighbours. Per round, entries
+    without a smaller undecided neighbour lead and their neighbours are decided,
+    so rounds are as many as the longest chain of such decisions, not as the
+    entries; edges of decided entries drop out. A follower belongs to its
+    smallest leader, as if entries were taken one by one.
+    """
+    links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    links = materialize(links, "links")
+    # Entries without any edge are decided at once and stay out of the rounds.
+    alone = ids.select("id").distinct().join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti")
+    free, left = materialize_counting(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "true", "free")
+    open_links, leaders = links, None
+    while left:
+        first = free.join(open_links.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        # Each round keeps its leaders in a table of its own; the union of these is read at the end.
+        first = materialize(first, "leaders")
+        leaders = first if leaders is None else leaders.unionByName(first)
+        taken = open_links.join(first.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        free, left = materialize_counting(
+            free.join(taken, "id", "left_anti").join(first, "id", "left_anti"), "true", "free"
+        )
+        if left:
+            ends = lambda c: free.select(F.col("id").alias(c))
+            open_links = materialize(open_links.join(ends("a"), "a", "left_semi").join(ends("b"), "b", "left_semi"), "open")
+    own = alone.select("id", F.col("id").alias("leader"))
+    if leaders is None:
+        return own
+    leaders = materialize(leaders, "leaders")
+    led = links.join(leaders.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    return own.unionByName(leaders.select("id", F.col("id").alias("leader"))).unionByName(led)
+
+
 def set_confidence(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Mean score of the scored pairs inside each set; 1 alone, 0 without pairs.
 

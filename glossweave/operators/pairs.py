@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glossweave.functions import phonetic, scores
 from glossweave.functions.tree import add_tree_distance
 from glossweave.functions.vectors import cosine
+from glossweave.operators.nearby import similar_vectors
 from glossweave.operators.skew import spread_join
 from glossweave.session import materialize, share
 
@@ -141,6 +142,54 @@ def entry_pairs(
     )
 
 
+def meaning_pairs(
+    entries: DataFrame, min_cosine: float, block: str = "concept_id", fields: tuple[str, ...] = PAIR_FIELDS
+) -> DataFrame:
+    """Pairs of entries of one block that mean alike, whatever they sound like.
+
+    The counterpart of :func:`entry_pairs`, with the same columns.
+    """
+    kept = entries.select(block, *fields).filter(F.col(block).isNotNull() & F.col("ipa").isNotNull() & F.col("embedding").isNotNull())
+    near = similar_vectors(kept, min_cosine, (block,)).select("a", "b")
+    side = lambda s: kept.select(*([block] if s == "a" else []), F.col("id").alias(s), F.struct(*fields).alias(f"_{s}"))
+    met = near.join(side("a"), "a").join(side("b"), "b").select(block, F.col("_a").alias("a"), F.col("_b").alias("b"))
+    sizes = [F.size(phonetic.graphemes(F.col(f"{s}.ipa"))) for s in "ab"]
+    return met.withColumn("phonetic", phonetic.similarity(F.col("a.ipa"), F.col("b.ipa"), *sizes))
+
+
+def meaning_cut(weights: tuple[float, float, float], threshold: float, sound: float) -> float:
+    """Cosine below which no pair that sounds less alike than ``sound`` can reach the threshold.
+
+    Evidence counts at most 0.1 + 0.9 (semantic + phonetic) / 2 as common origin.
+    """
+    meaning_share, sound_share, origin_share = weights
+    rest = scores.NO_EVIDENCE_ORIGIN
+    gain = (1 - rest) / 2
+    return (threshold - sound_share * sound - origin_share * (rest + gain * sound)) / (meaning_share + origin_share * gain) - _TOLERANCE
+
+
+def scored_pairs(
+    entries: DataFrame, mode: str = "balanced", threshold: float = 0.6, sound: float = 0.6, block: str = "concept_id",
+    weights: tuple[float, float, float] | None = None,
+) -> DataFrame:
+    """All pairs of a block with a layered score of at least ``threshold``, of any sound.
+
+    A pair either sounds alike (``sound`` or more) and comes from the pieces of
+    its forms, or needs a cosine that follows from threshold and weights and
+    comes from its vectors. Both joins are exact, so the result is.
+    """
+    chosen = weights or scores.WEIGHTS[mode]
+    cut = meaning_cut(chosen, threshold, sound)
+    if cut < -1:
+        raise ValueError("the threshold lies below what any pair scores; every pair would be one")
+    entries = entries.filter("embedding IS NOT NULL")
+    met = entry_pairs(entries, sound, block)
+    if cut <= 1:
+        by_meaning = meaning_pairs(entries, cut, block).filter(F.col("phonetic") < sound)
+        met = met.unionByName(by_meaning)
+    return layered_scores(met, mode, chosen).filter(F.col("combined") >= threshold)
+
+
 def layered_scores(
     pairs: DataFrame,
     mode: str = "balanced",
