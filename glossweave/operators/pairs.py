@@ -168,17 +168,29 @@ def meaning_cut(weights: tuple[float, float, float], threshold: float, sound: fl
     return (threshold - sound_share * sound - origin_share * (rest + gain * sound)) / (meaning_share + origin_share * gain) - _TOLERANCE
 
 
+def sound_cut(weights: tuple[float, float, float], threshold: float) -> float:
+    """Sound below which no pair can reach the threshold, whatever it means."""
+    meaning_share, sound_share, origin_share = weights
+    rest = scores.NO_EVIDENCE_ORIGIN
+    gain = (1 - rest) / 2
+    return (threshold - meaning_share - origin_share * (rest + gain)) / (sound_share + origin_share * gain) - _TOLERANCE
+
+
 def scored_pairs(
-    entries: DataFrame, mode: str = "balanced", threshold: float = 0.6, sound: float = 0.6, block: str = "concept_id",
+    entries: DataFrame, mode: str = "balanced", threshold: float = 0.6, sound: float | None = None, block: str = "concept_id",
     weights: tuple[float, float, float] | None = None,
 ) -> DataFrame:
     """All pairs of a block with a layered score of at least ``threshold``, of any sound.
 
     A pair either sounds alike (``sound`` or more) and comes from the pieces of
     its forms, or needs a cosine that follows from threshold and weights and
-    comes from its vectors. Both joins are exact, so the result is.
+    comes from its vectors. Both joins are exact, so the result is. Where sound
+    has most weight, the cut on sound may leave no pair to the vectors.
     """
     chosen = weights or scores.WEIGHTS[mode]
+    if sound is None:
+        least = sound_cut(chosen, threshold)
+        sound = least if least >= 0.3 else 0.6
     cut = meaning_cut(chosen, threshold, sound)
     if cut < -1:
         raise ValueError("the threshold lies below what any pair scores; every pair would be one")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.functions import phonetic, scores
-from glossweave.functions.vectors import dot
+from glossweave.functions.vectors import cosine
 from glossweave.operators import clusters, entries as ops, pairs
 from glossweave.plans import difference
 from glossweave.plans.catalog.base import (
@@ -187,6 +187,27 @@ def unscored_pairs(spark, sf):
     return ops.unscored_pairs(words, diff)
 
 
+@query("meaning_pairs", f"WITH {_PAIRS} SELECT id_a, id_b, round(s, 6) AS semantic, round(p, 6) AS phonetic FROM pairs WHERE s >= 0.2e0")
+def meaning_pairs(spark, sf):
+    """Pairs of entries of a concept by meaning alone."""
+    out = pairs.meaning_pairs(lexicon(spark, sf), 0.2)
+    meaning = cosine(F.col("a.embedding"), F.col("b.embedding"))
+    return out.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round(meaning, 6).alias("semantic"), r6("phonetic"))
+
+
+def _register_scored(mode, cut):
+    @query(f"scored_pairs_{mode}", f"""
+WITH {_PAIRS} SELECT id_a, id_b, round(s, 6) AS semantic, round(p, 6) AS phonetic, round({_layered(mode)}, 6) AS combined
+FROM pairs WHERE {_layered(mode)} >= {cut}e0""")
+    def run(spark, sf):
+        out = pairs.scored_pairs(lexicon(spark, sf), mode, cut)
+        return out.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), r6("semantic"), r6("phonetic"), r6("combined"))
+
+
+for _mode, _cut in (("semantic", 0.25), ("historical", 0.3)):
+    _register_scored(_mode, _cut)
+
+
 def _clusters_sql(score: str, cut: float) -> str:
     """Star clusters by walking the entries of each concept in id order."""
     return f"""
@@ -213,12 +234,6 @@ def cognate_clusters(spark, sf):
 _TWO = "(0.6e0 * p + 0.4e0 * s)"
 
 
-def _two_signal(met):
-    sound = phonetic.similarity(F.col("a.ipa"), F.col("b.ipa"), F.col("a.size"), F.col("b.size"))
-    kept = met.withColumn("phonetic", sound).filter("phonetic >= 0.5 - 1e-9")
-    return kept.withColumn("combined", scores.two_signal(F.col("phonetic"), dot(F.col("a.unit"), F.col("b.unit"))))
-
-
 @query("cognate_sets", f"""
 WITH RECURSIVE {_PAIRS}, {_clusters_sql(_TWO, 0.7)},
 inside AS (SELECT a.leader, avg({_TWO}) AS m FROM pairs JOIN clusters a ON a.id = id_a JOIN clusters b ON b.id = id_b
@@ -228,10 +243,9 @@ SELECT 'cognate_set_' || c.leader AS id, count(*) AS size,
 FROM clusters c JOIN lexicon l ON l.id = c.leader LEFT JOIN inside i ON i.leader = c.leader GROUP BY c.leader""")
 def cognate_sets(spark, sf):
     words = lexicon(spark, sf)
-    members = clusters.leader_clusters(
-        difference.comparable(words).select("concept_id", "id", "ipa", "size", "unit"), "concept_id", _two_signal, 0.7
-    )
-    edges = pairs.similarity_edges(pairs.entry_pairs(words, 0.5))
+    edges = materialize(pairs.similarity_edges(pairs.entry_pairs(words, 0.5)), "edges")
+    strong = edges.filter("combined_score >= 0.7").select(F.col("entry_a").alias("a"), F.col("entry_b").alias("b"))
+    members = clusters.greedy_leaders(words.filter("concept_id is not null"), strong)
     sets = clusters.cognate_sets(members, words, edges)
     return sets.select("id", "size", r6("confidence"), F.md5("semantic_core").alias("core_md5"))
 

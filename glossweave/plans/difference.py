@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glossweave.functions import phonetic, scores
 from glossweave.functions.tree import add_tree_distance
 from glossweave.functions.vectors import dot, unit
-from glossweave.operators.clusters import leader_clusters
-from glossweave.operators.pairs import layered_scores
+from glossweave.operators.clusters import greedy_leaders
+from glossweave.operators.pairs import layered_scores, scored_pairs
 from glossweave.operators.skew import MAX_TAXA, require_small_groups
 from glossweave.operators.windows import first_n
 from glossweave.session import materialize
@@ -35,10 +35,15 @@ def cognate_score(pairs: DataFrame, cut: float = 0.0) -> DataFrame:
     return layered_scores(kept, "cognate", semantic=dot(F.col("a.unit"), F.col("b.unit")))
 
 
-def cognate_clusters(entries: DataFrame, threshold: float = COGNATE_CUT, batch: int = 256) -> DataFrame:
-    """Star clusters per concept: (concept_id, id, leader)."""
-    slim = comparable(entries).select("concept_id", "id", "ipa", "language", "size", "unit")
-    return leader_clusters(slim, "concept_id", lambda p: cognate_score(p, threshold), threshold, batch)
+def cognate_clusters(entries: DataFrame, threshold: float = COGNATE_CUT) -> DataFrame:
+    """Star clusters per concept: (concept_id, id, leader).
+
+    Only pairs that can be cognates are formed, by their sounds; leaders are
+    found on these pairs, so no entry meets the leaders of its concept.
+    """
+    kept = entries.filter(F.col("concept_id").isNotNull())
+    close = scored_pairs(kept, "cognate", threshold).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return kept.select("concept_id", "id").join(greedy_leaders(kept, close), "id").select("concept_id", "id", "leader")
 
 
 def lexical_differences(entries: DataFrame, threshold: float = COGNATE_CUT) -> DataFrame:
