@@ -71,6 +71,9 @@ def shingle_numbers(numbers: np.ndarray, size: int) -> np.ndarray:
 #: Marks behind a word that are one token group of their own (no apostrophes, which can begin a suffix).
 MARKS = ".,;:!?%&*#$|()[]{}\"-+=/_~^<>@"
 
+#: White space at an end of a text, or beside a space.
+RUNS = re.compile(r"\A\s|\s\Z|\s | \s")
+
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -101,6 +104,8 @@ class Encoder:
         # Tokens that begin a word with its space, or else end a word: they part the words of a long text again.
         names = [self.lib.id_to_token(i) or "" for i in range(self.lib.get_vocab_size())]
         self.edge = np.array([n.startswith("\u0120") if self.keeps_space else n.endswith("</w>") for n in names])
+        # Letters of Latin-1 only (their normal form is themselves), after one space where spaces are kept, and marks.
+        self.word = re.compile(f"({' ' if self.keeps_space else ''}[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{re.escape(MARKS)}]*)")
         self.most, self.seen = most, {"": b""}
 
     def pieces(self, text: str) -> list[str]:
@@ -108,7 +113,7 @@ class Encoder:
             return text.split(" ")
         parts = text.split(" ")
         # White space in runs belongs together: such parts are joined to their neighbours.
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+        if RUNS.search(text):
             joined, glue = [parts[0]], not parts[0] or parts[0][-1].isspace()
             for p in parts[1:]:
                 if glue or not p or p[0].isspace():
@@ -125,7 +130,7 @@ class Encoder:
             self.seen = {"": b""}
         odd = {i for i, t in enumerate(texts) if t and self.begins and self.begins.search(t)}
         cut = [self.pieces(t) if t and i not in odd else [] for i, t in enumerate(texts)]
-        fresh = list({p for ps in cut for p in ps if p not in self.seen})
+        fresh = list(set().union(*cut) - self.seen.keys())
         if fresh:
             self.learn(fresh)
         get = self.seen.__getitem__
@@ -137,16 +142,18 @@ class Encoder:
     def learn(self, fresh: list[str]) -> None:
         """Encodes new pieces: plain words in one text, a word and the marks behind it apart, others singly."""
         seen, plain, ends, other = self.seen, set(), [], set()
+        match = self.word.fullmatch
         for p in fresh:
-            core = p.rstrip(MARKS)
-            if self.is_word(core):
-                if core not in seen:
-                    plain.add(core)
-                if len(core) < len(p):
-                    ends.append((p, core, p[len(core) :]))
+            m = match(p)
+            if m:
+                core, end = m.groups()
+                plain.add(core)
+                if end:
+                    ends.append((p, core, end))
             else:
                 other.add(p)
-        other.update(e for _, _, e in ends if e not in seen)
+        plain -= seen.keys()
+        other.update({e for _, _, e in ends} - seen.keys())
         todo = list(plain)
         for i in range(0, len(todo), 2000):
             part = todo[i : i + 2000]
@@ -166,11 +173,6 @@ class Encoder:
         for p, core, end in ends:
             seen[p] = seen[core] + seen[end]
 
-    def is_word(self, core: str) -> bool:
-        """Letters of Latin-1 only (their normal form is themselves), after one space where spaces are kept."""
-        letters = core[1:] if self.keeps_space else core
-        return letters.isalpha() and (letters.isascii() or max(letters) < "\u0100") and (not self.keeps_space or core[0] == " ")
-
 
 def encoder(path: str, added: bool = False) -> Encoder:
     """One encoder per Python worker, vocabulary and reading of added tokens."""
