@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from glossweave.functions.text import concept_label
 from glossweave.functions.vectors import cosine, dot, unit
+from glossweave.operators.density import density_clusters
 from glossweave.operators.graph import components
 from glossweave.operators.skew import HEAVY_ROWS, MAX_TAXA, heavy_of, require_small_groups, spread_join
 from glossweave.operators.windows import first_n, with_row_index
@@ -175,6 +176,14 @@ def density_concepts(
     return name_clusters(points.join(placed, "at").select("id", "cluster"), min_size)
 
 
+def neighbour_concepts(entries: DataFrame, radius: float, dims: int = 3, min_samples: int = 10, min_size: int = 50) -> DataFrame:
+    """Concepts as density clusters of the reduced vectors, on exact neighbourhoods: (id, concept_id)."""
+    kept = entries.filter(F.col("embedding").isNotNull()).select("id", "embedding")
+    reduced, _ = reduce_dimensions(kept, dims)
+    found = density_clusters(reduced.select("id", "reduced"), radius, min_samples, min_size)
+    return name_clusters(found.select("id", "cluster"), min_size)
+
+
 def assigner(concepts: DataFrame, budget: int = 64 << 20) -> Callable[[DataFrame], DataFrame]:
     """:func:`assign` for many batches: centroids within the budget are read once."""
     first = concepts.select("centroid").first()

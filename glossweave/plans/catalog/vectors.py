@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossweave.operators import concepts as ops
+from glossweave.operators import concepts as ops, density
 from glossweave.operators.entries import search_vectors
 from glossweave.plans import layout
 from glossweave.plans.catalog.base import ENTRIES, entries, query, r6, table, vector_entries
@@ -92,6 +92,30 @@ def density_concepts(spark, sf):
     return found.groupBy("concept_id").agg(F.count(F.lit(1)).alias("size"))
 
 
+@query("density_clusters", """
+WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1:2]::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON list_distance(a.v, b.v) <= 0.035e0 + 1e-12),
+core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 10),
+links AS (SELECT n.id, n.other FROM near n SEMI JOIN core a ON a.id = n.id SEMI JOIN core b ON b.id = n.other),
+reach AS (SELECT id, id AS root FROM core UNION SELECT l.other, r.root FROM reach r JOIN links l ON l.id = r.id),
+inside AS (SELECT id, min(root) AS cluster, true AS core FROM reach GROUP BY id),
+border AS (
+  SELECT n.id, arg_min(i.cluster, (n.d, n.other)) AS cluster, false AS core FROM near n JOIN inside i ON i.id = n.other
+  ANTI JOIN core c ON c.id = n.id GROUP BY n.id),
+members AS (SELECT * FROM inside UNION ALL SELECT * FROM border)
+SELECT id, cluster, core FROM members WHERE cluster IN (SELECT cluster FROM members GROUP BY cluster HAVING count(*) >= 50)""")
+def density_clusters(spark, sf):
+    """Density clusters of all vectors on their first two coordinates."""
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 2).alias("reduced"))
+    return density.density_clusters(points, 0.035)
+
+
+@query("neighbour_concepts")
+def neighbour_concepts(spark, sf):
+    found = ops.neighbour_concepts(vector_entries(spark, sf), 0.05)
+    return found.groupBy("concept_id").agg(F.count(F.lit(1)).alias("size"))
+
+
 @query("kmeans_concepts")
 def kmeans_concepts(spark, sf):
     found = ops.kmeans_concepts(vector_entries(spark, sf), k=10, min_size=5)
