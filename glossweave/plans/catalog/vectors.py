@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossweave.operators import concepts as ops, density
+from glossweave.operators import concepts as ops, density, vector_index
 from glossweave.operators.entries import search_vectors
 from glossweave.plans import layout
 from glossweave.plans.catalog.base import ENTRIES, entries, query, r6, table, vector_entries
+from glossweave.session import scratch_path
 
 _VECTORS = f"""{ENTRIES}, v AS (SELECT * FROM entries WHERE embedding IS NOT NULL)"""
 
@@ -26,6 +27,24 @@ def vector_topk(spark, sf):
     return out.select("id", r6("similarity"))
 
 
+@query("vector_index_topk", """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 3),
+s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e) AS c FROM embeddings, q)
+SELECT query_id, id, round(c, 6) AS similarity FROM s WHERE c >= 0.1
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= 10""")
+def vector_index_topk(spark, sf):
+    """Three searches in the index of all vectors."""
+    rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    path = scratch_path(spark, "index")
+    vector_index.build_index(rows, path, cells=64)
+    out = None
+    for r in rows.orderBy("id").limit(3).collect():
+        found, _ = vector_index.search_index(spark, path, list(map(float, r.embedding)), 10, 0.1)
+        found = found.select(F.lit(r.id).alias("query_id"), "id", r6("similarity"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("centroids", f"""
 WITH {_CENTERS} SELECT concept_id, i::INT AS pos, round(x, 6) AS value, size FROM cells""")
 def centroids(spark, sf):
