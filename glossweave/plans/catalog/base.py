@@ -3,7 +3,8 @@
 ``entries`` reads the document table as a dictionary: the first word of a text
 is the headword, its lower-cased form the transcription, the text the
 definition, the second line the etymology, and the embedding row with the same
-number the vector, whose label is the concept.
+number the vector, whose label is the concept. ``word_forms`` are all words of
+all texts.
 """
 
 from __future__ import annotations
@@ -57,6 +58,14 @@ def as_entries(docs: DataFrame) -> DataFrame:
     )
 
 
+def word_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of every whole text, lower-cased, with its language: once per text."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))
+    return share(table(spark, sf, "documents")).select(
+        F.col("lang").alias("language"), F.explode(F.array_distinct(found)).alias("ipa")
+    )
+
+
 def vector_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Entries with embedding and concept, both null for entries without a vector."""
     vectors = table(spark, sf, "embeddings").select(
@@ -133,6 +142,32 @@ def phonetic_sql(a: str, b: str) -> str:
     return f"(1e0 - levenshtein({plain(a)}, {plain(b)}) / greatest(length({a}), length({b}))::DOUBLE)"
 
 
+#: Similarity from which two words of the whole vocabulary are linked.
+WORD_CUT = 0.85
+
+_EDITS = f"floor((1 - {WORD_CUT}) * m + 1e-9)::INT"
+
+# Words within t edits share one of t + 1 pieces of the shorter one, moved by at most t places.
+FORMS = f"""word_forms AS MATERIALIZED (
+  SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '{WORD}')) AS f FROM documents),
+forms AS (SELECT DISTINCT f, length(f) AS len FROM word_forms),
+sized AS (SELECT f, len AS n, len + unnest(range(0, 20)) AS m FROM forms),
+short AS (
+  SELECT f, n, m, i, substr(f, (n * i // (t + 1))::INT + 1, (n * (i + 1) // (t + 1) - n * i // (t + 1))::INT) AS piece
+  FROM (SELECT f, n, m, {_EDITS} AS t, unnest(range(0, {_EDITS} + 1)) AS i FROM sized WHERE m - n <= {_EDITS})),
+long AS (
+  SELECT DISTINCT f, n, m, i, substr(f, p + s + 1, w) AS piece FROM (
+    SELECT f, n, m, i, (n * i // (t + 1))::INT AS p, (n * (i + 1) // (t + 1) - n * i // (t + 1))::INT AS w, unnest(range(-t, t + 1))::INT AS s
+    FROM (SELECT *, unnest(range(0, t + 1)) AS i FROM (
+      SELECT f, len AS m, {_EDITS.replace('* m', '* len')} AS t, len - unnest(range(0, {_EDITS.replace('* m', '* len')} + 1)) AS n FROM forms)))
+  WHERE p + s >= 0 AND p + s + w <= m),
+met AS (
+  SELECT DISTINCT least(a.f, b.f) AS form_a, greatest(a.f, b.f) AS form_b
+  FROM short a JOIN long b ON a.n = b.n AND a.m = b.m AND a.i = b.i AND a.piece = b.piece WHERE a.n < a.m OR a.f < b.f),
+near AS MATERIALIZED (
+  SELECT form_a, form_b, {phonetic_sql('form_a', 'form_b')} AS similarity FROM met WHERE {phonetic_sql('form_a', 'form_b')} >= {WORD_CUT})"""
+
+
 TREE = "tree AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{code}', {depth}, '{branch}', '{family}', '{'/'.join(path)}')"
     for i, (code, _, depth, branch, family, path) in enumerate(language_rows())

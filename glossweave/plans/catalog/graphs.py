@@ -1,4 +1,4 @@
-"""The similarity graph of word forms."""
+"""The similarity graph of all word forms of the texts."""
 
 from __future__ import annotations
 
@@ -7,28 +7,29 @@ from pyspark.sql import functions as F
 from glossweave.operators import clusters, graph
 from glossweave.operators.pairs import similar_forms
 from glossweave.plans import layout
-from glossweave.plans.catalog.base import entries, query, r6, vector_entries
-from glossweave.plans.catalog.words import CUT, FORMS
+from glossweave.plans.catalog.base import FORMS, WORD_CUT, query, r6, vector_entries, word_forms
 from glossweave.session import materialize
 
-STRONG = 0.75
+STRONG = 0.9
+CLOSE = 0.86
 
 EDGES = f"{FORMS}, edges AS (SELECT form_a AS src, form_b AS dst, similarity AS weight FROM near)"
 BOTH = f"""{EDGES},
-both_ways AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
+both_ways AS MATERIALIZED (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
 nodes AS (SELECT DISTINCT src AS node FROM both_ways)"""
 
 
 def _reach(name: str, cut: float | None) -> str:
     where = "" if cut is None else f"WHERE weight >= {cut}"
-    return f"""{name}_r AS (SELECT node, node AS label FROM nodes UNION
-  SELECT b.dst, r.label FROM {name}_r r JOIN (SELECT * FROM both_ways {where}) b ON b.src = r.node),
-{name} AS (SELECT node, min(label) AS component FROM {name}_r GROUP BY node)"""
+    return f"""{name}_r(node, component) USING KEY (node) AS (SELECT node, node FROM nodes UNION
+  SELECT b.dst, min(r.component) FROM {name}_r r JOIN (SELECT * FROM both_ways {where}) b ON b.src = r.node
+  JOIN recurring.{name}_r o ON o.node = b.dst GROUP BY b.dst, o.component HAVING min(r.component) < o.component),
+{name} AS MATERIALIZED (SELECT node, component FROM {name}_r)"""
 
 
 def word_edges(spark, sf):
     """Similar word forms as graph edges, computed once and read by every round."""
-    near = similar_forms(entries(spark, sf), "ipa", CUT)
+    near = similar_forms(word_forms(spark, sf), "ipa", WORD_CUT)
     return materialize(near.select(F.col("form_a").alias("src"), F.col("form_b").alias("dst"), F.col("similarity").alias("weight")), "edges")
 
 
@@ -89,15 +90,11 @@ def _hub(edges):
     return graph.degrees(edges).orderBy(F.desc("degree"), "node").limit(1).select("node")
 
 
-def _path_steps(n: int) -> str:
-    steps = ["c0 AS MATERIALIZED (SELECT node, 0e0 AS cost FROM hub)"]
-    for i in range(1, n + 1):
-        steps.append(f"""c{i} AS MATERIALIZED (SELECT node, min(cost) AS cost FROM (
-  SELECT node, cost FROM c{i - 1} UNION ALL SELECT b.dst, c.cost + b.weight FROM c{i - 1} c JOIN both_ways b ON b.src = c.node) GROUP BY node)""")
-    return ",\n".join(steps)
-
-
-@query("shortest_paths", f"WITH {BOTH}, {_HUB}, {_path_steps(24)} SELECT node, round(cost, 6) AS cost FROM c24")
+@query("shortest_paths", f"""
+WITH RECURSIVE {BOTH}, {_HUB}, path(node, cost) USING KEY (node) AS (SELECT node, 0e0 FROM hub UNION
+  SELECT b.dst, min(p.cost + b.weight) FROM path p JOIN both_ways b ON b.src = p.node LEFT JOIN recurring.path o ON o.node = b.dst
+  GROUP BY b.dst, o.cost HAVING o.cost IS NULL OR min(p.cost + b.weight) < o.cost)
+SELECT node, round(cost, 6) AS cost FROM path""")
 def shortest_paths(spark, sf):
     edges = word_edges(spark, sf)
     return graph.shortest_paths(edges, _hub(edges)).select("node", r6("cost"))
@@ -145,14 +142,14 @@ def matvec(spark, sf):
     return graph.matvec(graph.sparse_entries(edges, 0.0), vector).select("node", r6("y"))
 
 
-_CHOSEN = f"chosen AS (SELECT DISTINCT ipa AS node FROM entries WHERE language = 'de')"
+_CHOSEN = f"chosen AS (SELECT f AS node FROM word_forms WHERE lang = 'de')"
 
 
 @query("submatrix", f"""
 WITH {BOTH}, {_CHOSEN}, cells AS (SELECT src AS i, dst AS j, weight AS value FROM both_ways UNION ALL SELECT node, node, 1e0 FROM nodes)
 SELECT i, j, round(value, 6) AS value FROM cells WHERE i IN (FROM chosen) AND j IN (FROM chosen)""")
 def submatrix(spark, sf):
-    chosen = entries(spark, sf).filter("language = 'de'").select(F.col("ipa").alias("node"))
+    chosen = word_forms(spark, sf).filter("language = 'de'").select(F.col("ipa").alias("node"))
     return graph.submatrix(graph.sparse_entries(word_edges(spark, sf), 0.0), chosen).select("i", "j", r6("value"))
 
 
@@ -176,10 +173,10 @@ def nearest_words(spark, sf):
 
 
 @query("neighbours", f"""
-WITH {BOTH}, {_HUB} SELECT dst AS neighbour, round(weight, 6) AS weight FROM both_ways JOIN hub ON node = src WHERE weight >= {STRONG}""")
+WITH {BOTH}, {_HUB} SELECT dst AS neighbour, round(weight, 6) AS weight FROM both_ways JOIN hub ON node = src WHERE weight >= {CLOSE}""")
 def neighbours(spark, sf):
     edges = word_edges(spark, sf)
-    return graph.neighbours(edges, _hub(edges).first()[0], STRONG).select("neighbour", r6("weight"))
+    return graph.neighbours(edges, _hub(edges).first()[0], CLOSE).select("neighbour", r6("weight"))
 
 
 def _members(edges):

@@ -9,22 +9,16 @@ from glossweave.functions.vectors import cosine
 from glossweave.operators import clusters, entries as ops, pairs
 from glossweave.plans import difference
 from glossweave.plans.catalog.base import (
-    ENTRIES, LEXICON, SQL, TREE, chance_sql, concept_table, cosine_sql, distance_sql, entries, lexicon, phonetic_sql,
-    query, r6, table,
+    FORMS, LEXICON, SQL, TREE, WORD_CUT, chance_sql, concept_table, cosine_sql, distance_sql, lexicon, phonetic_sql, query,
+    r6, word_forms,
 )
 from glossweave.session import materialize
 
 CUT = 0.6
 
-FORMS = f"""{ENTRIES}, forms AS (SELECT DISTINCT ipa AS f FROM entries WHERE ipa <> ''),
-near AS (
-  SELECT a.f AS form_a, b.f AS form_b, {phonetic_sql('a.f', 'b.f')} AS similarity
-  FROM forms a JOIN forms b ON a.f < b.f WHERE {phonetic_sql('a.f', 'b.f')} >= {CUT})"""
-
-
 @query("phonetic_pairs", f"WITH {FORMS} SELECT form_a, form_b, round(similarity, 6) AS similarity FROM near")
 def phonetic_pairs(spark, sf):
-    out = pairs.similar_forms(entries(spark, sf), "ipa", CUT)
+    out = pairs.similar_forms(word_forms(spark, sf), "ipa", WORD_CUT)
     return out.select("form_a", "form_b", r6("similarity"))
 
 
@@ -33,20 +27,20 @@ WITH {FORMS}, used AS (SELECT form_a AS f FROM near UNION SELECT form_b FROM nea
 SELECT form_a AS a, form_b AS b, round(similarity, 6) AS similarity FROM near
 UNION ALL SELECT form_b, form_a, round(similarity, 6) FROM near UNION ALL SELECT f, f, 1e0 FROM used""")
 def phonetic_matrix(spark, sf):
-    near = materialize(pairs.similar_forms(entries(spark, sf), "ipa", CUT), "near").toDF("a", "b", "similarity")
+    near = materialize(pairs.similar_forms(word_forms(spark, sf), "ipa", WORD_CUT), "near").toDF("a", "b", "similarity")
     back = near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
     used = near.select(F.explode(F.array("a", "b")).alias("a")).distinct()
     out = near.unionByName(back).unionByName(used.select("a", F.col("a").alias("b"), F.lit(1.0).alias("similarity")))
     return out.select("a", "b", r6("similarity"))
 
 
-@query("vocabulary_pairs")
+@query("vocabulary_pairs", f"""
+WITH {FORMS} SELECT a.lang AS language, form_a, form_b, round(similarity, 6) AS similarity
+FROM near JOIN word_forms a ON a.f = form_a JOIN word_forms b ON b.f = form_b AND b.lang = a.lang""")
 def vocabulary_pairs(spark, sf):
-    """Every word of every English text, whole vocabulary, at a strict cut."""
-    docs = table(spark, sf, "documents").filter("lang = 'en'")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    out = pairs.similar_forms(words, "word", 0.85)
-    return out.select("form_a", "form_b", r6("similarity"))
+    """Similar words within each language."""
+    out = pairs.similar_forms(word_forms(spark, sf), "ipa", WORD_CUT, ("language",))
+    return out.select("language", "form_a", "form_b", r6("similarity"))
 
 
 @query("common_sequence", f"""
@@ -61,13 +55,13 @@ dp AS (
 SELECT dp.form_a, dp.form_b, round(dp.row[len(p.b) + 1]::DOUBLE / greatest(len(p.a), len(p.b)), 6) AS ratio
 FROM dp JOIN p ON p.form_a = dp.form_a AND p.form_b = dp.form_b WHERE dp.i = len(p.a)""")
 def common_sequence(spark, sf):
-    near = pairs.similar_forms(entries(spark, sf), "ipa", CUT)
+    near = pairs.similar_forms(word_forms(spark, sf), "ipa", WORD_CUT)
     return near.select("form_a", "form_b", F.round(phonetic.common_ratio(F.col("form_a"), F.col("form_b")), 6).alias("ratio"))
 
 
 @query("alignments")
 def alignments(spark, sf):
-    near = pairs.similar_forms(entries(spark, sf), "ipa", CUT)
+    near = pairs.similar_forms(word_forms(spark, sf), "ipa", WORD_CUT)
     a = near.select("form_a", "form_b", phonetic.align(F.col("form_a"), F.col("form_b")).alias("al"))
     join = lambda c: F.array_join(f"al.{c}", " ").alias(c)
     return a.select("form_a", "form_b", join("aligned_a"), join("aligned_b"), join("ops"), "al.cost")
@@ -75,14 +69,14 @@ def alignments(spark, sf):
 
 @query("sound_correspondences")
 def sound_correspondences(spark, sf):
-    near = pairs.similar_forms(entries(spark, sf), "ipa", CUT)
+    near = pairs.similar_forms(word_forms(spark, sf), "ipa", WORD_CUT)
     return pairs.correspondence_counts(near, "form_a", "form_b").orderBy(F.desc("n"), "sound_a", "sound_b")
 
 
 @query("feature_distance")
 def feature_distance(spark, sf):
     """Weighted edit distance with the bits of a letter's code as its features."""
-    near = materialize(pairs.similar_forms(entries(spark, sf), "ipa", CUT), "near")
+    near = materialize(pairs.similar_forms(word_forms(spark, sf), "ipa", WORD_CUT), "near")
     # One row per letter in use, however many words there are.
     letters = near.select(F.explode(F.split(F.concat("form_a", "form_b"), "")).alias("g")).distinct()
     table_ = {r.g: [(ord(r.g) >> k) & 1 for k in range(24)] for r in letters.collect() if len(r.g) == 1}
@@ -325,7 +319,7 @@ _WARP = _DP.replace("FIRST", "CASE WHEN j = 0 THEN 0e0 ELSE 1e9 END").replace("S
 WITH RECURSIVE {_WARP}
 SELECT dp.form_a, dp.form_b, dp.row[len(p.b) + 1] AS cost FROM dp JOIN p ON p.form_a = dp.form_a AND p.form_b = dp.form_b WHERE dp.i = len(p.a)""")
 def warp_cost(spark, sf):
-    near = pairs.similar_forms(entries(spark, sf), "ipa", CUT)
+    near = pairs.similar_forms(word_forms(spark, sf), "ipa", WORD_CUT)
     return near.select("form_a", "form_b", phonetic.align(F.col("form_a"), F.col("form_b"))["cost"].alias("cost"))
 
 
