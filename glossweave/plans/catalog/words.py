@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.functions import phonetic, scores
 from glossweave.functions.vectors import cosine
 from glossweave.operators import clusters, entries as ops, pairs
-from glossweave.plans import difference
+from glossweave.plans import difference, views
 from glossweave.plans.catalog.base import (
     FORMS, LEXICON, SQL, TREE, WORD_CUT, chance_sql, concept_table, cosine_sql, distance_sql, lexicon, phonetic_sql, query,
     r6, word_forms,
@@ -150,6 +150,47 @@ def find_similar(spark, sf):
     return ops.similar_entries(edges, words, busiest, 10).select("entry_id", "headword", "language", r6("combined_score"))
 
 
+def _quality_sql(e: str) -> str:
+    return (
+        f"round(greatest(0e0, 1e0 - CASE WHEN {e}.etymology IS NULL THEN 0.1e0 ELSE 0e0 END - CASE WHEN {e}.pos_tag IS NULL THEN 0.1e0 "
+        f"ELSE 0e0 END - CASE WHEN length({e}.definition) < 10 THEN 0.2e0 ELSE 0e0 END), 6)"
+    )
+
+
+@query("sql_functions", f"""
+WITH {_PAIRS}, e AS (SELECT id_a, id_b, {_layered('balanced')} AS c, {_layered('cognate')} AS k FROM pairs WHERE p >= {CUT}),
+busy AS (SELECT id FROM (SELECT id_a AS id FROM e UNION ALL SELECT id_b FROM e) GROUP BY id ORDER BY count(*) DESC, id LIMIT 1)
+SELECT id_a::VARCHAR AS entry_a, id_b::VARCHAR AS entry_b, round(k, 6) AS cognate, {_quality_sql('a')} AS quality_a, {_quality_sql('b')} AS quality_b,
+       CASE WHEN busy.id IN (id_a, id_b) THEN round(c, 6) END AS found_score
+FROM e JOIN lexicon a ON a.id = id_a JOIN lexicon b ON b.id = id_b, busy""")
+def sql_functions(spark, sf):
+    """The three SQL functions of the dictionary in one statement, over all edges."""
+    text = F.col("id").cast("string").alias("id")
+    words = lexicon(spark, sf)
+    edges = materialize(layered_edges(words), "edges")
+    ends = edges.select(F.explode(F.array("entry_a", "entry_b")).alias("id")).groupBy("id").count()
+    busiest = ends.orderBy(F.desc("count"), "id").first()
+    named = words.select(text, *[c for c in words.columns if c != "id"]).withColumns({
+        "data_quality": F.lit(None).cast("double"), "validation_errors": F.lit(None).cast("array<string>"),
+        "updated_at": F.lit(None).cast("timestamp"),
+    })
+    sources = words.select(F.col("source_id").alias("id"), F.col("source_id").alias("name"), F.lit(None).cast("string").alias("quality")).distinct()
+    concepts = concept_table(spark, sf).withColumn("confidence", F.lit(None).cast("double"))
+    cast = {c: F.col(c).cast("string") for c in ("entry_a", "entry_b")}
+    views.register(spark, sources, named, concepts, edges.withColumns(cast))
+    weights = ", ".join(f"'{n}', {v}D" for n, v in zip(("semantic", "phonetic", "etymological"), scores.WEIGHTS["cognate"]))
+    target = "" if busiest is None else busiest.id
+    return spark.sql(f"""
+SELECT l.entry_a, l.entry_b,
+       round(compute_layered_similarity(l.semantic_score, l.phonetic_score, l.etymological_score, map({weights})), 6) AS cognate,
+       round(compute_entry_quality(a.etymology, a.pos_tag, a.embedding IS NOT NULL, 0, a.definition), 6) AS quality_a,
+       round(compute_entry_quality(b.etymology, b.pos_tag, b.embedding IS NOT NULL, 0, b.definition), 6) AS quality_b,
+       round(s.combined_score, 6) AS found_score
+FROM layered_similarities l JOIN entries a ON a.id = l.entry_a JOIN entries b ON b.id = l.entry_b
+LEFT JOIN find_similar_entries('{target}', 1000000000) s
+  ON '{target}' IN (l.entry_a, l.entry_b) AND s.entry_id = if(l.entry_a = '{target}', l.entry_b, l.entry_a)""")
+
+
 _DIFFERENCES = f"""{_PAIRS}, diff AS (
   SELECT concept_id, upper(concept_id) AS concept_label, least(la, lb) AS language_a, greatest(la, lb) AS language_b,
          CASE WHEN la < lb THEN ha ELSE hb END AS form_a, CASE WHEN la < lb THEN hb ELSE ha END AS form_b,
