@@ -2,6 +2,11 @@
 
 Every stage works on all rows that its predecessor kept and is written as
 Parquet in the shared folder before the next one reads it.
+
+Near copies and benchmark passages are decided row by row: each row gets a
+number in a written table, so null ids and ids that stand on several rows are
+no special case. Of a group of copies the row of the smallest id stays (null
+ids last, the first row among equals); null and empty texts are no copies.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glossweave.llm import decontaminate, minhash, packing, pii, toxicity
 from glossweave.llm.common import table
 from glossweave.llm.queries import pseudonym_key
-from glossweave.session import scratch_path
+from glossweave.session import materialize, scratch_path
 
 # The rows of run() depend on a trained classifier and on tokenizers; SQL has neither.
 ORACLE_SQL = None
@@ -25,18 +30,34 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.filter("__score < 0.5").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A written table of the rows with a number each, and the name of that column."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8) stays: the one with the smallest id."""
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.filter("not kept").select("doc_id")
-    # Rows that repeat the kept id with the same text are copies as well.
-    return docs.join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One row of each group of near copies (five words, 0.8) stays: the one with the smallest id."""
+    rows, name = numbered(docs)
+    groups = minhash.near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias("row"), "component_id").join(
+        rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("id")), "row"
+    )
+    named = materialize(named, "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))["row"].alias("row")
+    gone = named.join(named.groupBy("component_id").agg(first), "row", "left_anti")
+    gone = materialize(gone.select(F.col("row").alias(name)), "gone")
+    return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a window of a benchmark item go."""
+    rows, name = numbered(docs)
+    found = decontaminate.contaminated(rows.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 
 def without_names(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
