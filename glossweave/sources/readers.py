@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from glossweave.functions.text import not_blank, strip_blank
 from glossweave.session import materialize, settle
+from glossweave.sources import quoted
 
 
 def _text(name: str) -> T.StructField:
@@ -40,7 +41,7 @@ STORED_LINE = (
 
 def cldf_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Forms of a cross-linguistic data set."""
-    rows = spark.read.csv(f"{folder}/forms.csv", header=True, quote='"', escape='"', multiLine=True)
+    rows = quoted.csv(spark, f"{folder}/forms.csv")
     take = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     return rows.select(
         take("Form").alias("headword"), take("Language_ID").alias("language"), take("Parameter_ID").alias("concept"),
@@ -50,7 +51,7 @@ def cldf_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 def cldf_cognates(spark: SparkSession, folder: str) -> DataFrame:
     """Cognate judgements of a cross-linguistic data set."""
-    rows = spark.read.csv(f"{folder}/cognates.csv", header=True, quote='"', escape='"', multiLine=True)
+    rows = quoted.csv(spark, f"{folder}/cognates.csv")
     take = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     return rows.select(
         F.lit("cognate").alias("type"), take("Form_ID").alias("form_id"), take("Cognateset_ID").alias("cognateset_id"),
