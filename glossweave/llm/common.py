@@ -71,8 +71,14 @@ def shingle_numbers(numbers: np.ndarray, size: int) -> np.ndarray:
 #: Marks behind a word that are one token group of their own (no apostrophes, which can begin a suffix).
 MARKS = ".,;:!?%&*#$|()[]{}\"-+=/_~^<>@"
 
-#: White space at an end of a text, or beside a space.
-RUNS = re.compile(r"\A\s|\s\Z|\s | \s")
+#: Letters of Latin-1 only: their normal form is themselves.
+PLAIN = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]+"
+
+#: Characters that may count as white space, and zero, which marks pieces to be read as they are.
+WHITE = r"[\s\x00\x0B\x1C-\x1F\x{85}\p{Z}]"
+
+#: White space at an end of a text, or beside a space or line feed; or a zero anywhere.
+RUNS = rf"\A{WHITE}|{WHITE}\z|{WHITE}[ \n]|[ \n]{WHITE}|\x00"
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -81,16 +87,21 @@ class Encoder:
     """Token ids of whole texts, through the tokenizers library.
 
     A text is cut where no token of the vocabulary can reach across, at single
-    spaces, and every distinct piece is encoded once by the library. A Python
-    worker forgets its pieces when it knows more than ``most`` of them and then
-    encodes them again. The ids are those of the whole text.
+    spaces and line feeds, and every distinct piece is encoded once by the
+    library; texts become ids again by gathering from the ids of their pieces. A
+    Python worker forgets its pieces when it knows more than ``most`` of them and
+    then encodes them again. The ids are those of the whole text.
+
+    A piece stands for itself after one space (or, where the tokenizer drops white
+    space, for itself alone); one after a line feed begins with it, and one to be
+    read as it is with a zero. Marks behind a word are pieces of their own.
 
     With ``added`` the added tokens of the vocabulary that a text spells out, such
     as '<|endoftext|>', have their own ids, as the library gives them by default;
     a text that may hold one goes to the library whole. Without, they are text.
     """
 
-    def __init__(self, path: str, most: int = 500_000, added: bool = False):
+    def __init__(self, path: str, most: int = 800_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -98,80 +109,158 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         # The signs such a token begins with; normal forms and folding change letters, so one that begins with a letter leaves no sign.
         begins = {"".join(itertools.takewhile(lambda c: c.isascii() and not c.isalnum() and not c.isspace(), t.content)) for t in self.whole.get_added_tokens_decoder().values()} if added else set()
-        self.begins = re.compile("|".join(map(re.escape, sorted(begins)))) if begins else None
+        self.begins = "|".join(map(re.escape, sorted(begins))) if begins else None
         # A tokenizer that drops white space needs no leading space in front of a piece.
         self.keeps_space = bool(self.lib.encode(" \n", add_special_tokens=False).ids)
         # Tokens that begin a word with its space, or else end a word: they part the words of a long text again.
         names = [self.lib.id_to_token(i) or "" for i in range(self.lib.get_vocab_size())]
-        self.edge = np.array([n.startswith("\u0120") if self.keeps_space else n.endswith("</w>") for n in names])
-        # Letters of Latin-1 only (their normal form is themselves), after one space where spaces are kept, and marks.
-        self.word = re.compile(f"({' ' if self.keeps_space else ''}[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{re.escape(MARKS)}]*)")
-        self.most, self.seen = most, {"": b""}
+        self.edge = np.array([n.startswith("Ġ") if self.keeps_space else n.endswith("</w>") for n in names])
+        feed = self.lib.encode("\n", add_special_tokens=False).ids
+        self.feed = np.arange(len(names)) == (feed[0] if len(feed) == 1 else -1)
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {"": 0}
+        self.tails: dict[str, int] = {"": 0}
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        # Number 0 is a piece without ids.
+        self.used, self.known = 0, 1
 
     def pieces(self, text: str) -> list[str]:
+        """Keys of the pieces of any text where spaces are kept: white space in runs belongs together."""
+        parts, joined, glue = text.split(" "), [], True
+        for p in parts:
+            if not joined:
+                joined.append(p)
+            elif glue or not p or p[0].isspace():
+                joined[-1] += " " + p
+            else:
+                joined.append(" " + p)
+            glue = not p or p[-1].isspace()
+        # A lone space before a word is what a key stands for; everything else is read as it is.
+        return ["", "\n", *(p[1:] if p[:1] == " " and p[1:2] not in ("", " ", "\n", "\0") else "\0" + p for p in joined)]
+
+    def text(self, key: str) -> str:
+        """What the library is given for a key."""
+        if not self.keeps_space or key[:1] == "\n":
+            return key
+        return key[1:] if key[:1] == "\0" else " " + key
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Keys of all pieces of all texts, and the place where each text begins (and the end)."""
         if not self.keeps_space:
-            return text.split(" ")
-        parts = text.split(" ")
-        # White space in runs belongs together: such parts are joined to their neighbours.
-        if RUNS.search(text):
-            joined, glue = [parts[0]], not parts[0] or parts[0][-1].isspace()
-            for p in parts[1:]:
-                if glue or not p or p[0].isspace():
-                    joined[-1] += " " + p
-                else:
-                    joined.append(" " + p)
-                glue = not p or p[-1].isspace()
-            return joined
-        return [parts[0], *(" " + p for p in parts[1:])]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            return lists.flatten(), np.asarray(lists.offsets)
+        # A line feed in front is no part of the text: its id is left out later.
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n"), " ")
+        loose = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, RUNS)))
+        if not len(loose):
+            return lists.flatten(), np.asarray(lists.offsets)
+        chunks, sizes, last = [], np.diff(np.asarray(lists.offsets)).astype(np.int64), 0
+        for i in loose.tolist():
+            own = pa.array(self.pieces(texts[i].as_py()), pa.string())
+            chunks += [lists.slice(last, i - last).flatten(), own]
+            sizes[i], last = len(own), i + 1
+        chunks.append(lists.slice(last).flatten())
+        return pa.concat_arrays(chunks), np.concatenate(([0], np.cumsum(sizes)))
+
+    def gathered(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The runs of ids, one behind another."""
+        sizes = sizes.astype(np.int64)
+        ends = np.cumsum(sizes)
+        return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        if len(self.seen) > self.most:
-            self.seen = {"": b""}
-        odd = {i for i, t in enumerate(texts) if t and self.begins and self.begins.search(t)}
-        cut = [self.pieces(t) if t and i not in odd else [] for i, t in enumerate(texts)]
-        fresh = list(set().union(*cut) - self.seen.keys())
-        if fresh:
-            self.learn(fresh)
-        get = self.seen.__getitem__
-        out = [b"".join(map(get, ps)) for ps in cut]
-        for i in odd:
-            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return []
+        if len(self.numbers) > self.most:
+            self.forget()
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, self.begins))).tolist() if self.begins else []
+        spelled = {i: texts[i].as_py() for i in odd}
+        if odd:
+            texts = pc.if_else(pc.match_substring_regex(texts, self.begins), "", texts)
+        keys, begins = self.cut(texts)
+        keys = keys.dictionary_encode()
+        at = np.asarray(keys.indices)
+        first, second = self.known_pieces(keys.dictionary)
+        # Ids of each distinct piece: word, then the marks behind it.
+        both = np.stack([first, second], 1).ravel()
+        own = self.gathered(self.ids, self.starts[both], self.sizes[both])
+        sizes = self.sizes[first] + self.sizes[second]
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[at]
+        sizes = sizes[at].astype(np.int64)
+        if self.keeps_space:
+            lead = begins[:-1] + 1
+            starts[lead] += 1
+            sizes[lead] -= 1
+        data = self.gathered(own, starts, sizes).astype("<u4", copy=False).tobytes()
+        ends = (np.concatenate(([0], np.cumsum(sizes)))[begins] * 4).tolist()
+        out = [data[a:b] for a, b in itertools.pairwise(ends)]
+        for i, text in spelled.items():
+            out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
-    def learn(self, fresh: list[str]) -> None:
-        """Encodes new pieces: plain words in one text, a word and the marks behind it apart, others singly."""
-        seen, plain, ends, other = self.seen, set(), [], set()
-        match = self.word.fullmatch
-        for p in fresh:
-            m = match(p)
-            if m:
-                core, end = m.groups()
-                plain.add(core)
-                if end:
-                    ends.append((p, core, end))
-            else:
-                other.add(p)
-        plain -= seen.keys()
-        other.update({e for _, _, e in ends} - seen.keys())
-        todo = list(plain)
-        for i in range(0, len(todo), 2000):
-            part = todo[i : i + 2000]
-            ids = np.array(self.lib.encode(("" if self.keeps_space else " ").join(part), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.edge[ids])
-            if len(at) != len(part):
-                other.update(part)
-                continue
-            cuts = (np.append(at, len(ids)) if self.keeps_space else np.append(0, at + 1)) * 4
-            data, start = ids.tobytes(), int(cuts[0])
-            for p, end in zip(part, cuts[1:].tolist()):
-                seen[p] = data[start:end]
-                start = end
-        rest = list(other)
-        for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False)):
-            seen[p] = np.array(e.ids, "<u4").tobytes()
-        for p, core, end in ends:
-            seen[p] = seen[core] + seen[end]
+    def known_pieces(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of each key's word and of the marks behind it; new ones are learnt."""
+        cores = pc.utf8_rtrim(keys, MARKS)
+        plain = pc.match_substring_regex(cores, rf"\A\n?{PLAIN}\z")
+        names = pc.if_else(plain, cores, keys).dictionary_encode()
+        plain, words = np.asarray(plain), names.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.numbers.get, words, itertools.repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(numbers < 0).tolist()
+        if fresh:
+            simple = np.zeros(len(words), bool)
+            simple[np.asarray(names.indices)[plain]] = True
+            groups: tuple[list[str], list[str], list[str]] = ([], [], [])
+            for i in fresh:
+                groups[2 if not simple[i] else words[i][0] == "\n"].append(words[i])
+            self.learn(*groups)
+            numbers[fresh] = np.fromiter(map(self.numbers.__getitem__, [words[i] for i in fresh]), np.int64, len(fresh))
+        # Only words have marks of their own behind them; these are ASCII.
+        marks = np.where(plain, np.asarray(pc.binary_length(keys)) - np.asarray(pc.binary_length(cores)), 0)
+        second = np.zeros(len(keys), np.int64)
+        at = np.flatnonzero(marks)
+        tails = [k[-n:] for k, n in zip(keys.take(pa.array(at)).to_pylist(), marks[at].tolist())]
+        new = list(set(tails) - self.tails.keys())
+        if new:
+            self.singly(self.tails, new, new)
+        second[at] = np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))
+        return numbers[np.asarray(names.indices)], second
+
+    def learn(self, spaced: list[str], fed: list[str], other: list[str]) -> None:
+        """Encodes new pieces: plain words many in one text, others singly."""
+        for words, glue, edge in ((spaced, " ", self.edge), (fed, "", self.feed)):
+            for i in range(0, len(words), 2000):
+                part = words[i : i + 2000]
+                whole = (glue if self.keeps_space else "") + glue.join(part)
+                ids = np.array(self.lib.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
+                at = np.flatnonzero(edge[ids])
+                if len(at) != len(part):
+                    other.extend(part)
+                    continue
+                self.keep(self.numbers, part, ids, np.diff(np.append(at, len(ids)) if self.keeps_space else np.append(-1, at)))
+        if other:
+            self.singly(self.numbers, other, [self.text(k) for k in other])
+
+    def singly(self, names: dict[str, int], keys: list[str], texts: list[str]) -> None:
+        found = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.keep(names, keys, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def keep(self, names: dict[str, int], keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        used, known = self.used + len(ids), self.known + len(keys)
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * used)
+        if known > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * known), np.resize(self.sizes, 2 * known)
+        self.ids[self.used : used] = ids
+        self.starts[self.known : known] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.known : known] = sizes
+        names.update(zip(keys, range(self.known, known)))
+        self.used, self.known = used, known
 
 
 def encoder(path: str, added: bool = False) -> Encoder:

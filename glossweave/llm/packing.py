@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, added: bool
         for batch in batches:
             for piece in slices(batch, "text"):
                 rows: list[tuple] = []
-                for name, x in zip(piece["doc_id"].to_pylist(), enc.encode(piece["text"].to_pylist())):
+                for name, x in zip(piece["doc_id"].to_pylist(), enc.encode(piece["text"])):
                     data = memoryview(x + end)
                     total = len(data) // 4
                     for start in range(0, total, size):

@@ -130,7 +130,7 @@ def raw_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int,
         held = 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                for name, x in zip(piece["doc_id"].to_pylist(), enc.encode(piece["text"].to_pylist())):
+                for name, x in zip(piece["doc_id"].to_pylist(), enc.encode(piece["text"])):
                     ids.append(x + end)
                     names.append(name)
                     held += len(x) // 4 + 1
