@@ -7,6 +7,8 @@ the bucket is skipped; when it is high, the coordinates decide (a vector of that
 cosine has its largest query coordinates within a narrow range); when it is low,
 the length decides (only the longer vectors of the bucket can reach it). What is
 left is multiplied out, so results are exact. Partial lists are merged per query.
+Blocks and buckets meet in a grid: ``held`` blocks are a row, and a bucket is sent
+to each row once, not to each block.
 
 Components are integers. Products are taken in doubles where they are exact and
 in Python integers where they might not be.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glossweave.session import materialize
@@ -51,15 +54,17 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, list[int], float]] = []
-        dim = 0
+        dim, number = 0, TaskContext.get().partitionId() << 32
 
         def full() -> pa.RecordBatch:
+            nonlocal number
+            number += 1
             held.sort(key=lambda h: (-h[2], h[0]))
             ids = np.array([h[0] for h in held], np.int64)
             m = np.array([h[1] for h in held], np.int64)
             norms = [h[2] for h in held]
             return pa.RecordBatch.from_arrays([
-                pa.array([dim], pa.int32()), pa.array([int(ids[0]) * 31 + len(ids)], pa.int64()), pa.array([len(ids)], pa.int32()),
+                pa.array([dim], pa.int32()), pa.array([number], pa.int64()), pa.array([len(ids)], pa.int32()),
                 pa.array([max(norms)]), pa.array([min(norms)]), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()),
             ], ["dim", "part", "rows", "most", "least", "ids", "vectors"])
 
@@ -157,12 +162,13 @@ def upper(u: float, t: float) -> float:
 
 def top_products(
     vectors: DataFrame, k: int = 20, every: int = 20, factor: int = 64, id_column: str = "vec_id", column: str = "embedding",
-    bucket: int = 4096, block: int = 1024, sample: int = 2048,
+    bucket: int = 4096, block: int = 1024, sample: int = 2048, held: int = 64,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: queries are the rows whose id is divisible by ``every``.
 
     ``sample`` is the number of longest vectors per dimension that give each
-    query its first threshold; it changes the work, not the result.
+    query its first threshold, ``held`` the number of query blocks a task keeps
+    while buckets pass; they change the work, not the result.
     """
     spark = vectors.sparkSession
     rows = materialize(integers(vectors, id_column, column, factor), "vectors")
@@ -195,24 +201,47 @@ def top_products(
     )
     known = materialize(known, "floors")
 
+    # Numbers of blocks and buckets, without their matrices: one row for each thousand queries or some thousand vectors.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = Window.partitionBy("dim").orderBy("qleast", "qpart")
+    numbers = known.select("dim", "qpart", "qleast").withColumn("row", F.floor((F.row_number().over(order) - 1) / held))
+    numbers = materialize(numbers, "rows")
+    rows_of = numbers.groupBy("dim").agg((F.max("row") + 1).alias("n_rows"))
+    shape = buckets.groupBy("dim").agg(F.count(F.lit(1)).alias("n_buckets")).join(rows_of, "dim")
+    shape = shape.select("dim", F.least("n_buckets", F.ceil(2 * tasks / F.col("n_rows"))).cast("int").alias("columns"))
+    shape = materialize(shape, "shape")
+    # The grid: a row of query blocks goes to every column, a bucket to the rows in which a query can use it.
+    asked = known.join(numbers.select("dim", "qpart", "row"), ["dim", "qpart"]).join(shape, "dim").select(
+        "dim", "row", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), F.lit(0).alias("kind"),
+        F.col("qids").alias("ids"), F.col("queries").alias("vectors"), "floor",
+    )
+    reach = numbers.groupBy("dim", "row").agg(F.min("qleast").alias("qleast"))
+    dealt = buckets.join(shape, "dim").join(reach, "dim").filter(F.col("qleast") * (1 - 1e-9) <= F.col("most")).select(
+        "dim", "row", F.pmod(F.xxhash64("part"), "columns").cast("int").alias("column"), F.lit(1).alias("kind"),
+        "ids", "vectors", F.lit(None).cast("binary").alias("floor"),
+    )
+    cells = asked.unionByName(dealt).repartition(tasks, "dim", "row", "column").sortWithinPartitions("dim", "row", "column", "kind")
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, blocks_here = None, []
         for batch in batches:
             for n in range(batch.num_rows):
                 r = {c: batch.column(c)[n].as_py() for c in batch.schema.names}
-                qids, q = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["queries"], np.int64).reshape(-1, r["dim"])
+                if (at := (r["dim"], r["row"], r["column"])) != cell:
+                    cell, blocks_here = at, []
                 ids, m = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.int64).reshape(-1, r["dim"])
-                found = list(search((qids, q, np.frombuffer(r["floor"])), (ids, m), k))
-                if found:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)),
-                        pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found])),
-                    ], ["query_id", "vec_id", "score"])
-
-    # Blocks of queries against buckets: pairs of matrices, without those that no query of the block can use.
-    pairs = known.join(buckets, "dim").filter(F.col("qleast") * (1 - 1e-9) <= F.col("most"))
-    found = pairs.select("dim", "qids", "queries", "floor", "ids", "vectors").repartition(
-        max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ).mapInArrow(find, FOUND)
+                if r["kind"] == 0:
+                    blocks_here.append((ids, m, np.frombuffer(r["floor"])))
+                    continue
+                for asking in blocks_here:
+                    found = list(search(asking, (ids, m), k))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)),
+                            pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found])),
+                        ], ["query_id", "vec_id", "score"])
+
+    found = cells.mapInArrow(find, FOUND)
     # Each task keeps its own k best rows of a query before the shuffle.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
