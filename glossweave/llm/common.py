@@ -73,6 +73,7 @@ MARKS = ".,;:!?%&*#$|()[]{}\"-+=/_~^<>@"
 
 #: Letters of Latin-1 only: their normal form is themselves.
 PLAIN = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]+"
+LETTERS = "".join(re.findall(PLAIN, "".join(map(chr, range(256)))))
 
 #: Characters that may count as white space, and zero, which marks pieces to be read as they are.
 WHITE = r"[\s\x00\x0B\x1C-\x1F\x{85}\p{Z}]"
@@ -208,7 +209,7 @@ class Encoder:
         cores = pc.utf8_rtrim(keys, MARKS)
         plain = pc.match_substring_regex(cores, rf"\A\n?{PLAIN}\z")
         names = pc.if_else(plain, cores, keys).dictionary_encode()
-        plain, words = np.asarray(plain), names.dictionary.to_pylist()
+        plain, words = np.asarray(plain), names.dictionary.to_numpy(zero_copy_only=False).tolist()
         numbers = np.fromiter(map(self.numbers.get, words, itertools.repeat(-1)), np.int64, len(words))
         fresh = np.flatnonzero(numbers < 0).tolist()
         if fresh:
@@ -219,15 +220,14 @@ class Encoder:
                 groups[2 if not simple[i] else words[i][0] == "\n"].append(words[i])
             self.learn(*groups)
             numbers[fresh] = np.fromiter(map(self.numbers.__getitem__, [words[i] for i in fresh]), np.int64, len(fresh))
-        # Only words have marks of their own behind them; these are ASCII.
-        marks = np.where(plain, np.asarray(pc.binary_length(keys)) - np.asarray(pc.binary_length(cores)), 0)
-        second = np.zeros(len(keys), np.int64)
-        at = np.flatnonzero(marks)
-        tails = [k[-n:] for k, n in zip(keys.take(pa.array(at)).to_pylist(), marks[at].tolist())]
-        new = list(set(tails) - self.tails.keys())
-        if new:
+        # Only words have marks of their own behind them.
+        marked = plain & (np.asarray(pc.binary_length(keys)) > np.asarray(pc.binary_length(cores)))
+        tails = pc.utf8_ltrim(keys.filter(pa.array(marked)), "\n" + LETTERS).dictionary_encode()
+        named = tails.dictionary.to_pylist()
+        if new := [t for t in named if t not in self.tails]:
             self.singly(self.tails, new, new)
-        second[at] = np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))
+        second = np.zeros(len(keys), np.int64)
+        second[marked] = np.array([self.tails[t] for t in named], np.int64)[np.asarray(tails.indices)]
         return numbers[np.asarray(names.indices)], second
 
     def learn(self, spaced: list[str], fed: list[str], other: list[str]) -> None:

@@ -117,7 +117,9 @@ def raw_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int,
         def full() -> pa.RecordBatch:
             nonlocal ids, names, block, first
             data = b"".join(ids)
-            seen, counts = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+            counts = np.bincount(np.frombuffer(data, "<u4"))
+            seen = np.flatnonzero(counts)
+            counts = counts[seen]
             row = pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()),
                 pa.array([names], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int32())),
