@@ -155,3 +155,22 @@ def test_set_confidence_and_links(spark):
     sets = clusters.set_confidence(edges, members)
     assert {r.set_id: (r.size, round(r.confidence, 6)) for r in sets.collect()} == {"s": (3, 0.7), "t": (1, 1.0), "u": (2, 0.0)}
     assert {(r.source, r.target) for r in clusters.set_links(members, sets).collect()} == {(1, 2), (1, 3), (5, 6)}
+
+
+def test_components_shrink_with_each_round(spark, monkeypatch):
+    """A path in shuffled names: the work of all rounds stays a small multiple of its edges."""
+    seen, write = [], graph.materialize_counting
+
+    def counting(df, condition, label):
+        out, n = write(df, condition, label)
+        seen.append((label, n))
+        return out, n
+
+    monkeypatch.setattr(graph, "materialize_counting", counting)
+    nodes = [f"{i * 7919 % 400:03d}" for i in range(400)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in zip(nodes, nodes[1:])] + [("x", "x", 1.0), ("y", "z", 1.0)], "src string, dst string, weight double")
+    found = {(r.node, r.component) for r in graph.components(edges).collect()}
+    assert found == {(n, "000") for n in nodes} | {("x", "x"), ("y", "y"), ("z", "y")}
+    links = [n for label, n in seen if label == "links"]
+    assert links[0] == 400 and links[-1] == 0 and sum(links) < 4 * links[0]
+    assert all(a > b for a, b in zip(links, links[1:]))
