@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.operators import concepts
-from glossweave.plans.catalog.base import ENTRIES, entries, query, r6, table, vector_entries
+from glossweave.plans.catalog.base import ENTRIES, entries, query, r6, table, upper_sql, vector_entries
 from glossweave.session import scratch_path
 from glossweave.sources import buckets, sinks
 
@@ -22,7 +22,7 @@ def _written(spark, label, columns, keys, *writes):
 
 _STORED = f"""{ENTRIES},
 stored AS (SELECT e.* FROM entries e SEMI JOIN labels l ON l.doc_id = e.id),
-arriving AS (SELECT *, upper(headword) AS upper_word FROM entries WHERE embedding IS NOT NULL)"""
+arriving AS (SELECT *, {upper_sql('headword')} AS upper_word FROM entries WHERE embedding IS NOT NULL)"""
 
 
 def _stored_and_arriving(spark, sf):
