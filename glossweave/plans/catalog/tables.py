@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.functions import rules
 from glossweave.operators import dedup, entries as ops, windows
 from glossweave.plans import ingest
-from glossweave.plans.catalog.base import ENTRIES, TREE, concept_table, entries, query, table, vector_entries
+from glossweave.plans.catalog.base import ENTRIES, TREE, concept_table, entries, query, table, upper_sql, vector_entries
 from glossweave.functions.tree import languages
 from glossweave.sources import sinks
 
@@ -174,7 +174,7 @@ arriving AS (SELECT id, upper(headword) AS headword, 'xx' AS language, source_id
 
 
 @query("upsert_entries", f"""
-WITH {_BOTH}
+WITH {_BOTH.replace("upper(headword)", upper_sql("headword"))}
 SELECT coalesce(s.id, a.id) AS id, coalesce(a.headword, s.headword) AS headword, coalesce(s.language, a.language) AS language
 FROM stored s FULL JOIN arriving a ON a.id = s.id""")
 def upsert_entries(spark, sf):
