@@ -208,7 +208,8 @@ def payload_entries(spark, sf):
     return readers.payload_entries(payloads, "body", "struct<k:bigint>")
 
 
-_PLAIN = "replace(replace(trim(regexp_replace({}, '<[^>]*>', '', 'g')), '&quot;', '\"'), '&amp;', '&')"
+# A reference may stand without its semicolon, as HTML has it; a text that is cut off ends so.
+_PLAIN = "regexp_replace(regexp_replace(trim(regexp_replace({}, '<[^>]*>', '', 'g')), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 
 
 @query("html_entries", f"""
