@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.functions import ids, rules, text as tx
 from glossweave.operators import entries as ops
 from glossweave.plans import cleaning, ingest
-from glossweave.plans.catalog.base import ENTRIES, RECORDS, entries, query, r6, records, table, vector_entries
+from glossweave.plans.catalog.base import ENTRIES, FIRST_WORDS, RECORDS, entries, query, r6, records, table, upper_sql, vector_entries
 
 _QUALITY_SQL = """greatest(0e0, 1e0 - CASE WHEN etymology IS NULL THEN 0.1e0 ELSE 0e0 END
   - CASE WHEN pos_tag IS NULL THEN 0.1e0 ELSE 0e0 END - CASE WHEN embedding IS NULL THEN 0.2e0 ELSE 0e0 END
@@ -238,7 +238,7 @@ def entry_ids(spark, sf):
 
 @query("concept_labels", f"""
 WITH {ENTRIES}, f AS (SELECT concept_id, arg_min(definition, id) AS d FROM entries WHERE concept_id IS NOT NULL GROUP BY concept_id)
-SELECT concept_id, upper(array_to_string(list_slice(string_split(trim(regexp_replace(d, '\\s+', ' ', 'g')), ' '), 1, 3), '_')) AS label FROM f""")
+SELECT concept_id, {upper_sql(FIRST_WORDS)} AS label FROM f""")
 def concept_labels(spark, sf):
     first = vector_entries(spark, sf).filter("concept_id is not null").groupBy("concept_id").agg(F.min_by("definition", "id").alias("d"))
     return first.select("concept_id", tx.concept_label(F.col("d"), F.col("concept_id")).alias("label"))
