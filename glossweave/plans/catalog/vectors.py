@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.operators import concepts as ops, density, vector_index
 from glossweave.operators.entries import search_vectors
 from glossweave.plans import layout
-from glossweave.plans.catalog.base import ENTRIES, entries, query, r6, table, vector_entries
+from glossweave.plans.catalog.base import ENTRIES, FIRST_WORDS, entries, query, r6, table, upper_sql, vector_entries
 from glossweave.session import scratch_path
 
 _VECTORS = f"""{ENTRIES}, v AS (SELECT * FROM entries WHERE embedding IS NOT NULL)"""
@@ -77,7 +77,7 @@ WITH {_CENTERS}, f AS (
   SELECT concept_id, array_to_string(list(id ORDER BY id)[1:5], ',') AS firsts, array_to_string(list_sort(list_distinct(list(language))), ',') AS languages,
          arg_min(definition, id) AS d FROM v GROUP BY concept_id)
 SELECT concept_id, size, languages, md5(d) AS first_md5,
-       upper(array_to_string(list_slice(string_split(trim(regexp_replace(d, '\\s+', ' ', 'g')), ' '), 1, 3), '_')) AS label
+       {upper_sql(FIRST_WORDS)} AS label
 FROM centers JOIN f USING (concept_id)""")
 def concept_profile(spark, sf):
     out = ops.profile(vector_entries(spark, sf))
