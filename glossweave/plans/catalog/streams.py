@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.operators import concepts
 from glossweave.operators.dedup import keep_first, keep_last
 from glossweave.plans import ingest
+from glossweave.functions.text import LANGUAGE_NAMES
 from glossweave.functions.vectors import unit
 from glossweave.plans.catalog.base import ENTRIES, as_entries, query, r6, table, vector_entries
 from glossweave.session import materialize, scratch_path, share
@@ -123,16 +124,21 @@ b AS (SELECT id, arg_min(concept_id, (-round(s, 12), concept_id)) AS concept_id,
 """
 
 
-def _chained(spark, sf, files, buckets):
-    """Documents in files of ascending ids, one per micro-batch, through the chain into a bucketed table."""
+def _chained(spark, sf, arrivals, buckets):
+    """Documents that arrive in ranges of ascending ids, one per micro-batch, through the chain into a bucketed table."""
     source, path, progress = (scratch_path(spark, n) for n in ("chain-in", "chain", "chain-progress"))
     docs = table(spark, sf, "documents")
-    docs.repartitionByRange(files, "doc_id").write.parquet(source)
     known = letter_vectors(ingest.clean_entries(vector_entries(spark, sf).filter("concept_id is not null")).filter("length(definition) >= 10"), "definition")
     handler = chain.Chain(path, materialize(concepts.centroids(known), "centers"), letter_vectors, ("doc",), buckets, progress=progress)
-    arriving = as_entries(jobs.table_stream(spark, f"{source}/*.parquet", files_per_batch=1))
-    arriving = arriving.withColumn("doc", F.col("id")).repartition(spark.sparkContext.defaultParallelism)
-    chain.run_chain(arriving, handler, f"{path}-state")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = 1 if low is None else (high - low) // arrivals + 1
+    number = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width), F.lit(0))
+    for n in range(arrivals):
+        # What has arrived, however many files it takes, is one micro-batch; the next run goes on behind it.
+        docs.filter(number == n).write.mode("append").parquet(source)
+        arriving = as_entries(jobs.table_stream(spark, f"{source}/*.parquet", files_per_batch=(1 << 31) - 1))
+        arriving = arriving.withColumn("doc", F.col("id")).repartition(spark.sparkContext.defaultParallelism)
+        chain.run_chain(arriving, handler, f"{path}-state")
     return path, progress
 
 
@@ -147,9 +153,15 @@ def stream_chain(spark, sf):
     return out.select("id", "headword", "language", "concept_id", F.round("concept_confidence", 6).alias("confidence"), r6("data_quality"))
 
 
+# A field that the cleaners reject: no headword or letter, a definition of one or two characters, no language code.
+_FAILED = rf"""(coalesce(headword, '') = '' OR NOT regexp_matches(regexp_replace(headword, '[\p{{M}}\p{{Lm}}\s]', '', 'g'), '\p{{L}}')
+  OR NOT coalesce(regexp_matches(definition, '(?s)\S.+\S'), false) OR NOT coalesce(regexp_matches(lower(trim(language)), '^[a-z]{{2,3}}$')
+  OR lower(trim(language)) IN ({', '.join(f"'{n}'" for n in LANGUAGE_NAMES)}), false))"""
+
+
 @query("stream_progress", f"""{_CHAIN}
-SELECT (SELECT count(*) FROM c) AS processed, (SELECT count(*) FROM c WHERE headword = '') AS failed,
-  (SELECT count(*) FROM c WHERE headword <> '' AND length(definition) < 10) AS skipped, 2::BIGINT AS batches""")
+SELECT count(*) AS processed, count(*) FILTER ({_FAILED}) AS failed,
+  count(*) FILTER (NOT {_FAILED} AND length(definition) < 10) AS skipped, 2::BIGINT AS batches FROM c""")
 def stream_progress(spark, sf):
     """Counts of the chain's batches, summed from the table that the batches write."""
     _, progress = _chained(spark, sf, 2, 4)

@@ -1,9 +1,11 @@
 import gzip
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from glossweave.plans.catalog import QUERIES, SQL
 from glossweave.plans import ingest
 from glossweave.operators import concepts
 from glossweave.streaming import jobs
@@ -105,3 +107,17 @@ def test_ingest_file_adds_each_record_once(spark, tmp_path):
     saved = spark.read.parquet(f"{store}/entries")
     assert {(r.headword, r.language) for r in saved.collect()} == {("water", "en"), ("feuer", "de")}
     assert saved.filter("source_id = 'wiktionary' and data_quality > 0").count() == 2
+
+
+def test_arrivals_are_batches_however_many_files(spark, tmp_path):
+    """The counts of the chain's batches do not depend on how the cluster deals rows into files."""
+    rows = [(i, "en" if i % 2 else "de", f"Wort number {i} of many words", "web") for i in range(40)] + [(40, "en", "A b", "web"), (41, "en", "A", "web"), (42, "x1", "Wort number of many", "web")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, source string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [1.0, float(i)], i % 3) for i in range(20)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["stream_progress"](spark, str(tmp_path)).first()
+    assert tuple(found) == (43, 2, 1, 2)
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert con.execute(SQL["stream_progress"]).fetchone() == tuple(found)
