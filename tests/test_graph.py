@@ -174,3 +174,19 @@ def test_components_shrink_with_each_round(spark, monkeypatch):
     links = [n for label, n in seen if label == "links"]
     assert links[0] == 400 and links[-1] == 0 and sum(links) < 4 * links[0]
     assert all(a > b for a, b in zip(links, links[1:]))
+
+
+def test_components_need_few_rounds(spark, monkeypatch):
+    """The shrinking is fast: a path of 400 edges is gone after few rounds, lone nodes need none."""
+    rounds, write = [], graph.materialize_counting
+
+    def counting(df, condition, label):
+        rounds.append(label)
+        return write(df, condition, label)
+
+    monkeypatch.setattr(graph, "materialize_counting", counting)
+    nodes = [f"{i * 7919 % 400:03d}" for i in range(400)]
+    rows = [(a, b, 1.0) for a, b in zip(nodes, nodes[1:])] + [("x", "y", 0.1)]
+    found = {tuple(r) for r in graph.threshold_clusters(edges_of(spark, rows), 0.5).collect()}
+    assert found == {(n, "000") for n in nodes} | {("x", "x"), ("y", "y")}
+    assert len(rounds) <= 6
