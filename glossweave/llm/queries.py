@@ -58,14 +58,13 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op3_rans(spark: SparkSession, sf: str) -> DataFrame:
     import zlib
 
-    read = rans.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, added=True)
+    def digest(b):
+        crc = pa.array([zlib.crc32(x.as_buffer()) for x in b["ids"]], pa.int64())
+        return pa.RecordBatch.from_arrays([b["doc_id"], b["start"], b["n_tokens"], crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    def digest(batches):
-        for b in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in b["ids"]], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], b["n_tokens"], crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return rans.round_trip(table(spark, sf, "documents"), path, end_id=2, added=True, view=digest, schema=schema)
 
 
 @query()

@@ -17,7 +17,7 @@ empty folders. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 RAW = "part int, block int, first long, doc_ids array<long>, n_tokens array<int>, ids binary, counted array<int>, counts array<long>"
+DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 BLOCKS = "part int, block int, first long, doc_ids array<long>, n_tokens array<int>, lanes int, states binary, words binary, crc long"
 
 
@@ -101,7 +102,7 @@ class Coder:
         return out
 
 
-def lanes_for(n: int, most: int = 1024) -> int:
+def lanes_for(n: int, most: int = 2048) -> int:
     return max(1, min(most, n // 64))
 
 
@@ -157,7 +158,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1)
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, block_tokens: int = 1 << 17, added: bool = False) -> None:
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, block_tokens: int = 1 << 18, added: bool = False) -> None:
     """Encodes all documents into ``folder``; a block holds about ``block_tokens`` ids, more if one document does."""
     spark = docs.sparkSession
     raw_blocks(docs, vocabulary, end_id, block_tokens, added).write.option("compression", "zstd").parquet(f"{folder}/raw")
@@ -188,8 +189,14 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, block_
     columns.mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of a folder: doc_id, start, n_tokens, ids (little-endian 32-bit), each block checked on its own."""
+def read(
+    spark: SparkSession, folder: str, view: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = DOCUMENTS
+) -> DataFrame:
+    """Documents of a folder: doc_id, start, n_tokens, ids (little-endian 32-bit), each block checked on its own.
+
+    ``view`` makes of a batch of such documents what is wanted of them, with its ``schema``, in the task that
+    decodes them, so that the ids need not leave it.
+    """
     table = spark.read.parquet(f"{folder}/table").toPandas()
     freq = np.zeros(int(table["id"].max()) + 1 if len(table) else 0, np.int64)
     freq[table["id"].to_numpy(np.int64)] = table["freq"].to_numpy()
@@ -209,17 +216,23 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if zlib.crc32(data) != row["crc"]:
                     raise ValueError(f"damaged block {row['part']}/{row['block']}: checksum differs")
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([
+                cuts = np.append(0, 4 * ends).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+                found = pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()), pa.array(ends - sizes + row["first"] + row["before"], pa.int64()),
-                    pa.array(sizes), pa.array([data[4 * (b - n) : 4 * b] for b, n in zip(ends.tolist(), sizes.tolist())], pa.binary()),
+                    pa.array(sizes), ids,
                 ], ["doc_id", "start", "n_tokens", "ids"])
+                yield view(found) if view else found
 
-    return blocks.join(begins, "part").drop("crc_").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(begins, "part").drop("crc_").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, added: bool = False) -> DataFrame:
-    """Writes the documents and reads them back."""
+def round_trip(
+    docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, added: bool = False,
+    view: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = DOCUMENTS,
+) -> DataFrame:
+    """Writes the documents and reads them back, as :func:`read` does."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "rans")
     write(docs, folder, vocabulary, end_id, added=added)
-    return read(spark, folder)
+    return read(spark, folder, view, schema)
