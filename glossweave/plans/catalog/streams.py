@@ -130,6 +130,9 @@ def _chained(spark, sf, arrivals, buckets):
     docs = table(spark, sf, "documents")
     known = letter_vectors(ingest.clean_entries(vector_entries(spark, sf).filter("concept_id is not null")).filter("length(definition) >= 10"), "definition")
     handler = chain.Chain(path, materialize(concepts.centroids(known), "centers"), letter_vectors, ("doc",), buckets, progress=progress)
+    # Large inputs arrive in files enough for all cores.
+    cores = spark.sparkContext.defaultParallelism
+    small = docs.rdd.getNumPartitions() < cores
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = 1 if low is None else (high - low) // arrivals + 1
     number = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width), F.lit(0))
@@ -137,8 +140,8 @@ def _chained(spark, sf, arrivals, buckets):
         # What has arrived, however many files it takes, is one micro-batch; the next run goes on behind it.
         docs.filter(number == n).write.mode("append").parquet(source)
         arriving = as_entries(jobs.table_stream(spark, f"{source}/*.parquet", files_per_batch=(1 << 31) - 1))
-        arriving = arriving.withColumn("doc", F.col("id")).repartition(spark.sparkContext.defaultParallelism)
-        chain.run_chain(arriving, handler, f"{path}-state")
+        arriving = arriving.withColumn("doc", F.col("id"))
+        chain.run_chain(arriving.repartition(cores) if small else arriving, handler, f"{path}-state")
     return path, progress
 
 

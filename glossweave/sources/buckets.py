@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from glossweave.operators.dedup import keep_last
 from glossweave.session import materialize
 from glossweave.sources.sinks import upsert
 
@@ -76,7 +77,13 @@ def upsert_batch(
         return touched
     earlier = {b: n for b, n in versions(spark, path, before=batch).items() if b in touched}
     stored = current(spark, path, columns, earlier)
-    merged = upsert(stored, changes, keys, update, order, touch)
+    if order:
+        changes = materialize(keep_last(changes, keys, order), "changes")
+    # The keys that are on both sides are found first; rows with other keys then pass without a join of their own where these are few.
+    known = materialize(changes.select(*keys).join(stored.select(*keys), keys, "left_semi"), "known")
+    met = upsert(stored.join(known, keys, "left_semi"), changes.join(known, keys, "left_semi"), keys, update, touch=touch)
+    added = changes.join(known, keys, "left_anti").select(*[c for c in stored.columns if c in changes.columns])
+    merged = stored.join(known, keys, "left_anti").unionByName(met).unionByName(added, allowMissingColumns=True)
     placed = merged.withColumns({"bucket": bucket_of(keys, buckets), "batch": F.lit(batch).cast("long")})
     placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(path)
     return touched

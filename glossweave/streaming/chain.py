@@ -59,7 +59,10 @@ class Chain:
         judged = materialize(clean_entries(batch).withColumn("_outcome", outcome), "cleaned")
         good = judged.filter("_outcome = 'good'").drop("_outcome", "rejects")
         good = good.withColumn("id", ids.content_id(F.col("headword"), F.col("language"), F.col("definition")))
-        entries = keep_last(good, ["id"], self.order)
+        # Only entries whose id is there again are shuffled as a whole.
+        again = materialize(good.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "again")
+        several = good.join(again, "id", "left_semi").unionByName(good.filter("id IS NULL"))
+        entries = good.filter("id IS NOT NULL").join(again, "id", "left_anti").unionByName(keep_last(several, ["id"], self.order))
         if self.skip_existing:
             # Ids are made of the content, so an entry that is stored has its vector.
             known = tables.current(spark, self.path, ENTRY, tables.versions(spark, self.path, before=number))

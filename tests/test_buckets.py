@@ -81,3 +81,22 @@ def test_a_stopped_chain_goes_on_and_equals_the_batch_run(spark, tmp_path):
     again = chain.Chain(str(tmp_path / "b"), centers, letter_vectors, ("doc",), 4, progress=str(tmp_path / "b-progress"), skip_existing=True)
     again(whole, 1)
     assert spark.read.parquet(str(tmp_path / "b-progress")).filter("batch = 1").first().written == 0
+
+
+def test_new_keys_pass_without_a_join_of_whole_rows(spark, tmp_path, monkeypatch):
+    """An upsert joins stored rows and changes on the few keys that both have, which are written first."""
+    seen, write = [], buckets.materialize
+
+    def counting(df, label):
+        out = write(df, label)
+        seen.append((label, out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(buckets, "materialize", counting)
+    path, schema = str(tmp_path / "t"), "k string, v string"
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), schema)
+    buckets.upsert_batch(spark, path, schema, rows(("a", "1"), ("b", "1"), (None, "1")), ["k"], ["v"], 2, 0)
+    buckets.upsert_batch(spark, path, schema, rows(("b", "2"), ("c", "2"), (None, "2")), ["k"], ["v"], 2, 1)
+    found = sorted(map(str, buckets.current(spark, path, schema).collect()))
+    assert found == sorted(map(str, rows(("a", "1"), ("b", "2"), ("c", "2"), (None, "1"), (None, "2")).collect()))
+    assert [x for x in seen if x[0] == "known"] == [("known", ["k"], 0), ("known", ["k"], 1)]
