@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glossweave.llm.common import encoder, slices
-from glossweave.session import materialize
+from glossweave.session import materialize, small_batches
 
 PIECES = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rank long"
 PLACES = "length long, lo long, hi long, sequence long, offset long"
@@ -106,7 +106,9 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, added: bool
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, added: bool = False) -> DataFrame:
     """Every piece with its sequence and its offset there; sequences are numbered without gaps."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, vocabulary, end_id, size, added), "pieces")
+    # The encoder needs the memory that large batches of whole texts would take.
+    with small_batches(spark):
+        cut = materialize(pieces(docs, vocabulary, end_id, size, added), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
