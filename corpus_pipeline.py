@@ -3,6 +3,9 @@
 Every stage works on all rows that its predecessor kept and is written as
 Parquet in the shared folder before the next one reads it.
 
+The stages run in one session, whose executors keep what they have once taken:
+whole texts go to Python in small batches in all of them.
+
 Near copies and benchmark passages are decided row by row: each row gets a
 number in a written table, so null ids and ids that stand on several rows are
 no special case. Of a group of copies the row of the smallest id stays (null
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glossweave.llm import decontaminate, minhash, packing, pii, toxicity
 from glossweave.llm.common import table
 from glossweave.llm.queries import pseudonym_key
-from glossweave.session import materialize, scratch_path
+from glossweave.session import materialize, scratch_path, small_batches
 
 # The rows of run() depend on a trained classifier and on tokenizers; SQL has neither.
 ORACLE_SQL = None
@@ -25,9 +28,11 @@ ORACLE_SQL = None
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that all labels together teach to be toxic go."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.scored(docs, model, "__score")
-    return scored.filter("__score < 0.5").select(*docs.columns)
+    with small_batches(spark):
+        model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+        scored = toxicity.scored(docs, model, "__score")
+        # Written here, while batches are small.
+        return materialize(scored.filter("__score < 0.5").select(*docs.columns), "clean")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -41,7 +46,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five words, 0.8) stays: the one with the smallest id."""
     rows, name = numbered(docs)
-    groups = minhash.near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"))
+    with small_batches(spark):
+        groups = minhash.near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"))
     named = groups.select(F.col("doc_id").alias("row"), "component_id").join(
         rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("id")), "row"
     )
@@ -55,8 +61,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a window of a benchmark item go."""
     rows, name = numbered(docs)
-    found = decontaminate.contaminated(rows.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    with small_batches(spark):
+        found = decontaminate.contaminated(rows.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        gone = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "gone")
     return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 
@@ -67,7 +74,8 @@ def without_names(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, added=True)
+    # The executors are full of what earlier stages took: a smaller memory of pieces costs time only.
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, added=True, most=200_000, chars=1_000_000)
 
 
 STAGES = [

@@ -107,9 +107,8 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.whole = Tokenizer.from_file(path)
         # The signs such a token begins with; normal forms and folding change letters, so one that begins with a letter leaves no sign.
-        begins = {"".join(itertools.takewhile(lambda c: c.isascii() and not c.isalnum() and not c.isspace(), t.content)) for t in self.whole.get_added_tokens_decoder().values()} if added else set()
+        begins = {"".join(itertools.takewhile(lambda c: c.isascii() and not c.isalnum() and not c.isspace(), t.content)) for t in self.lib.get_added_tokens_decoder().values()} if added else set()
         self.begins = "|".join(map(re.escape, sorted(begins))) if begins else None
         # A tokenizer that drops white space needs no leading space in front of a piece.
         self.keeps_space = bool(self.lib.encode(" \n", add_special_tokens=False).ids)
@@ -200,8 +199,12 @@ class Encoder:
         data = self.gathered(own, starts, sizes).astype("<u4", copy=False).tobytes()
         ends = (np.concatenate(([0], np.cumsum(sizes)))[begins] * 4).tolist()
         out = [data[a:b] for a, b in itertools.pairwise(ends)]
-        for i, text in spelled.items():
-            out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if spelled:
+            # One copy of the vocabulary reads added tokens either way.
+            self.lib.encode_special_tokens = False
+            for i, text in spelled.items():
+                out[i] = np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.lib.encode_special_tokens = True
         return out
 
     def known_pieces(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +266,14 @@ class Encoder:
         self.used, self.known = used, known
 
 
-def encoder(path: str, added: bool = False) -> Encoder:
-    """One encoder per Python worker, vocabulary and reading of added tokens."""
+def encoder(path: str, added: bool = False, most: int = 800_000) -> Encoder:
+    """One encoder per Python worker, vocabulary and reading of added tokens; it remembers at most about ``most`` pieces."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, added) not in _encoders:
         _encoders[path, added] = Encoder(path, added=added)
+    _encoders[path, added].most = most
     return _encoders[path, added]
 
 

@@ -74,15 +74,17 @@ def places(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, added: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str, end_id: int, size: int, added: bool = False, most: int = 800_000, chars: int = 2_000_000
+) -> DataFrame:
     """Pieces of all documents; ``rank`` counts pieces of one length within a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(vocabulary, added), TaskContext.get().partitionId()
+        enc, part = encoder(vocabulary, added, most), TaskContext.get().partitionId()
         end = np.uint32(end_id).astype("<u4").tobytes()
         seen, full = np.zeros(size, np.int64), 0
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", chars):
                 rows: list[tuple] = []
                 for name, x in zip(piece["doc_id"].to_pylist(), enc.encode(piece["text"])):
                     data = memoryview(x + end)
@@ -103,12 +105,18 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, added: bool
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, added: bool = False) -> DataFrame:
-    """Every piece with its sequence and its offset there; sequences are numbered without gaps."""
+def pack(
+    docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, added: bool = False, most: int = 800_000, chars: int = 2_000_000
+) -> DataFrame:
+    """Every piece with its sequence and its offset there; sequences are numbered without gaps.
+
+    ``most`` (text pieces an encoder remembers) and ``chars`` (bytes of text it
+    encodes at once) trade a worker's memory for time; the result is the same.
+    """
     spark = docs.sparkSession
     # The encoder needs the memory that large batches of whole texts would take.
     with small_batches(spark):
-        cut = materialize(pieces(docs, vocabulary, end_id, size, added), "pieces")
+        cut = materialize(pieces(docs, vocabulary, end_id, size, added, most, chars), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
