@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from glossweave.operators.windows import first_n
+from glossweave.operators.windows import first_n, with_row_index
 from glossweave.session import materialize, materialize_counting
 
 
@@ -194,51 +194,78 @@ def communities(edges: DataFrame, resolution: float = 1.0, sweeps: int = 10) ->
     In a sweep every node may move to the neighbouring community that raises
     modularity most. Half of the nodes move at a time, so two neighbours do
     not swap places; the best grouping seen is returned.
+
+    Nodes are numbered once, in their own order. A half sends only the links of
+    the nodes whose turn it is, once to where the neighbour is and once back.
     """
-    links = materialize(both_ways(edges.select("src", "dst").filter("src <> dst")), "links")
+    pairs = edges.select("src", "dst").filter("src <> dst")
+    # A node moves in the first or in the second half of each sweep.
+    turns = F.concat(*[F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)).cast("string") for sweep in range(sweeps)])
+    names = with_row_index(nodes_of(pairs).withColumn("turns", turns), ["node"], "number")
+    names = materialize(names, "numbers")
+    end = lambda c: names.select(F.col("node").alias(c), F.col("number").alias(f"_{c}"), F.col("turns").alias(f"_turns_{c}"))
+    numbered = pairs.join(end("src"), "src").join(end("dst"), "dst")
+    way = lambda a, b: numbered.select(F.col(f"_{a}").alias("src"), F.col(f"_{b}").alias("dst"), F.col(f"_turns_{a}").alias("turns"))
+    links = materialize(way("src", "dst").withColumn("forward", F.lit(True)).unionByName(way("dst", "src").withColumn("forward", F.lit(False))), "links")
     m2 = float(links.count())
-    state = materialize(
-        links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-        .withColumn("community", F.col("node")), "communities"
-    )
-    forward = links.filter("src < dst")
-    best, best_score = state, modularity(forward, state, resolution).first()[0]
+    if not m2:
+        return names.select("node", F.col("node").alias("community"))
+    state = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    state = _with_volumes(materialize(state.withColumn("community", F.col("node")), "communities"))
+    best, best_score = state, _score(links, state, m2, resolution)
     for sweep in range(sweeps):
         for half in (0, 1):
             state = _move_half(links, state, m2, resolution, sweep, half)
-        score = modularity(forward, state, resolution).first()[0]
+        score = _score(links, state, m2, resolution)
         if score <= best_score:
             break
         best, best_score = state, score
-    return _with_smallest_name(best)
+    return _with_smallest_name(best, names)
+
+
+def _with_volumes(state: DataFrame) -> DataFrame:
+    """Adds the degrees of each node's community together."""
+    volumes = state.groupBy("community").agg(F.sum("degree").alias("volume"))
+    return materialize(state.join(volumes, "community"), "volumes")
+
+
+def _score(links: DataFrame, state: DataFrame, m2: float, resolution: float) -> float:
+    """:func:`modularity` of a grouping whose degrees and volumes are known."""
+    place = lambda end: state.select(F.col("node").alias(end), F.col("community").alias(f"_{end}"))
+    inside = links.filter("forward").select("src", "dst").join(place("dst"), "dst").join(place("src"), "src").filter("_src = _dst").count()
+    squares = state.agg(F.sum(F.col("degree").cast("double") * F.col("volume"))).first()[0]
+    return inside / (m2 / 2) - resolution * (squares / (m2 * m2))
 
 
 def _move_half(links: DataFrame, state: DataFrame, m2: float, resolution: float, sweep: int, half: int) -> DataFrame:
-    where = state.select(F.col("node").alias("dst"), F.col("community").alias("target"))
-    ties = links.join(where, "dst").groupBy(F.col("src").alias("node"), "target").agg(
-        F.count(F.lit(1)).alias("ties")
-    )
-    volume = state.groupBy(F.col("community").alias("target")).agg(F.sum("degree").alias("volume"))
-    options = ties.unionByName(
-        state.select("node", F.col("community").alias("target"), F.lit(0).cast("long").alias("ties"))
-    ).groupBy("node", "target").agg(F.sum("ties").alias("ties"))
-    rated = options.join(state, "node").join(volume, "target")
+    mine = links.filter(F.substring("turns", sweep + 1, 1) == str(half)).select(F.col("src").alias("node"), "dst")
+    there = state.select(F.col("node").alias("dst"), F.col("community").alias("target"), F.col("volume").alias("there"))
+    # Dealt by node, so that ties, gains and moves of a node need no further shuffle.
+    ties = mine.join(there, "dst").select("node", "target", "there").repartition("node")
+    ties = ties.groupBy("node", "target").agg(F.count(F.lit(1)).alias("ties"), F.first("there").alias("there"))
+    rated = state.join(ties, "node", "left")
     own = F.col("target") == F.col("community")
-    others = F.col("volume") - F.when(own, F.col("degree")).otherwise(F.lit(0))
-    gain = F.col("ties") / m2 - resolution * F.col("degree") * others / (m2 * m2)
+    others = F.col("there") - F.when(own, F.col("degree")).otherwise(F.lit(0))
+    gain = lambda ties, others: ties / m2 - resolution * F.col("degree") * others / (m2 * m2)
     # Ties in gain: stay where you are, else the smaller name.
-    worth = F.struct((-F.round(gain, 12)).alias("loss"), (~own).alias("leaves"), F.col("target"))
-    best = rated.groupBy("node").agg(F.min_by("target", worth).alias("pick"))
-    turn = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == half
-    moved = state.join(best, "node").select(
-        "node", "degree", F.when(turn, F.col("pick")).otherwise(F.col("community")).alias("community")
+    worth = F.struct((-F.round(gain(F.col("ties"), others), 12)).alias("loss"), (~own).alias("leaves"), F.col("target"))
+    alone = gain(F.lit(0).cast("long"), F.col("volume") - F.col("degree"))
+    # Staying is an option also where no neighbour is of the same community.
+    stay = F.struct((-F.round(alone, 12)).alias("loss"), F.lit(False).alias("leaves"), F.col("community").alias("target"))
+    best = rated.groupBy("node").agg(
+        F.first("degree").alias("degree"), F.first("community").alias("community"),
+        F.min(F.when(F.col("target").isNotNull(), worth)).alias("best"), F.first(stay).alias("stay"),
     )
-    return materialize(moved, "communities")
+    pick = F.when(F.col("best").isNull(), F.col("community")).otherwise(F.least("best", "stay")["target"])
+    return _with_volumes(materialize(best.select("node", "degree", pick.alias("community")), "communities"))
 
 
-def _with_smallest_name(state: DataFrame) -> DataFrame:
-    names = materialize(state.groupBy("community").agg(F.min("node").alias("name")), "names")
-    return state.join(names, "community").select("node", F.col("name").alias("community"))
+def _with_smallest_name(state: DataFrame, names: DataFrame) -> DataFrame:
+    """Every node's name with the first name of its community."""
+    first = state.groupBy("community").agg(F.min("node").alias("number"))
+    first = first.join(names, "number").select("community", F.col("node").alias("name"))
+    placed = state.select(F.col("node").alias("number"), "community").join(names, "number").select("node", "community")
+    return placed.join(first, "community").select("node", F.col("name").alias("community"))
 
 
 def sparse_entries(edges: DataFrame, threshold: float) -> DataFrame:
